@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from docframe.session import scratch_path
+
+# Stage tables written in this session: (application, folder, name) -> path.
+_STAGES: dict[tuple[str, str, str], str] = {}
+
+
+def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stored table of the library, built on first use and read by every later query,
+    as an ingest job would leave it in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGES:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _STAGES[key] = path
+    return spark.read.parquet(_STAGES[key])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -62,4 +80,7 @@ def elements_of(documents: DataFrame) -> DataFrame:
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elements_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return stage(
+        spark, sf_dir, "elements",
+        lambda: elements_of(table(spark, sf_dir, "documents").select("doc_id", "text")),
+    )

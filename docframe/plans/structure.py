@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docframe.functions import text as tx
 from docframe.operators import cleaning as cl
-from docframe.plans.adapters import elements, table
+from docframe.plans.adapters import elements, stage, table
 from docframe.plans.registry import query
 
 def joined_path(sep=" > "):
@@ -14,7 +14,7 @@ def joined_path(sep=" > "):
 
 
 def audit(spark, d):
-    return cl.audit_elements(elements(spark, d))
+    return stage(spark, d, "audit", lambda: cl.audit_elements(elements(spark, d)))
 
 
 def kept(spark, d):
@@ -162,8 +162,7 @@ def _(spark, d):
     FROM pieces GROUP BY 1
 """, uses="kept titles")
 def _(spark, d):
-    src = elements(spark, d)
-    return cl.render_markdown(cl.kept_elements(cl.audit_elements(src)), cl.infer_title(src))
+    return cl.render_markdown(kept(spark, d), cl.infer_title(elements(spark, d)))
 
 
 @query("filter_elements", """
@@ -184,7 +183,7 @@ def _(spark, d):
     FROM audit
 """, uses="audit")
 def _(spark, d):
-    a = audit(spark, d)
+    a = cl.audit_elements(elements(spark, d))
     cols = [joined_path().alias(c) if c == "section_path" else F.col("bounding_box.l").alias("box_left")
             if c == "bounding_box" else F.col(c) for c in cl.AUDIT_COLUMNS]
     return a.select("paper_id", *cols)
