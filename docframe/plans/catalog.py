@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from docframe.plans import chunks, structure  # noqa: F401
+from docframe.plans import chunks, search, structure  # noqa: F401
 from docframe.plans.registry import ORACLES, QUERIES  # noqa: F401
