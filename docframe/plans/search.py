@@ -180,7 +180,7 @@ EMBED_SQL = f"""
       SELECT chunk_id, CAST('0x' || md5(term)[1:8] AS BIGINT) % {DIM} AS slot,
         sum(CASE WHEN md5(term)[9] < '8' THEN 1.0 ELSE -1.0 END) AS w
       FROM (SELECT chunk_id, unnest([lower(w) FOR w IN regexp_extract_all(content, '[A-Za-z0-9_]+')]) AS term FROM corpus)
-      GROUP BY 1, 2)"""
+      GROUP BY 1, 2) WHERE w <> 0"""
 
 
 def embedded(spark, d):

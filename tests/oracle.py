@@ -59,8 +59,9 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> tuple[bo
     a, b = _rows(df.columns, got), _rows(cols, want)
     if a == b:
         return True, note
-    only_a = [r for r in a if r not in set(b)][:2]
-    only_b = [r for r in b if r not in set(a)][:2]
+    in_a, in_b = set(a), set(b)
+    only_a = [r for r in a if r not in in_b][:2]
+    only_b = [r for r in b if r not in in_a][:2]
     return False, f"{note} want_rows={len(b)}\n    spark only {str(only_a)[:700]}\n    sql only   {str(only_b)[:700]}"
 
 
