@@ -37,10 +37,7 @@ def upsert(
         f"{value[c]} AS `{c}`" if c in value else f"t.`{c}`"
         for c in target.columns if c not in (key, owner)
     )
-    joined = f"""
-        FROM (SELECT t.*, struct(t.*) AS __t FROM {{t}} t) t
-        FULL OUTER JOIN {{n}} n ON t.`{key}` = n.`{key}`
-    """
+    joined = f"FROM {{t}} t FULL OUTER JOIN {{n}} n ON t.`{key}` = n.`{key}`"
     test = f"(t.`{key}` IS NOT NULL AND n.`{key}` IS NOT NULL AND NOT (t.`{owner}` <=> n.`{owner}`))"
     merged = sql(
         f"SELECT coalesce(t.`{key}`, n.`{key}`) AS `{key}`, IF(t.`{key}` IS NULL, n.`{owner}`, t.`{owner}`) AS `{owner}`, "

@@ -80,20 +80,20 @@ def admit(requests: DataFrame, sessions: DataFrame, limits: Limits = Limits()) -
     return sql(
         f"""
         WITH judged AS (
-          SELECT r.*, s.session_id IS NULL AS unknown, coalesce(r.ts >= s.expires_at, false) AS expired, {valid} AS valid,
-            NOT {demand} OR coalesce(named_struct('ts', r.ts, 'id', CAST(r.request_id AS BIGINT)) <= c.cut, false) AS fits,
+          SELECT r.*, s.session_id IS NULL AS unknown, coalesce(r.ts >= s.expires_at, false) AS expired,
+            NOT r.__demand OR coalesce(named_struct('ts', r.ts, 'id', CAST(r.request_id AS BIGINT)) <= c.cut, false) AS fits,
             {', '.join(f"coalesce(s.{k}_used, 0L) AS {k}_used" for k in KINDS)},
             coalesce(f.taken, array()) AS taken, r.ts AS ts0, CAST(r.request_id AS BIGINT) AS id0
           FROM {{r}} r LEFT JOIN {{s}} s ON r.session_id = s.session_id
           LEFT JOIN {{c}} c ON r.session_id = c.session_id AND {' AND '.join(f'r.{k} = c.{k}' for k in KINDS)}
           LEFT JOIN {{f}} f ON r.session_id = f.session_id),
         seen AS (SELECT *, {used} FROM judged)
-        SELECT {', '.join(requests.columns)}, NOT unknown AND NOT expired AND valid AND fits AS admitted,
-          CASE WHEN NOT valid THEN 'invalid' WHEN unknown THEN 'unknown_session' WHEN expired THEN 'expired' WHEN fits THEN NULL
+        SELECT {', '.join(requests.columns)}, NOT unknown AND NOT expired AND __valid AND fits AS admitted,
+          CASE WHEN NOT __valid THEN 'invalid' WHEN unknown THEN 'unknown_session' WHEN expired THEN 'expired' WHEN fits THEN NULL
             {' '.join(f"WHEN {k} > 0 AND {lim[k]} - __{k} < {k} THEN '{k}'" for k in KINDS)} END AS rejected_for
         FROM seen
         """,
-        r=requests,
+        r=requests.selectExpr("*", f"{demand} AS __demand", f"{valid} AS __valid"),
         s=sessions,
         c=cut,
         f=flow,
