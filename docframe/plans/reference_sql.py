@@ -10,6 +10,8 @@ _CTES: dict[str, tuple[str, str]] = {}
 
 
 def cte(name: str, needs: str, body: str) -> None:
+    if name in _CTES:
+        raise ValueError(f"duplicate table expression {name}")
     _CTES[name] = (needs, body.strip())
 
 

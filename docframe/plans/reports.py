@@ -11,7 +11,7 @@ from docframe.plans.adapters import elements, stage, table
 from docframe.plans.chunks import sections, visuals
 from docframe.plans.reference_sql import cte
 from docframe.plans.registry import query
-from docframe.plans.search import bm25_sql, corpus
+from docframe.plans.search import answer_ctes, bm25_sql, corpus
 from docframe.plans.structure import kept
 
 # A run per source: its question is the first benchmark text of the same number, its papers the source's documents.
@@ -19,19 +19,22 @@ cte("papers", "titles", """
     SELECT t.paper_id, t.title, d.source AS user_id, CASE WHEN coalesce(l.quality, 1) = 1 THEN 'completed' ELSE 'failed' END AS status, d.doc_id AS created_at
     FROM titles t JOIN documents d ON CAST(d.doc_id AS VARCHAR) = t.paper_id LEFT JOIN labels l ON l.doc_id = d.doc_id
 """)
-cte("runs", "", """
+cte("research_runs", "", """
     SELECT run_id, question, CASE WHEN len(regexp_extract_all(trim(question), '\\S+')) < 4 THEN 'Provide a grounded literature-oriented answer to: ' || trim(question)
       ELSE trim(question) END AS clarified
     FROM (SELECT s.source AS run_id, CASE WHEN s.source = 'src3' THEN ' the and ' ELSE b.text END AS question
       FROM (SELECT DISTINCT source FROM documents) s JOIN benchmark b ON b.item_id = CAST(s.source[4:] AS BIGINT))
 """.replace("\\\\S", "\\S"))
-cte("chosen", "papers runs", """
+cte("chosen", "papers", """
     SELECT user_id AS run_id, paper_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, paper_id) AS place
     FROM papers WHERE status = 'completed' QUALIFY place <= 3
 """)
-cte("asked", "chosen runs", "SELECT run_id || '/' || paper_id AS query_id, run_id, paper_id, paper_id AS scope, place, clarified AS query FROM chosen JOIN runs USING (run_id)")
+cte("asked", "chosen research_runs", "SELECT run_id || '/' || paper_id AS query_id, run_id, paper_id, paper_id AS scope, place, clarified AS query FROM chosen JOIN research_runs USING (run_id)")
 cte("run_hits", "asked paper_corpus", bm25_sql("paper_corpus", "asked", 4))
-cte("run_found", "run_hits cited asked", "SELECT h.query_id, h.rank, a.run_id, a.place, c.* FROM run_hits h JOIN cited c USING (chunk_id) JOIN asked a ON a.query_id = h.query_id")
+cte("run_found", "run_hits cited asked", "SELECT h.query_id, h.rank, 1.0::DOUBLE / h.rank AS rscore, a.run_id, a.place, c.* FROM run_hits h JOIN cited c USING (chunk_id) JOIN asked a ON a.query_id = h.query_id")
+
+answer_ctes("run_", "run_found", "asked")
+cte("told", "run_answers asked", "SELECT a.*, q.run_id, q.place FROM run_answers a JOIN asked q USING (query_id)")
 
 
 def papers(spark, d):
@@ -64,21 +67,21 @@ def run_answers(spark, d):
     return stage(spark, d, "run_answers", lambda: rs.assemble_answers(run_results(spark, d), asked(spark, d)))
 
 
-@query("clarify", "SELECT run_id, clarified, clarified || ' limitations' AS second FROM runs", uses="runs")
+@query("clarify", "SELECT run_id, clarified, clarified || ' limitations' AS second FROM research_runs", uses="research_runs")
 def _(spark, d):
     return rs.clarify(research_questions(spark, d)).selectExpr("run_id", "clarified", "search_queries[1] AS second")
 
 
-@query("select_papers", "SELECT run_id, paper_id, place FROM chosen WHERE run_id IN (SELECT run_id FROM runs)", uses="chosen runs")
+@query("select_papers", "SELECT run_id, paper_id, place FROM chosen WHERE run_id IN (SELECT run_id FROM research_runs)", uses="chosen research_runs")
 def _(spark, d):
     return rs.select_papers(research_questions(spark, d), papers(spark, d))
 
 
 @query("candidates", """
-    SELECT run_id, paper_id, title, 'library' AS origin FROM papers JOIN runs ON run_id = user_id WHERE status = 'completed'
+    SELECT run_id, paper_id, title, 'library' AS origin FROM papers JOIN research_runs ON run_id = user_id WHERE status = 'completed'
     UNION ALL SELECT run_id, NULL, text, 'external' FROM (SELECT r.run_id, d.text, row_number() OVER (PARTITION BY r.run_id ORDER BY doc_id) AS rn
-      FROM runs r JOIN documents d ON d.source = r.run_id WHERE d.lang = 'en') WHERE rn <= 5
-""", uses="papers runs")
+      FROM research_runs r JOIN documents d ON d.source = r.run_id WHERE d.lang = 'en') WHERE rn <= 5
+""", uses="papers research_runs")
 def _(spark, d):
     external = table(spark, d, "documents").filter("lang = 'en'").selectExpr("source AS run_id", "text AS title", "doc_id AS position")
     got = rs.candidates(research_questions(spark, d), papers(spark, d), external, 5)
@@ -90,18 +93,21 @@ def _(spark, d):
     return rs.collect_evidence(run_results(spark, d), asked(spark, d)).drop("supported")
 
 
-@query("claims")
+@query("claims", "SELECT run_id, place, paper_id, answer AS text, confidence, pages FROM told", uses="told")
 def _(spark, d):
     return rs.claims(run_answers(spark, d)).selectExpr("run_id", "place", "paper_id", "text", "confidence", "array_join(pages, ',') AS pages")
 
 
-@query("verify_claims")
+@query("verify_claims", """
+    SELECT run_id, paper_id, used_chunks <> '' AND confidence <> 'insufficient' AS supported,
+      CASE WHEN used_chunks = '' THEN 'Rejected claim for ' || paper_id || ': no chunk ids' ELSE '' END AS feedback FROM told
+""", uses="told")
 def _(spark, d):
     got = rs.verify_claims(rs.claims(run_answers(spark, d)), rs.collect_evidence(run_results(spark, d), asked(spark, d)))
     return got.selectExpr("run_id", "paper_id", "supported", "array_join(feedback, ';') AS feedback")
 
 
-@query("compare")
+@query("compare", "SELECT run_id, place, paper_id, answer AS summary, confidence, pages FROM told WHERE run_id IN (SELECT run_id FROM told GROUP BY 1 HAVING count(*) >= 2)", uses="told")
 def _(spark, d):
     return rs.compare(run_answers(spark, d)).selectExpr("run_id", "place", "paper_id", "summary", "confidence", "array_join(pages, ',') AS pages")
 
@@ -134,7 +140,26 @@ def _(spark, d):
     return rs.uncertainties(turn_findings(spark, d)).select("run_id", "note")
 
 
-@query("render_report")
+@query("render_report", """
+    WITH w AS (SELECT *, list_distinct([lower(x) FOR x IN regexp_extract_all(answer, '\\S+') IF length(x) > 4]) AS words FROM told WHERE confidence <> 'insufficient'),
+    base AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY place) = 1),
+    notes AS (SELECT w.run_id, CASE WHEN len(list_intersect(w.words, b.words)) >= 5 THEN 1 ELSE 2 END AS kind, w.place, CASE WHEN len(list_intersect(w.words, b.words)) >= 5
+        THEN 'Agreement: Papers ' || b.paper_id || ' and ' || w.paper_id || ' share overlapping retrieved terminology related to the question.'
+        ELSE 'Difference: Papers ' || b.paper_id || ' and ' || w.paper_id || ' retrieve largely distinct evidence for this question.' END AS note
+      FROM w JOIN base b ON b.run_id = w.run_id AND w.place > b.place
+      UNION ALL SELECT run_id, 3, place, 'Uncertainty: Insufficient evidence in paper ' || paper_id FROM told WHERE confidence = 'insufficient'
+      UNION ALL SELECT run_id, 3, 9, 'Uncertainty: Not enough papers had grounded answers for a firm comparison.' FROM told GROUP BY 1 HAVING count(*) FILTER (confidence <> 'insufficient') < 2),
+    nl AS (SELECT chr(10) AS n)
+    SELECT r.run_id, '# Research report' || n || n || '**Question:** ' || r.clarified || n || n || '## Supported findings' || coalesce(f.body, '')
+      || CASE WHEN c.body IS NULL THEN '' ELSE n || n || '## Comparison notes' || c.body END || CASE WHEN b.body IS NULL THEN '' ELSE n || n || '## Critic feedback' || b.body END
+      || n || n || '## Citations' || coalesce(e.body, '') AS report
+    FROM research_runs r CROSS JOIN nl
+    LEFT JOIN (SELECT run_id, string_agg(chr(10) || '- (' || paper_id || ')' || CASE WHEN pages = '' THEN '' ELSE ' pages=[' || replace(pages, ',', ', ') || ']' END || ' ' || answer, '' ORDER BY place) AS body
+      FROM told WHERE confidence <> 'insufficient' GROUP BY 1) f ON f.run_id = r.run_id
+    LEFT JOIN (SELECT run_id, string_agg(chr(10) || '- ' || note, '' ORDER BY kind, place) AS body FROM notes GROUP BY 1) c ON c.run_id = r.run_id
+    LEFT JOIN (SELECT run_id, string_agg(chr(10) || '- Rejected claim for ' || paper_id || ': no chunk ids', '' ORDER BY place) AS body FROM told WHERE used_chunks = '' GROUP BY 1) b ON b.run_id = r.run_id
+    LEFT JOIN (SELECT run_id, string_agg(chr(10) || '- paper=' || paper_id || ' ' || citation || ' chunk=' || chunk_id, '' ORDER BY place, rank) AS body FROM run_found GROUP BY 1) e ON e.run_id = r.run_id
+""", uses="told research_runs run_found")
 def _(spark, d):
     evidence = rs.collect_evidence(run_results(spark, d), asked(spark, d))
     answers = run_answers(spark, d)

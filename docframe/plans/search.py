@@ -57,29 +57,34 @@ cte("questions", "titles", """
 """)
 cte("paper_hits", "paper_corpus questions", bm25_sql("paper_corpus", "questions", 6))
 cte("found", "paper_hits cited", "SELECT h.query_id, h.rank, 1.0::DOUBLE / h.rank AS rscore, c.* FROM paper_hits h JOIN cited c USING (chunk_id)")
-cte("sentences", "found questions", """
-    SELECT query_id, rank, pos, citation, sentence, CASE WHEN len(q) = 0 OR len(s) = 0 THEN 0 ELSE
-        len(list_intersect(q, s))::DOUBLE / len(q) END + 0.05::DOUBLE * rscore AS score
-    FROM (SELECT *, list_distinct([lower(w) FOR w IN regexp_extract_all(query, '[A-Za-z0-9_]+')]) AS q,
-        list_distinct([lower(w) FOR w IN regexp_extract_all(sentence, '[A-Za-z0-9_]+')]) AS s
-      FROM (SELECT query_id, rank, citation, rscore, unnest(a) AS sentence, generate_subscripts(a, 1) AS pos FROM (
-          SELECT *, [trim(x) FOR x IN string_split(regexp_replace(trim(content[1:1200]), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) IF trim(x) <> ''] AS a FROM found))
-      JOIN (SELECT query_id, query FROM questions) USING (query_id))
-""")
-cte("scored", "sentences", "SELECT * FROM sentences WHERE score > 0.15::DOUBLE")
-cte("best", "scored", "SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, pos) <= 3")
-cte("answers", "best found questions", f"""
-    SELECT q.query_id, q.paper_id, q.query, coalesce(b.body, '{qa.REFUSAL}' || CASE WHEN f.n IS NULL THEN '{qa.NO_CHUNKS}' ELSE '{qa.NO_OVERLAP}' END) AS answer,
-      CASE WHEN b.body IS NULL THEN 'insufficient' WHEN top >= 0.55::DOUBLE AND b.n >= 2 THEN 'high' WHEN top >= 0.35::DOUBLE THEN 'medium' ELSE 'low' END AS confidence,
-      CASE WHEN b.body IS NULL THEN '' ELSE f.pages END AS pages, CASE WHEN b.body IS NULL THEN '' ELSE f.used_chunks END AS used_chunks,
-      CASE WHEN b.body IS NULL THEN '' ELSE f.visuals END AS visuals, CASE WHEN b.body IS NULL THEN 0 ELSE f.n END AS n_citations
-    FROM questions q LEFT JOIN (
-      SELECT query_id, string_agg(sentence || ' ' || citation, ' ' ORDER BY score DESC, rank, pos) AS body, max(score) AS top, count(*) AS n
-      FROM best GROUP BY 1) b ON b.query_id = q.query_id
-    LEFT JOIN (SELECT query_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(page_start))), ',') AS pages,
-        string_agg(chunk_id, ',' ORDER BY rank) AS used_chunks, coalesce(string_agg(element_id, ',' ORDER BY rank), '') AS visuals
-      FROM found GROUP BY 1) f ON f.query_id = q.query_id
-""")
+def answer_ctes(p: str, found: str, asked: str) -> None:
+    """Table expressions from retrieved results to answers, named with a prefix."""
+    cte(f"{p}sentences", f"{found} {asked}", f"""
+        SELECT query_id, rank, pos, citation, sentence, CASE WHEN len(q) = 0 OR len(s) = 0 THEN 0 ELSE
+            len(list_intersect(q, s))::DOUBLE / len(q) END + 0.05::DOUBLE * rscore AS score
+        FROM (SELECT *, list_distinct([lower(w) FOR w IN regexp_extract_all(query, '[A-Za-z0-9_]+')]) AS q,
+            list_distinct([lower(w) FOR w IN regexp_extract_all(sentence, '[A-Za-z0-9_]+')]) AS s
+          FROM (SELECT query_id, rank, citation, rscore, unnest(a) AS sentence, generate_subscripts(a, 1) AS pos FROM (
+              SELECT *, [trim(x) FOR x IN string_split(regexp_replace(trim(content[1:1200]), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) IF trim(x) <> ''] AS a FROM {found}))
+          JOIN (SELECT query_id, query FROM {asked}) USING (query_id))
+    """)
+    cte(f"{p}scored", f"{p}sentences", f"SELECT * FROM {p}sentences WHERE score > 0.15::DOUBLE")
+    cte(f"{p}best", f"{p}scored", f"SELECT * FROM {p}scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, pos) <= 3")
+    cte(f"{p}answers", f"{p}best {found} {asked}", f"""
+        SELECT q.query_id, q.paper_id, q.query, coalesce(b.body, '{qa.REFUSAL}' || CASE WHEN f.n IS NULL THEN '{qa.NO_CHUNKS}' ELSE '{qa.NO_OVERLAP}' END) AS answer,
+          CASE WHEN b.body IS NULL THEN 'insufficient' WHEN top >= 0.55::DOUBLE AND b.n >= 2 THEN 'high' WHEN top >= 0.35::DOUBLE THEN 'medium' ELSE 'low' END AS confidence,
+          CASE WHEN b.body IS NULL THEN '' ELSE f.pages END AS pages, CASE WHEN b.body IS NULL THEN '' ELSE f.used_chunks END AS used_chunks,
+          CASE WHEN b.body IS NULL THEN '' ELSE f.visuals END AS visuals, CASE WHEN b.body IS NULL THEN 0 ELSE f.n END AS n_citations
+        FROM {asked} q LEFT JOIN (
+          SELECT query_id, string_agg(sentence || ' ' || citation, ' ' ORDER BY score DESC, rank, pos) AS body, max(score) AS top, count(*) AS n
+          FROM {p}best GROUP BY 1) b ON b.query_id = q.query_id
+        LEFT JOIN (SELECT query_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(page_start))), ',') AS pages,
+            string_agg(chunk_id, ',' ORDER BY rank) AS used_chunks, coalesce(string_agg(element_id, ',' ORDER BY rank), '') AS visuals
+          FROM {found} GROUP BY 1) f ON f.query_id = q.query_id
+    """)
+
+
+answer_ctes("", "found", "questions")
 
 
 def corpus(spark, d):

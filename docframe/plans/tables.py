@@ -446,13 +446,17 @@ def _(spark, d):
     return gr.demote_ungrounded(r).selectExpr("o_orderkey", "grounded", "array_join(guardrail_notes, ',') AS notes")
 
 
-def requests(spark, d):
-    return table(spark, d, "events").selectExpr(
+def request_columns():
+    return (
         "event_id AS request_id", "user_id AS session_id", "ts", "CAST(event_type = 'view' AS INT) AS queries",
         "CAST(event_type = 'purchase' AS INT) AS papers", "CAST(event_type = 'click' AS INT) AS images",
     )
 
 
+def requests(spark, d):
+    return table(spark, d, "events").selectExpr(*request_columns())
+
+
 cte("decided", "", """
     SELECT *, expired = false AND (kind IS NULL OR rn <= lim) AS admitted FROM (
       SELECT *, row_number() OVER (PARTITION BY user_id, kind, expired ORDER BY ts, event_id) AS rn FROM (
