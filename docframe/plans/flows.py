@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docframe.operators import chunking as ck
+from docframe.functions.text import clean_filename
+from docframe.operators import cleaning as cl
 from docframe.operators import index as ix
 from docframe.operators import retrieval as rt
-from docframe.plans.adapters import elements_of, stage, table
-from docframe.plans.chunks import sections, visuals
+from docframe.plans.adapters import elements, elements_of, table
+from docframe.plans.chunks import FIXED, sections, visuals
 from docframe.plans.registry import query
 from docframe.plans.search import embedded
 from docframe.plans.structure import audit, kept
-from docframe.operators import cleaning as cl
-from docframe.plans.adapters import elements
+from docframe.plans.tables import request_columns
 from docframe.schemas import CLEANED
 from docframe.session import scratch_path
 from docframe.sources import readers, writers
@@ -87,8 +87,6 @@ def _(spark, d):
     p = table(spark, d, "pages").selectExpr(
         "page_id", "CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN url WHEN 4 THEN '../x/.a b(1).PDF' ELSE 'upload.pdf' END AS name",
         "IF(page_id % 7 = 2, 0, octet_length(html)) AS length", "IF(page_id % 7 = 3, left(html, 4), '%PDF') AS head")
-    from docframe.functions.text import clean_filename
-
     return p.selectExpr("page_id", f"{readers.intake_reason('name', 'length', 'head', 5000)} AS reason",
                         f"IF(page_id % 7 = 4, lower({clean_filename('name')}), 'upload.pdf') AS filename")
 
@@ -104,8 +102,6 @@ def _(spark, d):
 
 @query("ingest_stream", "SELECT chunk_id, paper_id, chunk_type, content FROM chunks", uses="chunks")
 def _(spark, d):
-    from docframe.plans.chunks import FIXED
-
     def build():
         root = scratch_path(spark, "ingest")
         feed = elements_of(source_stream(spark, d, "documents").select("doc_id", "text"))
@@ -139,8 +135,6 @@ def _(spark, d):
 
 @query("admit_stream", "SELECT event_id AS request_id, admitted, CASE WHEN expired THEN 'expired' WHEN NOT admitted THEN kind END AS rejected_for FROM decided", uses="decided")
 def _(spark, d):
-    from docframe.plans.tables import request_columns
-
     state, out = scratch_path(spark, "sessions"), scratch_path(spark, "decisions")
     feed = source_stream(spark, d, "events").selectExpr(*request_columns())
     st.run_once(st.admit_stream(feed, state, out, scratch_path(spark, "checkpoint")))
