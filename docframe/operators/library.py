@@ -133,9 +133,10 @@ def count_related(papers: DataFrame, **children: DataFrame) -> DataFrame:
 
 
 def fold_job_updates(jobs: DataFrame, updates: DataFrame, fields: Sequence[str] = ("status", "progress", "error", "result")) -> DataFrame:
-    """Apply partial updates in time order: null keeps the field (D7). Ties go to the higher update id."""
+    """Apply partial updates in time order: null keeps the field (D7). Ties go to the higher
+    update id, then to the higher value."""
     last = ", ".join(
-        f"max_by(`{f}`, IF(`{f}` IS NULL, NULL, struct(ts, update_id))) AS `__{f}`" for f in fields
+        f"max(IF(`{f}` IS NULL, NULL, named_struct('t', ts, 'u', update_id, 'v', `{f}`))).v AS `__{f}`" for f in fields
     )
     folded = sql(f"SELECT job_id, {last}, max(ts) AS __ts FROM {{u}} GROUP BY job_id", u=updates)
     return jobs.join(folded, "job_id", "left").selectExpr(

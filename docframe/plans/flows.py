@@ -13,7 +13,7 @@ from docframe.plans.chunks import FIXED, sections, visuals
 from docframe.plans.registry import query
 from docframe.plans.search import embedded
 from docframe.plans.structure import audit, kept
-from docframe.plans.tables import request_columns
+from docframe.plans.tables import HTML_SQL, request_columns
 from docframe.schemas import CLEANED
 from docframe.session import scratch_path
 from docframe.sources import readers, writers
@@ -113,7 +113,7 @@ def _(spark, d):
 
 @query("job_progress_stream", """
     SELECT l_orderkey AS job_id, l_returnflag AS status, l_quantity AS progress FROM lineitem
-    QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) = 1
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_returnflag DESC, l_quantity DESC) = 1
 """)
 def _(spark, d):
     updates = source_stream(spark, d, "lineitem").selectExpr(
@@ -125,7 +125,7 @@ def _(spark, d):
     return spark.read.parquet(path).groupBy("job_id").agg(F.expr("max_by(struct(status, progress), v) AS s")).select("job_id", "s.*")
 
 
-@query("guard_stream", "SELECT page_id, replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|</?\\s*(?:link|meta)\\b[^>]*>', '[removed]', 'g'), 'and the ', 'and the ') AS html FROM pages")
+@query("guard_stream", f"SELECT page_id, {HTML_SQL.format('html')} AS html FROM pages")
 def _(spark, d):
     path = scratch_path(spark, "guarded")
     safe = st.guard_stream(source_stream(spark, d, "pages").select("page_id", "html"), "html", ["sk-12345678"])

@@ -156,8 +156,8 @@ def _(spark, d):
         CASE WHEN l_linestatus = 'F' THEN l_quantity / 50 END AS progress FROM lineitem)
     SELECT o_orderkey AS job_id, coalesce(s.status, o_orderstatus) AS status, coalesce(p.progress, 0) AS progress,
       coalesce(t.ts, o_orderdate) AS updated_at
-    FROM orders LEFT JOIN (SELECT job_id, status FROM u WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, update_id DESC) = 1) s ON s.job_id = o_orderkey
-    LEFT JOIN (SELECT job_id, progress FROM u WHERE progress IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, update_id DESC) = 1) p ON p.job_id = o_orderkey
+    FROM orders LEFT JOIN (SELECT job_id, status FROM u WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, update_id DESC, status DESC) = 1) s ON s.job_id = o_orderkey
+    LEFT JOIN (SELECT job_id, progress FROM u WHERE progress IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, update_id DESC, progress DESC) = 1) p ON p.job_id = o_orderkey
     LEFT JOIN (SELECT job_id, max(ts) AS ts FROM u GROUP BY 1) t ON t.job_id = o_orderkey
 """)
 def _(spark, d):
