@@ -156,6 +156,9 @@ def test_bm25_pads_and_dense_tiles_agree_with_one_tile(spark):
     assert len(plain) == 10 and plain[0].query_id == 1
     padded = rt.bm25(corpus, q, 12, pad_unmatched=True).collect()
     assert sorted((r.query_id, r.rank) for r in padded) == [(i, k) for i in (1, 2) for k in range(1, 13)]
+    full = rt.bm25(corpus, spark.createDataFrame([(1, "alpha beta w4 w5"), (2, "gamma beta")], q.schema), 5, prune=False)
+    lean = rt.bm25(corpus, spark.createDataFrame([(1, "alpha beta w4 w5"), (2, "gamma beta")], q.schema), 5, prune=True)
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, lean.collect()))
     rng = random.Random(1)
     vec = lambda: [rng.gauss(0, 1) for _ in range(8)]
     c = spark.createDataFrame([(i, vec()) for i in range(50)], "chunk_id bigint, embedding array<double>")
