@@ -45,7 +45,9 @@ def intake_files(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYT
     """Accepted files with content, and rejected ones with their reason.
 
     Names and sizes come from the listing alone; only files that pass on those are opened,
-    and the length limit is pushed into the scan.
+    and the length limit is pushed into the scan. Spark's file scans leave out files of
+    length 0, so those are in neither output; ``intake_reason`` names them where a listing
+    is at hand as a table.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = "substring_index(path, '/', -1)"
