@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.words import NOT_ALNUM, Words, chunks
+from docframe.llm.words import NOT_ALNUM, Words, chunks, slices
 
 WINDOW = 10
 BUCKETS = 64
@@ -63,7 +63,7 @@ def index_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """Postings of all tokens; one row per block of documents and bucket of terms."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for i, j in chunks(texts):
                 w = Words(texts[i:j], NOT_ALNUM, lower=True)

@@ -152,7 +152,7 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], text: str = "text") -> Da
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [None if t is None else t for t in batch]
-            parts = [count_texts(shared.value, texts[i:j]) for i, j in chunks(texts)]
+            parts = [count_texts(shared.value, texts[i:j]) for i, j in chunks(texts, 4 << 20)]
             both = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1)]
             yield pd.DataFrame({"n_words": both[0], "n_tokens": both[1]})
 

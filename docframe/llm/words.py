@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20  # arrays of 8 bytes a character are made of a chunk
+SLICE_ROWS = 512
 U64 = np.uint64
 
 
@@ -79,6 +81,13 @@ def ranges(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int =
     return _range_hash(hashes if kind == 0 else mix(hashes), starts, ends, _BASES[kind])
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(i, SLICE_ROWS)
+
+
 def chunks(texts: list[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Slices of ``texts`` of about ``size`` characters; a longer text is a slice of its own."""
     at, total = 0, 0
