@@ -111,7 +111,7 @@ def _lookup(index: DataFrame, wanted: DataFrame, columns: list[str], read: Calla
     lists = wanted.select("h").distinct().withColumn("bucket", bucket_of("h")).groupBy("bucket").agg(F.sort_array(F.collect_set("h")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 want = np.sort(np.array(row["wanted"], np.int64).view(np.uint64))
                 terms, n = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.int32)
@@ -190,15 +190,15 @@ def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFra
 
 def alignments(items: DataFrame, index: DataFrame, scratch: Callable[[DataFrame], DataFrame], window: int = WINDOW) -> DataFrame:
     """Places where the intersected lists agree: doc, item, words, at (the word where the test text would begin)."""
-    picked = scratch(anchors(items, index, window))
-    one = picked.select("item", "words", F.col("first").alias("off"), F.col("first_h").alias("h"))
-    two = picked.where("second IS NOT NULL").select("item", "words", F.col("second").alias("off"), F.col("second_h").alias("h"))
+    picked = scratch(anchors(items, index, window).withColumn("test", F.xxhash64("item", "words")))
+    one = picked.select("test", F.col("first").alias("off"), F.col("first_h").alias("h"))
+    two = picked.where("second IS NOT NULL").select("test", F.col("second").alias("off"), F.col("second_h").alias("h"))
     wanted = one.unionByName(two).distinct()
-    lists = postings(index, wanted).join(wanted, "h").select("doc", "item", "words", "off", (F.col("place") - F.col("off")).alias("at"))
-    seen = lists.groupBy("doc", "item", "words", "at").agg(F.collect_set("off").alias("offs"))
-    pairs = picked.groupBy("item", "words").agg(F.collect_set(F.struct("first", F.coalesce("second", "first").alias("second"))).alias("pairs"))
+    lists = postings(index, wanted).join(wanted, "h").select("doc", "test", "off", (F.col("place") - F.col("off")).alias("at"))
+    seen = lists.groupBy("doc", "test", "at").agg(F.collect_set("off").alias("offs"))
+    pairs = picked.groupBy("test", "item", "words").agg(F.collect_set(F.struct("first", F.coalesce("second", "first").alias("second"))).alias("pairs"))
     fits = F.exists("pairs", lambda p: F.array_contains("offs", p["first"]) & F.array_contains("offs", p["second"]))
-    return seen.join(pairs, ["item", "words"]).where(fits).select("doc", "item", "words", "at")
+    return seen.join(pairs, "test").where(fits).select("doc", "item", "words", "at")
 
 
 def proximity_matches(items: DataFrame, index: DataFrame, slop: int, scratch: Callable[[DataFrame], DataFrame], window: int = WINDOW) -> DataFrame:
