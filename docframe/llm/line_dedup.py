@@ -6,12 +6,14 @@ and stands in the longer line at the same place or, if the edit lies before it,
 further; so a line of length n is indexed by its two segments and probes the index of
 its own length and of the length below. Lines that share a segment are candidates.
 
-Small groups of candidates are compared directly. In a group above ``SMALL_GROUP`` lines,
-what remains besides the shared segment is split once more, by every single deletion:
-lines of equal length are within one edit iff they agree after deleting one place, and a
-longer line is within one edit of a shorter one iff a deletion gives it. Lines that agree
-form a star around the first, so no link between groups is lost and no group is paired
-off. Candidates are verified by banded bit-parallel edit distance over the diagonals.
+Small groups of candidates are compared directly. A group above ``SMALL_GROUP`` lines is
+split again: what remains besides the shared segment falls into two segments in the same
+way, so groups get more specific from level to level, each line keeping two keys a level.
+When at most ``SHORT_REST`` characters remain, lines of equal length are within one edit
+iff they agree after deleting one place, and a longer line is within one edit of a
+shorter one iff a deletion gives it; lines that agree form a star around the first. No
+group is paired off and no link between groups is lost. Candidates are verified by banded
+bit-parallel edit distance over the diagonals.
 
 DataFrame functions only. A line is a repeat if an equal line, or one within one edit,
 comes earlier, in the order of document id and line number; repeats of repeats count.
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 THRESHOLD = 1
 NEAR_CHARS = 20
 SMALL_GROUP = 16
+SHORT_REST = 4
 
 
 def _segment_keys() -> str:
@@ -49,14 +52,27 @@ _REST = """CASE WHEN side = 0 AND own THEN substring(x, n DIV 2 + 1) WHEN side =
   WHEN own THEN left(x, n DIV 2) ELSE left(x, (n - 1) DIV 2 + 1) END"""
 
 
+# Length of the rest r of an index line; a probe has one character more.
+_INDEX_LENGTH = "length(r) - IF(own, 0, 1)"
+_CUT = f"(({_INDEX_LENGTH}) DIV 2)"
+_HALVES = f"""array(
+  named_struct('side', 0, 'part', left(r, {_CUT}), 'r', substring(r, {_CUT} + 1)),
+  named_struct('side', 1, 'part', substring(r, {_CUT} + IF(own, 1, 2)), 'r', left(r, {_CUT} + IF(own, 0, 1))))"""
+
+
 def within(rows: DataFrame, a: str, b: str, threshold: int = THRESHOLD) -> DataFrame:
     """Rows whose columns ``a`` and ``b`` are at most ``threshold`` edits apart.
 
     Bit d of word e tells whether diagonal d - threshold is reached with at most e
     edits; one step per character of ``b`` moves all diagonals of the band at once."""
-    band = range(2 * threshold + 1)
-    full = (1 << len(band)) - 1
-    match = " | ".join(f"IF(get(_pa, j + {d - threshold}) = c, {1 << d}, 0)" for d in band)
+    full = (1 << (2 * threshold + 1)) - 1
+    p, c = f"split({a}, '')", f"split({b}, '')"
+    masks = ""
+    for d in range(2 * threshold + 1):
+        shift = d - threshold
+        moved = f"concat(array_repeat('', {-shift}), {p})" if shift <= 0 else f"slice({p}, {shift + 1}, length({a}))"
+        equal = f"zip_with({c}, {moved}, (x, y) -> IF(x = y, {1 << d}, 0))"
+        masks = f"zip_with({masks}, {equal}, (x, y) -> coalesce(x, 0) | coalesce(y, 0))" if masks else equal
     words, moved = [], ""
     for e in range(threshold + 1):
         before, moved = moved, f"(s.r{e} & m)"
@@ -64,10 +80,10 @@ def within(rows: DataFrame, a: str, b: str, threshold: int = THRESHOLD) -> DataF
             moved = f"({moved} | s.r{e - 1} | shiftright(s.r{e - 1}, 1) | (shiftleft({before}, 1) & {full}))"
         words.append(f"'r{e}', {moved}")
     start = ", ".join(f"'r{e}', {sum(1 << (threshold + d) for d in range(e + 1))}" for e in range(threshold + 1))
-    near = rows.where(f"abs(length({a}) - length({b})) <= {threshold}").selectExpr("*", f"split({a}, '') AS _pa", f"split({b}, '') AS _pb")
-    masked = near.selectExpr("*", f"transform(_pb, (c, j) -> {match}) AS _m")
-    last = f"aggregate(_m, named_struct({start}), (s, m) -> named_struct({', '.join(words)})).r{threshold}"
-    return masked.where(f"({last} & shiftleft(1, size(_pa) - size(_pb) + {threshold})) != 0").drop("_pa", "_pb", "_m")
+    # Arrays are built outside of the lambdas: inside, they would be built once per character.
+    last = f"aggregate(slice({masks}, 1, length({b})), named_struct({start}), (s, m) -> named_struct({', '.join(words)})).r{threshold}"
+    near = rows.where(f"abs(length({a}) - length({b})) <= {threshold}")
+    return near.where(f"({last} & shiftleft(1, length({a}) - length({b}) + {threshold})) != 0")
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -80,6 +96,28 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of the small groups: two index lines, or an index line and a probe."""
+    small = members.where(f"members <= {SMALL_GROUP}").select("k", "at", "own")
+    left = small.where("own").select("k", F.col("at").alias("a"))
+    return left.join(small.select("k", F.col("at").alias("b"), "own"), "k").where("own AND a < b OR NOT own AND a != b").select("a", "b")
+
+
+def _stars(rest: DataFrame, scratch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links of groups whose lines differ only in the short rest r, by every single deletion."""
+    deleted = """transform(sequence(1, length(r)), i -> named_struct(
+        'h', xxhash64(concat(left(r, i - 1), substring(r, i + 1))), 'place', IF(own, i, 0)))"""
+    whole = "array(named_struct('h', xxhash64(r), 'place', 0))"
+    forms = rest.selectExpr(
+        "k", "at", "own", f"explode(CASE WHEN r = '' THEN {whole} WHEN own THEN concat({deleted}, {whole}) ELSE array_distinct({deleted}) END) AS f"
+    ).selectExpr("k", "f.h", "f.place", "at", "own")
+    stars = forms.groupBy("k", "h", "place").agg(
+        F.count("*").alias("n"), F.expr("IF(place > 0, min(at), min(at) FILTER (WHERE own))").alias("a")
+    )
+    stars = scratch(stars.where("n > 1 AND a IS NOT NULL").drop("n"))
+    return forms.join(stars, ["k", "h", "place"]).select("a", F.col("at").alias("b")).where("a != b")
+
+
 def near_pairs(distinct: DataFrame, docs: DataFrame, scratch: Callable[[DataFrame], DataFrame], text: str, doc: Column) -> DataFrame:
     """Distinct lines within one edit: a, b (places in the order). Big groups give the star around their first line."""
     rows = distinct.select("at", F.explode("keys").alias("s")).select("at", "s.*")
@@ -92,22 +130,21 @@ def near_pairs(distinct: DataFrame, docs: DataFrame, scratch: Callable[[DataFram
     texts = texts.select("doc", "lines", F.explode("pos").alias("pos")).select("doc", "pos", F.expr("lines[pos]").alias("x"))
     texts = scratch(texts.dropDuplicates(["doc", "pos"]))
 
-    small = members.where(f"members <= {SMALL_GROUP}").select("k", "at", "own")
-    left = small.where("own").select("k", F.col("at").alias("a"))
-    pairs = left.join(small.select("k", F.col("at").alias("b"), "own"), "k").where("own AND a < b OR NOT own AND a != b").select("a", "b")
-
+    pairs = _small_pairs(members)
     big = members.where(f"members > {SMALL_GROUP}").selectExpr("*", "at.doc", "at.pos").join(texts, ["doc", "pos"])
-    rest = big.selectExpr("k", "at", "own", "x", "length(x) AS n", "side").selectExpr("k", "at", "own", f"{_REST} AS r")
-    deleted = """transform(sequence(1, length(r)), i -> named_struct(
-        'h', xxhash64(concat(left(r, i - 1), substring(r, i + 1))), 'place', IF(own, i, 0)))"""
-    whole = "array(named_struct('h', xxhash64(r), 'place', 0))"
-    forms = rest.where("length(r) > 0").selectExpr("k", "at", "own", f"explode(IF(own, concat({deleted}, {whole}), array_distinct({deleted}))) AS f")
-    forms = forms.selectExpr("k", "f.h", "f.place", "at", "own")
-    stars = forms.groupBy("k", "h", "place").agg(
-        F.count("*").alias("n"), F.expr("IF(place > 0, min(at), min(at) FILTER (WHERE own))").alias("a")
-    )
-    stars = scratch(stars.where("n > 1 AND a IS NOT NULL").drop("n"))
-    starred = forms.join(stars, ["k", "h", "place"]).select("a", F.col("at").alias("b")).where("a != b")
+    rest = scratch(big.selectExpr("k", "at", "own", "x", "length(x) AS n", "side").selectExpr("k", "at", "own", f"{_REST} AS r"))
+    starred = None
+    while True:
+        found = _stars(rest.where(f"{_INDEX_LENGTH} <= {SHORT_REST}"), scratch)
+        starred = found if starred is None else starred.unionByName(found)
+        rest = rest.where(f"{_INDEX_LENGTH} > {SHORT_REST}")
+        if rest.isEmpty():
+            break
+        halves = rest.selectExpr("own", "at", f"explode({_HALVES}) AS s", "k AS above").selectExpr("xxhash64(above, s.side, s.part) AS k", "at", "own", "s.r AS r")
+        groups = scratch(halves.groupBy("k").agg(F.count("*").alias("members"), F.count_if("own").alias("owners")).where("members > 1 AND owners > 0").select("k", "members"))
+        members = scratch(halves.join(groups, "k"))
+        pairs = pairs.unionByName(_small_pairs(members))
+        rest = members.where(f"members > {SMALL_GROUP}").drop("members")
 
     both = pairs.unionByName(starred).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one = texts.select(F.col("doc").alias("da"), F.col("pos").alias("pa"), F.col("x").alias("xa"))
