@@ -32,7 +32,8 @@ from docframe.llm.words import chunks
 TABLE_WORDS = 1 << 16  # words in the shared table at most
 TABLE_BYTES = 64  # longer words are not in the table
 FLUSH_WORDS = 1 << 18
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
+SLICE_ROWS = 512
 
 # The pretoken pattern of byte-level BPE and the blanks it means by \s.
 _BLANK = r"\t-\r \x85\xa0  -     　"
@@ -136,13 +137,11 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", table_words
         split, encoder = _splitter(code), _encoder(code)
         for batch in batches:
             texts = [t or "" for t in batch]
-            out: list[np.ndarray] = []
             for i, j in chunks(texts, BATCH_BYTES):
                 parts = [split(t) for t in texts[i:j]]
                 rest = list(set().union(*parts).difference(known))
                 local = known | dict(zip(rest, encoder(rest)))
-                out += [np.frombuffer(b"".join(map(local.__getitem__, p)), "<i4") for p in parts]
-            yield pd.Series(out, dtype=object)
+                yield pd.Series([np.frombuffer(b"".join(map(local.__getitem__, p)), "<i4") for p in parts], dtype=object)
 
     return docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != "token_ids"], ids(F.col(text)).alias("token_ids"))
 
@@ -170,15 +169,24 @@ def decode(docs: DataFrame, tokenizer_json: str, ids: str = "token_ids") -> Data
     return docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != "decoded"], text_of(F.col(ids)).alias("decoded"))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` from the ids and the decoded text."""
-    import hashlib
+def digests(encoded: DataFrame, tokenizer_json: str, ids: str = "token_ids") -> DataFrame:
+    """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: of the ids as little-endian
+    32-bit numbers and of the text they decode to."""
+    shared = encoded.sparkSession.sparkContext.broadcast(piece_table(tokenizer_json))
 
-    @F.pandas_udf("string")
-    def ids_sha(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in batch])
+    @F.pandas_udf("ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from hashlib import sha256
 
-    return encoded.withColumns(
-        {"n_tokens": F.size("token_ids").cast("long"), "ids_sha256": ids_sha("token_ids"), "decoded_sha256": F.sha2(F.col("decoded"), 256)}
-    )
+        piece = shared.value.__getitem__
+        for batch in batches:
+            for i in range(0, len(batch), SLICE_ROWS):
+                rows = []
+                for x in batch.iloc[i : i + SLICE_ROWS]:
+                    text = b"".join(map(piece, x.tolist())).decode("utf-8", "replace")
+                    rows.append((sha256(x.astype("<u4").tobytes()).hexdigest(), sha256(text.encode()).hexdigest()))
+                yield pd.DataFrame(rows, columns=["ids_sha256", "decoded_sha256"])
+
+    own = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    out = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c not in own], F.size(ids).cast("long").alias("n_tokens"), digest(F.col(ids)).alias("_d"))
+    return out.select("*", "_d.ids_sha256", "_d.decoded_sha256").drop("_d")
