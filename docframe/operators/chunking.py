@@ -97,6 +97,9 @@ def split_text(text: str, limit: int, overlap: int, depth: int = 0) -> list[str]
     works. Every token is covered; only siblings at one depth are joined."""
     if len(text.split()) <= limit:
         return [text.strip()] if text.strip() else []
+    if depth == len(SEPARATORS):
+        # Below the last separator tokens stand apart by other blanks: windows of tokens.
+        return _pack(text.split(), " ", limit, overlap)
     sep = SEPARATORS[depth]
     parts = re.split(r"(?<=\.) ", text) if sep == ". " else text.split(sep)
     glue = " " if sep == ". " else sep

@@ -210,7 +210,7 @@ def section_path(df: DataFrame, levels: int = 1) -> DataFrame:
 def audit_elements(df: DataFrame, flag_duplicates: bool = False) -> DataFrame:
     """The 17 audit columns per element plus the columns later steps need (C20)."""
     rest = [c for c in df.columns if c != "text"]
-    cleaned = df.selectExpr(*rest, f"{strip(chr(96) + 'text' + chr(96))} AS text0").selectExpr(
+    cleaned = df.selectExpr(*rest, f"{strip('`text`')} AS text0").selectExpr(
         *rest, "coalesce(text0, '') AS text"
     )
     located = section_path(classify_keep(flag_inside_picture(cleaned), flag_duplicates))

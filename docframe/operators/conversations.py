@@ -95,10 +95,10 @@ def tool_trace(messages: DataFrame) -> DataFrame:
 
 
 def stream_events(events: DataFrame) -> DataFrame:
-    """Events for the client (H9): non-empty tokens of the root node, tool events, the end.
+    """Events for the client (H9): the start, non-empty tokens of the root node, tool events, the end.
     Stateless, so it works on a stream as well."""
-    shown = "(kind = 'token' AND node = 'model' AND content <> '') OR kind IN ('tool_call', 'tool_result', 'done')"
+    shown = "(kind = 'token' AND node = 'model' AND content <> '') OR kind IN ('start', 'tool_call', 'tool_result', 'done')"
     return events.filter(shown).selectExpr(
-        "*", "CASE kind WHEN 'token' THEN 'token' WHEN 'done' THEN 'done' ELSE 'tool' END AS event",
+        "*", "CASE kind WHEN 'token' THEN 'token' WHEN 'start' THEN 'start' WHEN 'done' THEN 'done' ELSE 'tool' END AS event",
         "CASE kind WHEN 'tool_call' THEN 'running' WHEN 'tool_result' THEN status END AS event_status",
     )

@@ -32,7 +32,7 @@ EXFILTRATION = (
         "Message requests system prompt disclosure.",
     ),
     (
-        r"(?is)\b(?:LLM_API_KEY|LUNA_API_KEY|EMBEDDING_API_KEY|DATABASE_URL|BIDPILOT_OPENAI_API_KEY)\b\s*[:=]",
+        r"(?is)\b(?:[A-Z][A-Z0-9_]{0,60}_API_KEY|DATABASE_URL)\b\s*[:=]",
         "Message contains credential assignment patterns.",
     ),
 )
@@ -83,7 +83,8 @@ def validate_messages(df: DataFrame, secrets: Sequence[str] = ()) -> DataFrame:
         WHEN {exfiltration_reason('__m')} IS NOT NULL THEN 'exfiltration_pattern'
         WHEN {secret} THEN 'secret_in_input'
         WHEN coalesce(image_data_url, '') <> '' THEN {image_code('image_data_url')} END"""
-    return df.selectExpr("*", f"{strip(chr(99) + 'oalesce(message, chr(32))')} AS __m").selectExpr(
+    message = strip("coalesce(message, ' ')")
+    return df.selectExpr("*", f"{message} AS __m").selectExpr(
         *df.columns, f"{code} AS code"
     )
 

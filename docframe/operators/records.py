@@ -105,9 +105,10 @@ def match_library(records: DataFrame, papers: DataFrame) -> DataFrame:
     keyed = {n: f"{e} AS k_{n}" for n, e in _KEYS.items()}
     left = records.selectExpr("record_id", "user_id", *keyed.values())
     right = papers.selectExpr("paper_id", "user_id", *keyed.values())
+    empty = "''"
     rows = ", ".join(
         f"named_struct('sign', {-1 if len(c) == 2 else 1}, 'combo', '{'+'.join(c)}', "
-        + ", ".join(f"'{n}', {f'k_{n}' if n in c else chr(39) * 2}" for n in _KEYS) + ")"
+        + ", ".join(f"'{n}', {f'k_{n}' if n in c else empty}" for n in _KEYS) + ")"
         for c in combos
     )
     spread = f"inline(filter(array({rows}), x -> x.doi IS NOT NULL AND x.arxiv IS NOT NULL AND x.title IS NOT NULL))"

@@ -337,8 +337,9 @@ def retrieve(
     """Ranked, cited chunks per query.
 
     ``vectors`` (query_id, embedding) switches the dense half on; the corpus must then
-    carry ``embedding``. Without it the lexical list alone decides.
+    carry ``embedding``. Without it the lexical list alone decides. Blank queries have no result.
     """
+    queries = queries.filter(f"{normalize_query('query')} <> ''")
     lists = {"sparse": bm25(corpus, queries, candidate_pool, scope=scope)}
     if vectors is not None:
         probes = queries.join(vectors, "query_id")

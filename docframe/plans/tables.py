@@ -366,9 +366,9 @@ def _(spark, d):
 
 
 @query("stream_events", """
-    SELECT event_id, CASE event_type WHEN 'view' THEN 'token' WHEN 'error' THEN 'done' ELSE 'tool' END AS event,
+    SELECT event_id, CASE event_type WHEN 'view' THEN 'token' WHEN 'error' THEN 'done' WHEN 'click' THEN 'tool' WHEN 'purchase' THEN 'tool' ELSE 'start' END AS event,
       CASE event_type WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'ok' END AS event_status
-    FROM events WHERE event_type IN ('click', 'purchase', 'error') OR (event_type = 'view' AND user_id % 3 = 0 AND value > 5)
+    FROM events WHERE coalesce(event_type, '') <> 'view' OR (user_id % 3 = 0 AND value > 5)
 """)
 def _(spark, d):
     e = table(spark, d, "events").selectExpr(

@@ -35,9 +35,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder; a temporary one only in local mode (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="docframe-")
         spark.sparkContext.setCheckpointDir(root)
     return root
