@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from docframe.llm.token_counts import byte_letters
 from docframe.llm.words import chunks
 
-TABLE_WORDS = 1 << 16  # words in the shared table at most
+TABLE_WORDS = 1 << 18  # words in the shared table at most
 TABLE_BYTES = 64  # longer words are not in the table
 FLUSH_WORDS = 1 << 18
 BATCH_BYTES = 2 << 20
