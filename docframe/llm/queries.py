@@ -57,7 +57,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     host, _ = url_filter.host_and_path(F.col("url"))
     labelled = pages.join(labels, "page_id").select(host.alias("host"), "bad")
-    return url_filter.judge(pages, url_filter.reputation(labelled), RULES).select(
+    return url_filter.judge(pages, url_filter.reputation(labelled, materialize), RULES).select(
         "page_id", "host", "path", "rule", "verdict", "bad_share", "bad_bound"
     )
 
