@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 UNDEFINED = "und"
 SAMPLE_LINES = 600  # distinct lines learned from per language
 LINE_BYTES = 2048  # of one sampled line; shorter lines are preferred
+SLICES = 64
 MAX_LANGUAGES = 256  # 28 MB of dictionaries at most
 DICT_BYTES = 112 << 10
 BLOCK_BYTES = 4096
@@ -52,7 +53,10 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_li
         F.min("l").alias("l"), F.max("l").alias("l2"), (F.min(F.octet_length("t")) > LINE_BYTES).alias("long")
     )
     best = Window.partitionBy("l").orderBy("long", "h")
-    picked = per_line.where("l = l2").withColumn("n", F.row_number().over(best)).where(F.col("n") <= sample_lines)
+    # First within slices of a language, so that no task receives the best lines of every input partition.
+    part = Window.partitionBy("l", F.pmod("h", F.lit(SLICES))).orderBy("long", "h")
+    sliced = per_line.where("l = l2").withColumn("n", F.row_number().over(part)).where(F.col("n") <= sample_lines)
+    picked = sliced.withColumn("n", F.row_number().over(best)).where(F.col("n") <= sample_lines)
     chosen = picked.select("l", "h").limit(MAX_LANGUAGES * sample_lines + 1).collect()
     if len({r.l for r in chosen}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
