@@ -38,14 +38,16 @@ SMALL_GROUP = 16
 SHORT_REST = 4
 
 
-def _segment_keys() -> str:
-    """SQL array of (k, own) for a line x of n characters: two index keys and two probes one length below."""
-    cut, below = "n DIV 2", "(n - 1) DIV 2"
-    return f"""array(
-      named_struct('k', xxhash64(0, n, left(x, {cut})), 'side', 0, 'own', true),
-      named_struct('k', xxhash64(1, n, substring(x, {cut} + 1)), 'side', 1, 'own', true),
-      named_struct('k', xxhash64(0, n - 1, left(x, {below})), 'side', 0, 'own', false),
-      named_struct('k', xxhash64(1, n - 1, substring(x, {below} + 2)), 'side', 1, 'own', false))"""
+# Keys of a line x of n characters: its two index keys and its two probes one length below.
+_KEYS = {
+    "k0": "xxhash64(0, n, left(x, n DIV 2))",
+    "k1": "xxhash64(1, n, substring(x, n DIV 2 + 1))",
+    "k2": "xxhash64(0, n - 1, left(x, (n - 1) DIV 2))",
+    "k3": "xxhash64(1, n - 1, substring(x, (n - 1) DIV 2 + 2))",
+}
+_KEY_ROWS = """array(
+  named_struct('k', k0, 'side', 0, 'own', true), named_struct('k', k1, 'side', 1, 'own', true),
+  named_struct('k', k2, 'side', 0, 'own', false), named_struct('k', k3, 'side', 1, 'own', false))"""
 
 
 _REST = """CASE WHEN side = 0 AND own THEN substring(x, n DIV 2 + 1) WHEN side = 0 THEN substring(x, (n - 1) DIV 2 + 1)
@@ -87,13 +89,12 @@ def within(rows: DataFrame, a: str, b: str, threshold: int = THRESHOLD) -> DataF
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines that can repeat: doc (hash of id and text), at (order of the line), h1, h2, keys."""
+    """Lines that can repeat: id, doc (hash of id and text), pos, h1, h2, k0 to k3 (null if compared exactly only)."""
     rows = docs.select(
         F.xxhash64(F.col(key), F.col(text)).alias("doc"), F.col(key).alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "x")
     ).where("x RLIKE '[^\\\\s]'")
-    return rows.selectExpr("doc", "pos", "struct(id, doc, pos) AS at", "x", "length(x) AS n").selectExpr(
-        "doc", "pos", "at", "xxhash64(x) AS h1", "xxhash64(1, x) AS h2", f"IF(n >= {NEAR_CHARS}, {_segment_keys()}, array()) AS keys"
-    )
+    keys = [f"IF(n >= {NEAR_CHARS}, {k}, NULL) AS {name}" for name, k in _KEYS.items()]
+    return rows.selectExpr("id", "doc", "pos", "x", "length(x) AS n").selectExpr("id", "doc", "pos", "xxhash64(x) AS h1", "xxhash64(1, x) AS h2", *keys)
 
 
 def _small_pairs(members: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def _stars(rest: DataFrame, scratch: Callable[[DataFrame], DataFrame]) -> DataFr
 
 def near_pairs(distinct: DataFrame, docs: DataFrame, scratch: Callable[[DataFrame], DataFrame], text: str, doc: Column) -> DataFrame:
     """Distinct lines within one edit: a, b (places in the order). Big groups give the star around their first line."""
-    rows = distinct.select("at", F.explode("keys").alias("s")).select("at", "s.*")
+    rows = distinct.where("k0 IS NOT NULL").select("at", F.explode(F.expr(_KEY_ROWS)).alias("s")).select("at", "s.*")
     groups = rows.groupBy("k").agg(F.count("*").alias("members"), F.count_if("own").alias("owners"))
     groups = scratch(groups.where("members > 1 AND owners > 0").select("k", "members"))
     members = scratch(rows.join(groups, "k"))
@@ -156,11 +157,13 @@ def near_pairs(distinct: DataFrame, docs: DataFrame, scratch: Callable[[DataFram
 def repeats(docs: DataFrame, scratch: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines that repeat an earlier one, by document: doc, exact and near (numbers of lines from 0)."""
     lines = scratch(lines_of(docs, key, text))
-    distinct = scratch(lines.groupBy("h1", "h2").agg(F.min(F.struct("at", "keys")).alias("f"), F.count("*").alias("n")).select("h1", "h2", "n", "f.*"))
+    at = F.struct("id", "doc", "pos")
+    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct(at.alias("at"), *_KEYS)).alias("f"), F.count("*").alias("n"))
+    distinct = scratch(distinct.select("h1", "h2", "n", "f.*"))
     near = scratch(near_pairs(distinct, docs, scratch, text, F.xxhash64(F.col(key), F.col(text))).select(F.col("b").alias("at")).distinct())
     flagged = distinct.select("h1", "h2", "n", "at").join(near.withColumn("near", F.lit(True)), "at", "left")
     flagged = scratch(flagged.where("n > 1 OR near").select("h1", "h2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near")))
-    found = lines.select("doc", "pos", "at", "h1", "h2").join(flagged, ["h1", "h2"]).where("near OR at != first")
+    found = lines.select("doc", "pos", at.alias("at"), "h1", "h2").join(flagged, ["h1", "h2"]).where("near OR at != first")
     return found.groupBy("doc").agg(
         F.sort_array(F.collect_set(F.expr("IF(at != first, pos, NULL)"))).alias("exact"),
         F.sort_array(F.collect_set(F.expr("IF(at = first, pos, NULL)"))).alias("near"),
