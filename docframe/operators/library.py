@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from docframe.functions.text import lit
 from docframe.operators.ordered import first_per_key, in_order, sql, top_per_key
 
-# Job states that count as open, and the milestones of an ingest job.
+# Job states that count as open.
 OPEN_JOBS = "('queued', 'running')"
-MILESTONES = {"accepted": 0.05, "parsed": 0.45, "stored": 0.75, "done": 1.0}
 
 
-def replace_documents(target: DataFrame, batch: DataFrame, keys: Sequence[str] = ("paper_id",)) -> DataFrame:
-    """Target with all rows of the batch's documents replaced (S11). Repeating it changes nothing."""
-    renewed = batch.select(*keys).distinct()
+def replace_documents(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str] = ("paper_id",), renewed: DataFrame | None = None
+) -> DataFrame:
+    """Target with all rows of the batch's documents replaced (S11). Repeating it changes nothing.
+
+    ``renewed`` names the documents to replace where some of them have no row in the batch."""
+    renewed = (batch if renewed is None else renewed).select(*keys).distinct()
     return target.join(renewed, list(keys), "left_anti").unionByName(batch)
 
 
@@ -27,21 +30,21 @@ def upsert(
     """Insert unknown keys and update the owner's rows; rows of another owner come back as
     conflicts (S12). Columns in ``fill_only`` change only where they are empty."""
     new = [c for c in batch.columns if c not in (key, owner)]
+    # Rows of another owner stay as they are; never null.
+    other = f"(t.`{key}` IS NOT NULL AND n.`{key}` IS NOT NULL AND NOT (t.`{owner}` <=> n.`{owner}`))"
     value = {
-        c: f"coalesce(nullif(t.`{c}`, ''), n.`{c}`)" if c in fill_only else f"IF(n.`{key}` IS NULL OR foreign, t.`{c}`, n.`{c}`)"
+        c: f"IF({other}, t.`{c}`, coalesce(nullif(t.`{c}`, ''), n.`{c}`))" if c in fill_only
+        else f"IF(n.`{key}` IS NULL OR {other}, t.`{c}`, n.`{c}`)"
         for c in new
     }
-    for c in fill_only:
-        value[c] = f"IF(coalesce(foreign, false), t.`{c}`, {value[c]})"
     cols = ", ".join(
         f"{value[c]} AS `{c}`" if c in value else f"t.`{c}`"
         for c in target.columns if c not in (key, owner)
     )
     joined = f"FROM {{t}} t FULL OUTER JOIN {{n}} n ON t.`{key}` = n.`{key}`"
-    test = f"(t.`{key}` IS NOT NULL AND n.`{key}` IS NOT NULL AND NOT (t.`{owner}` <=> n.`{owner}`))"
     merged = sql(
         f"SELECT coalesce(t.`{key}`, n.`{key}`) AS `{key}`, IF(t.`{key}` IS NULL, n.`{owner}`, t.`{owner}`) AS `{owner}`, "
-        f"{cols.replace('foreign', test)} {joined}",
+        f"{cols} {joined}",
         t=target,
         n=batch,
     )
@@ -69,14 +72,14 @@ def latest_open_job(jobs: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def record_failures(papers: DataFrame, jobs: DataFrame, failures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Failure state on papers, and their job closed as failed.
+    """Failure state on papers, and their job closed as failed (S15). Unknown papers are added.
 
     Failures: ``paper_id, status, parse_status, error, warnings, page_count, job_id``; a
     null job id means the paper's newest open job.
     """
     fields = ("status", "parse_status", "error", "warnings", "page_count")
     noted = failures.selectExpr("paper_id", "true AS __hit", *[f"`{c}` AS __{c}" for c in fields])
-    out = papers.join(noted, "paper_id", "left").selectExpr(
+    out = papers.join(noted, "paper_id", "full").selectExpr(
         *[f"IF(__hit, __{c}, `{c}`) AS `{c}`" if c in fields else f"`{c}`" for c in papers.columns]
     )
     newest = latest_open_job(jobs, papers).selectExpr("paper_id", "job_id AS __newest")

@@ -56,12 +56,13 @@ def admit(requests: DataFrame, sessions: DataFrame, limits: Limits = Limits()) -
     fits = " AND ".join(f"{k} <= {lim[k]} - {k}_used" for k in KINDS)
     most = max(lim.values())
     first = top_per_key(live.filter(fits), ["session_id", *KINDS], most, "ts, request_id")
-    state = "struct<queries:bigint,papers:bigint,images:bigint,taken:array<struct<ts:timestamp,id:bigint,queries:int,papers:int,images:int>>>"
+    ident = requests.schema["request_id"].dataType.simpleString()
+    state = f"struct<queries:bigint,papers:bigint,images:bigint,taken:array<struct<ts:timestamp,id:{ident},queries:int,papers:int,images:int>>>"
     room = " AND ".join(f"r.{k} <= a.{k}" for k in KINDS)
     folded = sql(
         f"""
         SELECT session_id, aggregate(
-          array_sort(collect_list(named_struct('ts', ts, 'id', CAST(request_id AS BIGINT), 'queries', CAST(queries AS INT),
+          array_sort(collect_list(named_struct('ts', ts, 'id', request_id, 'queries', CAST(queries AS INT),
             'papers', CAST(papers AS INT), 'images', CAST(images AS INT)))),
           CAST(named_struct({', '.join(f"'{k}', {lim[k]} - max({k}_used)" for k in KINDS)}, 'taken', array()) AS {state}),
           (a, r) -> IF({room}, CAST(named_struct({', '.join(f"'{k}', a.{k} - r.{k}" for k in KINDS)},
@@ -81,9 +82,9 @@ def admit(requests: DataFrame, sessions: DataFrame, limits: Limits = Limits()) -
         f"""
         WITH judged AS (
           SELECT r.*, s.session_id IS NULL AS unknown, coalesce(r.ts >= s.expires_at, false) AS expired,
-            NOT r.__demand OR coalesce(named_struct('ts', r.ts, 'id', CAST(r.request_id AS BIGINT)) <= c.cut, false) AS fits,
+            NOT r.__demand OR coalesce(named_struct('ts', r.ts, 'id', r.request_id) <= c.cut, false) AS fits,
             {', '.join(f"coalesce(s.{k}_used, 0L) AS {k}_used" for k in KINDS)},
-            coalesce(f.taken, array()) AS taken, r.ts AS ts0, CAST(r.request_id AS BIGINT) AS id0
+            coalesce(f.taken, array()) AS taken, r.ts AS ts0, r.request_id AS id0
           FROM {{r}} r LEFT JOIN {{s}} s ON r.session_id = s.session_id
           LEFT JOIN {{c}} c ON r.session_id = c.session_id AND {' AND '.join(f'r.{k} = c.{k}' for k in KINDS)}
           LEFT JOIN {{f}} f ON r.session_id = f.session_id),

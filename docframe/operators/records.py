@@ -138,9 +138,11 @@ def year_filter(records: DataFrame, year_min: int | None = None, year_max: int |
     return records
 
 
-def with_fallback(queries: DataFrame, primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Rows of the secondary source, with a note, for queries the primary failed on."""
-    failed = queries.join(primary.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
+def with_fallback(failed: DataFrame, primary: DataFrame, secondary: DataFrame) -> DataFrame:
+    """Rows of the secondary source, with a note, for the queries whose call to the primary
+    failed (D10; ``failed`` holds their query_id). A query without hits did not fail."""
+    failed = failed.select("query_id").distinct()
+    primary = primary.join(failed, "query_id", "left_anti")
     note = F.lit("primary_source_failed")
     spare = secondary.join(failed, "query_id", "left_semi").withColumn("warning", note)
     return primary.withColumn("warning", F.lit(None).cast("string")).unionByName(spare)

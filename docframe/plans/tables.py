@@ -117,7 +117,8 @@ def _(spark, d):
 def _(spark, d):
     b = table(spark, d, "documents").selectExpr("concat(lang, '-', source) AS query_id", "doc_id")
     a = b.join(table(spark, d, "labels").filter("quality = 0").select("doc_id"), "doc_id").select("query_id", "doc_id")
-    return rc.with_fallback(b.select("query_id").distinct(), a, b)
+    failed = b.select("query_id").distinct().join(a, "query_id", "left_anti")
+    return rc.with_fallback(failed, a, b)
 
 
 def papers(spark, d):

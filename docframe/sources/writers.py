@@ -3,7 +3,7 @@ gathered per paper beyond a part of bounded size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from docframe.functions.text import lit
 from docframe.operators.cleaning import AUDIT_COLUMNS, PART_ROWS
@@ -88,9 +88,19 @@ def write_embeddings(index_rows: DataFrame, path: str, mode: str = "error") -> N
     index_rows.write.mode(mode).parquet(path)
 
 
-def overwrite_documents(batch: DataFrame, path: str, buckets: int = 256) -> None:
+def _drop_buckets(spark: SparkSession, path: str, buckets: list[int]) -> None:
+    """Remove the folders of buckets."""
+    jvm = spark.sparkContext._jvm
+    for bucket in buckets:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def overwrite_documents(batch: DataFrame, path: str, buckets: int = 256, renewed: DataFrame | None = None) -> None:
     """Replace the documents of a batch in a bucketed table.
 
+    ``renewed`` names the documents to replace (paper_id) where some have no row left.
+
     Only the buckets that the batch touches are rewritten. The new content of those
     buckets is staged before they are replaced, since they are also read.
     """
@@ -98,12 +108,18 @@ def overwrite_documents(batch: DataFrame, path: str, buckets: int = 256) -> None
     from docframe.session import materialize
 
     spark = batch.sparkSession
-    marked = batch.selectExpr("*", f"CAST(pmod(xxhash64(paper_id), {buckets}) AS INT) AS bucket")
+    bucket = f"CAST(pmod(xxhash64(paper_id), {buckets}) AS INT) AS bucket"
+    marked = batch.selectExpr("*", bucket)
+    renewed = (batch if renewed is None else renewed).select("paper_id").distinct()
+    empty: list[int] = []
     try:
         stored = spark.read.parquet(path)
-        touched = marked.select("bucket").distinct()
-        marked = materialize(replace_documents(stored.join(touched, "bucket", "left_semi").select(*marked.columns), marked))
+        touched = materialize(renewed.selectExpr(bucket).distinct())
+        marked = materialize(replace_documents(stored.join(touched, "bucket", "left_semi").select(*marked.columns), marked, renewed=renewed))
+        # An overwrite by partition leaves buckets alone that have no row any more.
+        empty = [r.bucket for r in touched.join(marked, "bucket", "left_anti").collect()]
     except Exception as exc:  # a first write finds nothing to merge with
         if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
             raise
     marked.repartition("bucket", "paper_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    _drop_buckets(spark, path, empty)

@@ -22,17 +22,18 @@ def ingest_batch(elements: DataFrame, root: str, config: ck.ChunkingConfig | Non
     """Clean, structure and chunk the papers of one batch and replace them in the tables
     below ``root`` (T1). Papers without any usable element go to ``failures``."""
     elements = materialize(elements)
+    papers = elements.select("paper_id").distinct()
     audit = materialize(cl.audit_elements(elements))
     kept = cl.kept_elements(audit)
     visuals = materialize(vs.describe_visuals(elements))
-    overwrite_documents(cl.build_sections(elements), f"{root}/sections")
-    overwrite_documents(kept, f"{root}/elements")
-    overwrite_documents(visuals, f"{root}/visuals")
-    overwrite_documents(ck.link_parents(materialize(ck.chunk(kept, visuals, config))), f"{root}/chunks")
+    overwrite_documents(cl.build_sections(elements), f"{root}/sections", renewed=papers)
+    overwrite_documents(kept, f"{root}/elements", renewed=papers)
+    overwrite_documents(visuals, f"{root}/visuals", renewed=papers)
+    overwrite_documents(ck.link_parents(materialize(ck.chunk(kept, visuals, config))), f"{root}/chunks", renewed=papers)
     failed = cl.cleaning_statistics(audit).filter("kept_for_text = 0").selectExpr(
         "paper_id", "'failed' AS status", "'no usable text' AS error"
     )
-    overwrite_documents(failed, f"{root}/failures")
+    overwrite_documents(failed, f"{root}/failures", renewed=papers)
 
 
 def ingest_stream(elements: DataFrame, root: str, checkpoint: str, config: ck.ChunkingConfig | None = None) -> DataStreamWriter:

@@ -212,6 +212,9 @@ def test_replace_and_upsert(spark):
     merged, conflicts = lb.upsert(t, n, "paper_id", fill_only=["title"])
     assert sorted(map(tuple, merged.collect())) == [("a", "u", "g1", "new"), ("b", "v", "f2", "kept"), ("c", "w", "g3", "new")]
     assert [r.paper_id for r in conflicts.collect()] == ["b"]
+    named = t.withColumnRenamed("filename", "foreign_ref")
+    merged, _ = lb.upsert(named, n.withColumnRenamed("filename", "foreign_ref"), "paper_id", fill_only=["title"])
+    assert {r.foreign_ref for r in merged.collect()} == {"g1", "f2", "g3"}
     once = lb.replace_documents(t, n)
     assert sorted(map(tuple, lb.replace_documents(once, n).collect())) == sorted(map(tuple, once.collect()))
 
@@ -224,6 +227,11 @@ def test_bucketed_overwrite_is_idempotent(spark, tmp_path):
         writers.overwrite_documents(rows("ax", 2), path, buckets=2)
     got = {(r.paper_id, r.v) for r in spark.read.parquet(path).collect()}
     assert got == {("a", 2), ("x", 2)} | {(n, 1) for n in "bcdef"} and spark.read.parquet(path).count() == 7
+    # Renewed documents without rows leave nothing behind, also where their bucket becomes empty.
+    writers.overwrite_documents(rows("a", 3), path, buckets=2, renewed=rows("abcd", 0))
+    assert {tuple(r) for r in spark.read.parquet(path).select("paper_id", "v").collect()} == {("a", 3), ("x", 2), ("e", 1), ("f", 1)}
+    writers.overwrite_documents(rows("", 4), path, buckets=2, renewed=rows("aef", 0))
+    assert [r.paper_id for r in spark.read.parquet(path).collect()] == ["x"]
 
 
 def test_file_intake_and_inventory(spark, tmp_path):
@@ -253,3 +261,18 @@ def test_parse_reports(spark):
     rows = [("SUCCESS", [], 5, 5, True, 5), ("SUCCESS", ["std::bad_alloc"], 5, 5, True, 5), ("PARTIAL_SUCCESS", [], 5, 5, True, 5), ("SUCCESS", [], 3, 5, True, 5), ("SUCCESS", [], 0, 0, True, None), ("SUCCESS", [], 0, 0, False, None)]
     df = spark.createDataFrame(rows, "status string, errors array<string>, processed_pages int, document_pages int, has_document boolean, expected_pages int")
     assert [r.accepted for r in cl.validate_parse(df).collect()] == [True, False, False, False, False, False]
+
+
+def test_fallback_only_for_failures(spark):
+    hits = lambda *r: spark.createDataFrame(list(r), "query_id string, title string")
+    out = rc.with_fallback(hits(("b", "")), hits(("a", "one")), hits(("b", "two"), ("c", "three")))
+    assert sorted(map(tuple, out.collect()), key=str) == [("a", "one", None), ("b", "two", "primary_source_failed")]
+
+
+def test_failure_of_an_unknown_paper_is_added(spark):
+    fields = "status string, parse_status string, error string, warnings string, page_count int"
+    papers = spark.createDataFrame([("a", "u", "ready", "ok", None, None, 3)], f"paper_id string, user_id string, {fields}")
+    jobs = spark.createDataFrame([], "job_id string, paper_id string, status string, progress double, error string, created_at timestamp")
+    failures = spark.createDataFrame([("z", "failed", "failed", "bad file", None, 0, None)], f"paper_id string, {fields}, job_id string")
+    out, _ = lb.record_failures(papers, jobs, failures)
+    assert {(r.paper_id, r.user_id, r.status, r.error) for r in out.collect()} == {("a", "u", "ready", None), ("z", None, "failed", "bad file")}
