@@ -152,25 +152,31 @@ def apply_enrichment(visuals: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: text of a null inside a list or an object.
+_NOTHING = "None"
+
+
 def coerce_enrichment(kind: str, payload: Column) -> dict[str, Column]:
     """List fields of a JSON payload as arrays of strings (V11): null gives an empty list,
-    a scalar a list of one, and objects become ``key: value`` pairs joined by ``; ``."""
-    out = {}
+    a scalar a list of one, and objects become ``key: value`` pairs joined by ``; ``. The
+    JSON type decides, not the text: a string may start like a list or an object."""
+    out, document = {}, F.try_parse_json(payload)
     for name in LIST_FIELDS[kind]:
         raw = F.get_json_object(payload, f"$.{name}")
-        listed = F.when(raw.isNull() | (raw == "null"), F.lit("[]"))
-        listed = listed.when(raw.startswith("["), raw)
-        quoted = F.to_json(F.array(raw))
-        listed = listed.when(raw.startswith("{"), F.concat(F.lit("["), raw, F.lit("]"))).otherwise(quoted)
-        entries = F.from_json(listed, "array<string>")
-        out[name] = F.transform(entries, _flatten_entry)
+        value = F.try_variant_get(document, f"$.{name}", "variant")
+        form = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+        listed = F.when(form.startswith("ARRAY"), raw).when(form.startswith("OBJECT"), F.concat(F.lit("["), raw, F.lit("]")))
+        entries = F.from_json(listed.otherwise(F.to_json(F.array(raw))), "array<string>")
+        values = F.when(form.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")).otherwise(F.array(value))
+        flat = F.zip_with(entries, F.transform(values, lambda v: F.schema_of_variant(v)), _flatten_entry)
+        out[name] = F.when(form == "VOID", F.expr("CAST(array() AS array<string>)")).otherwise(flat)
     return out
 
 
-def _flatten_entry(entry: Column) -> Column:
+def _flatten_entry(entry: Column, form: Column) -> Column:
     fields = F.map_entries(F.from_json(entry, "map<string,string>"))
-    pairs = F.transform(fields, lambda e: F.concat_ws(": ", e["key"], e["value"]))
-    return F.when(entry.startswith("{"), F.array_join(pairs, "; ")).otherwise(entry)
+    pairs = F.transform(fields, lambda e: F.concat_ws(": ", e["key"], F.coalesce(e["value"], F.lit(_NOTHING))))
+    return F.when(form.startswith("OBJECT"), F.array_join(pairs, "; ")).otherwise(F.coalesce(entry, F.lit(_NOTHING)))
 
 
 def enrichment_budget(

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from docframe.operators import chunking as ck
 from docframe.operators import cleaning as cl
 from docframe.operators import guardrails as gr
@@ -276,3 +278,13 @@ def test_failure_of_an_unknown_paper_is_added(spark):
     failures = spark.createDataFrame([("z", "failed", "failed", "bad file", None, 0, None)], f"paper_id string, {fields}, job_id string")
     out, _ = lb.record_failures(papers, jobs, failures)
     assert {(r.paper_id, r.user_id, r.status, r.error) for r in out.collect()} == {("a", "u", "ready", None), ("z", None, "failed", "bad file")}
+
+
+def test_enrichment_lists_follow_the_json_type(spark):
+    cases = {
+        '"[see note]"': ["[see note]"], '"null"': ["null"], "null": [], "[]": [], "7": ["7"],
+        '["{x} is best", null, {"b": 1, "a": null}]': ["{x} is best", "None", "b: 1; a: None"], '{"k": "v"}': ["k: v"],
+    }
+    rows = spark.createDataFrame([(k, f'{{"columns": {k}}}') for k in cases], "name string, payload string")
+    got = rows.select("name", vs.coerce_enrichment("table", F.col("payload"))["columns"].alias("v")).collect()
+    assert {r.name: r.v for r in got} == cases
