@@ -98,7 +98,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), materialize)
+    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), materialize).drop("text_hash")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
