@@ -43,10 +43,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the smallest id, once."""
-    found = near_dedup.classes(docs, materialize).where("doc_id <=> class_id").select("doc_id").distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One document of each class: the one with the smallest id, once. Null ids go where
+    their class has another id; different texts that have only null ids all stay."""
+    found = near_dedup.classes(docs, materialize).where("doc_id <=> class_id").select("doc_id", "text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["text_hash"])
+    return docs.join(found, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
