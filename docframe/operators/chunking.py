@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,6 +27,11 @@ from docframe.session import materialize
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
+def blank_tokens(text: str) -> int:
+    """Runs of non-blank characters: the default measure of the recursive splitter."""
+    return len(text.split())
+
+
 @dataclass(frozen=True)
 class ChunkingConfig:
     parent_max_tokens: int = 1800
@@ -32,6 +39,9 @@ class ChunkingConfig:
     overlap_tokens: int = 55
     # "recursive" splits at SEPARATORS; "fixed" cuts windows of whitespace tokens.
     splitter: str = "recursive"
+    # Measure of the recursive splitter; a joined text must not measure more than its parts and
+    # separators together (true of characters and of tokenizers that split at blanks).
+    length: Callable[[str], int] = blank_tokens
 
 
 # Element orders of one group that are joined into one text before splitting.
@@ -73,52 +83,56 @@ def group_by_section(elements: DataFrame, segment_rows: int = SEGMENT_ROWS) -> D
     )
 
 
-def _pack(parts: list[str], glue: str, limit: int, overlap: int) -> list[str]:
-    """Join neighbours up to ``limit`` tokens; the next chunk repeats a tail of at most
-    ``overlap`` tokens."""
+def _pack(parts: list[str], glue: str, limit: int, overlap: int, length: Callable[[str], int]) -> list[str]:
+    """Join neighbours up to ``limit``; the next chunk repeats a tail of at most ``overlap``."""
     out: list[str] = []
-    held: list[tuple[str, int]] = []
-    size = 0
+    held: deque[tuple[str, int]] = deque()
+    size, gap = 0, length(glue)  # each held part counts with the glue after it
     for part in parts:
-        n = len(part.split())
+        n = length(part)
         if held and size + n > limit:
             out.append(glue.join(p for p, _ in held))
-            while held and (size > overlap or size + n > limit):
-                size -= held.pop(0)[1]
+            while held and (size - gap > overlap or size + n > limit):
+                size -= held.popleft()[1] + gap
         held.append((part, n))
-        size += n
+        size += n + gap
     if held:
         out.append(glue.join(p for p, _ in held))
     return out
 
 
-def split_text(text: str, limit: int, overlap: int, depth: int = 0) -> list[str]:
-    """Chunks of at most ``limit`` whitespace tokens, cut at the coarsest separator that
-    works. Every token is covered; only siblings at one depth are joined."""
-    if len(text.split()) <= limit:
+def split_text(
+    text: str, limit: int, overlap: int, depth: int = 0, length: Callable[[str], int] = blank_tokens
+) -> list[str]:
+    """Chunks of at most ``limit`` by ``length``, cut at the coarsest separator that works.
+    Every token is covered; only siblings at one depth are joined. Below the separators come
+    other blanks, then characters (one that alone exceeds the limit is a chunk)."""
+    if length(text) <= limit:
         return [text.strip()] if text.strip() else []
+    if depth > len(SEPARATORS):
+        return [c.strip() for c in _pack(list(text), "", limit, overlap, length) if c.strip()]
     if depth == len(SEPARATORS):
-        # Below the last separator tokens stand apart by other blanks: windows of tokens.
-        return _pack(text.split(), " ", limit, overlap)
-    sep = SEPARATORS[depth]
-    parts = re.split(r"(?<=\.) ", text) if sep == ". " else text.split(sep)
-    glue = " " if sep == ". " else sep
+        parts, glue = text.split(), " "
+    else:
+        sep = SEPARATORS[depth]
+        parts = re.split(r"(?<=\.) ", text) if sep == ". " else text.split(sep)
+        glue = " " if sep == ". " else sep
     out: list[str] = []
     run: list[str] = []
     for part in parts:
         if not part.strip():
             continue
-        if len(part.split()) <= limit:
+        if length(part) <= limit:
             run.append(part)
             continue
-        out += _pack(run, glue, limit, overlap)
+        out += _pack(run, glue, limit, overlap, length)
         run = []
-        out += split_text(part, limit, overlap, depth + 1)
-    out += _pack(run, glue, limit, overlap)
+        out += split_text(part, limit, overlap, depth + 1, length)
+    out += _pack(run, glue, limit, overlap, length)
     return [c.strip() for c in out if c.strip()]
 
 
-def _splitter(limit: int, overlap: int, kind: str, column: str) -> F.Column:
+def _splitter(limit: int, overlap: int, kind: str, column: str, length: Callable[[str], int]) -> F.Column:
     if kind == "fixed":
         toks = solid_runs(column)
         return F.expr(
@@ -129,18 +143,19 @@ def _splitter(limit: int, overlap: int, kind: str, column: str) -> F.Column:
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, limit, overlap))
+        return texts.map(lambda t: split_text(t, limit, overlap, length=length))
 
     return cut(F.col(column))
 
 
 def split_parents(
-    groups: DataFrame, max_tokens: int = 1800, overlap: int = 0, splitter: str = "recursive"
+    groups: DataFrame, max_tokens: int = 1800, overlap: int = 0, splitter: str = "recursive",
+    length: Callable[[str], int] = blank_tokens,
 ) -> DataFrame:
     """Parent passages, numbered over the whole paper (K2). Each inherits its group's
     pages and path and the element ids of its segment."""
     # Written once: the numbering below reads the pieces twice.
-    cut = materialize(groups.withColumn("pieces", _splitter(max_tokens, overlap, splitter, "text")).drop("text"))
+    cut = materialize(groups.withColumn("pieces", _splitter(max_tokens, overlap, splitter, "text", length)).drop("text"))
     # Segments start at distinct element orders, which number the parents in reading order.
     placed = scan(cut, ["paper_id"], "first_order", sums={"upto": "CAST(size(pieces) AS BIGINT)"})
     rows = placed.selectExpr("*", "posexplode(pieces) AS (pos, content)")
@@ -153,10 +168,11 @@ def split_parents(
 
 
 def split_children(
-    parents: DataFrame, max_tokens: int = 450, overlap: int = 55, splitter: str = "recursive"
+    parents: DataFrame, max_tokens: int = 450, overlap: int = 55, splitter: str = "recursive",
+    length: Callable[[str], int] = blank_tokens,
 ) -> DataFrame:
     """Child chunks inside each parent, carrying its key (K3)."""
-    cut = parents.withColumn("pieces", _splitter(max_tokens, overlap, splitter, "content")).drop("content")
+    cut = parents.withColumn("pieces", _splitter(max_tokens, overlap, splitter, "content", length)).drop("content")
     return cut.selectExpr("*", "posexplode(pieces) AS (pos, content)").selectExpr(
         "paper_id", "group_no", "section_path", "page_start", "page_end", "element_ids", "parent_no", "parent_key",
         "CAST(pos + 1 AS BIGINT) AS child_no", "content",
@@ -181,8 +197,8 @@ def visual_chunks(visuals: DataFrame) -> DataFrame:
 def chunk(elements: DataFrame, visuals: DataFrame, config: ChunkingConfig | None = None) -> DataFrame:
     """Parents, children and visual chunks of all papers, with repeatable ids (K1-K5)."""
     cfg = config or ChunkingConfig()
-    parents = split_parents(group_by_section(elements), cfg.parent_max_tokens, 0, cfg.splitter)
-    children = split_children(parents, cfg.child_max_tokens, cfg.overlap_tokens, cfg.splitter)
+    parents = split_parents(group_by_section(elements), cfg.parent_max_tokens, 0, cfg.splitter, cfg.length)
+    children = split_children(parents, cfg.child_max_tokens, cfg.overlap_tokens, cfg.splitter, cfg.length)
     nothing = "CAST(NULL AS STRING) AS element_id", "false AS has_internal_text"
     rows = (
         parents.selectExpr("*", f"'{PARENT}' AS chunk_type", "CAST(NULL AS BIGINT) AS child_no", *nothing)

@@ -95,6 +95,24 @@ def test_parts_of_long_papers_concatenate(spark):
     assert len(segments) == 3 and "\n\n".join(s.text for s in segments) == joined.text
 
 
+def test_splitter_by_characters(spark):
+    rng = random.Random(6)
+    solid = "".join(chr(0x4E00 + i) for i in range(900))
+    for text in (solid, solid[:50] + " " + solid[50:400] + "\n\n" + solid[400:], "ab\tcd " * 70, "x" * 7):
+        for limit, overlap in ((7, 0), (40, 9)):
+            chunks = ck.split_text(text, limit, overlap, length=len)
+            assert all(len(c) <= limit for c in chunks)
+            assert set("".join(chunks).split()) and set("".join(text.split())) == set("".join("".join(chunks).split()))
+    assert ck.split_text(solid, 40, 9, length=len)[1][:9] == solid[31:40]
+    words = " ".join(rng.choice("abc") * rng.randrange(1, 9) for _ in range(200))
+    assert " ".join(ck.split_text(words, 30, 0, length=len)) == words
+    groups = spark.createDataFrame([("p", 1, 0, ["s"], solid, 1, 1, 1, ["e"])], "paper_id string, group_no long, segment long, "
+        "section_path array<string>, text string, page_start int, page_end int, first_order long, element_ids array<string>")
+    parents = ck.split_parents(groups, 100, length=len)
+    assert "".join(r.content for r in parents.orderBy("parent_no").collect()) == solid
+    assert parents.count() == 9
+
+
 def test_splitter_contract():
     rng = random.Random(5)
     for limit, overlap in ((20, 0), (30, 7)):
