@@ -65,7 +65,8 @@ def admit_stream(
     Each batch is decided by the batch operator, which stays even when one session holds a
     third of the requests. Session counters live in a table per batch below ``state``; a
     repeated batch starts from the same version and writes the same one. A session ends a
-    fixed time after its first request and is dropped once a batch is past its end.
+    fixed time after its first request; it stays in the table, so that later requests are
+    refused as expired and do not open it anew.
     """
 
     def decide(batch: DataFrame, batch_id: int) -> None:

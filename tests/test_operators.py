@@ -16,6 +16,7 @@ from docframe.operators import records as rc
 from docframe.operators import retrieval as rt
 from docframe.operators import visuals as vs
 from docframe.sources import readers, writers
+from docframe.streaming import jobs
 
 BOX = "struct<l:double,t:double,r:double,b:double,coord_origin:string>"
 ELEMENT = (
@@ -168,6 +169,26 @@ def test_mixed_quota_requests_match_a_loop(spark):
     assert got == want
 
 
+def test_quota_stream_carries_sessions_over_batches(spark, tmp_path):
+    rng = random.Random(12)
+    t0, schema = dt.datetime(2024, 1, 1), "request_id bigint, session_id string, ts timestamp, queries int, papers int, images int"
+    rows = [
+        (i, "hot" if rng.random() < 0.5 else f"s{rng.randint(0, 5)}", t0 + dt.timedelta(minutes=25 * i), rng.randint(0, 3), rng.choice([0, 0, 1]), rng.choice([0, 1]))
+        for i in range(240)
+    ]
+    batches = [rows[:70], rows[70:150], rows[150:]]
+    for n, batch in enumerate(batches):  # files are read in the order of their times
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    jobs.run_once(jobs.admit_stream(feed, f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/log"))
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {(x.v, x.request_id) for x in got} == {(n, r[0]) for n, batch in enumerate(batches) for r in batch}
+    every = spark.createDataFrame(rows, schema)
+    want = qt.admit(every, qt.open_sessions(every)).collect()
+    assert {x.request_id: (x.admitted, x.rejected_for) for x in got} == {x.request_id: (x.admitted, x.rejected_for) for x in want}
+    assert {"expired", None} < {x.rejected_for for x in got}
+
+
 def test_bm25_pads_and_dense_tiles_agree_with_one_tile(spark):
     docs = [(f"c{i:02d}", f"alpha beta w{i}" if i % 3 else f"gamma w{i}") for i in range(30)]
     corpus = spark.createDataFrame(docs, "chunk_id string, content string")
