@@ -7,6 +7,9 @@ count. The language with the fewest bytes wins. A text is rejected when it has n
 letter or when the runner-up needs hardly more bytes.
 
 The sample of a dictionary is bounded by parameters and need not grow with the input.
+Dictionaries of languages with at least LEAST_BYTES of sample are cut to one size, that
+of the smallest among them; a language with less keeps its whole sample and does not
+shorten the others.
 
 Defined results: null texts and texts without a letter give ``und``, score 0,
 rejected. Without any learned language every text gives ``und``. Ties go to the
@@ -28,6 +31,7 @@ LINE_BYTES = 2048  # of one sampled line; shorter lines are preferred
 SLICES = 64
 MAX_LANGUAGES = 256  # 28 MB of dictionaries at most
 DICT_BYTES = 112 << 10
+LEAST_BYTES = 16 << 10  # of sample, from which a language counts for the common size
 BLOCK_BYTES = 4096
 LEVEL = 6
 MARGIN = 0.005
@@ -66,8 +70,9 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_li
     found: dict[str, list[bytes]] = {}
     for r in lines.orderBy("l", "h").collect():
         found.setdefault(r.l, []).append(normal(r.t)[:LINE_BYTES])
-    # Dictionaries of one size, so that no language gains by its share of the rows.
-    size = min(DICT_BYTES, *(sum(map(len, v)) + len(v) for v in found.values()))
+    # Dictionaries of one size, so that no language gains by its share of the rows; a language with a small sample does not count.
+    sampled = [sum(map(len, v)) + len(v) for v in found.values()]
+    size = min([DICT_BYTES, *(n for n in sampled if n >= LEAST_BYTES)])
     seen = {r.l: r.n for r in per_line.where("l = l2").groupBy("l").agg(F.count("*").alias("n")).collect()}
     return {k: b" ".join(found[k])[-size:] for k in sorted(found, key=lambda k: (-seen[k], k))}
 

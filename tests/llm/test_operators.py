@@ -174,6 +174,28 @@ def test_language(spark):
     assert {(r.lang_pred, r.score, r.rejected) for r in language_id.classify(odd, {"en": b"the of and"}).collect()} == {("und", 0.0, True)}
 
 
+def test_language_with_a_one_line_label(spark):
+    """A label with one short line leaves the other dictionaries as they are."""
+    rng = random.Random(8)
+    vocab = {"en": "the of and was with from this that thing other".split(), "de": "der die das und nicht eine werden schön über auch".split()}
+    rows = [(i, lang, " ".join(rng.choice(vocab[lang]) for _ in range(60))) for i, lang in enumerate(["en", "de"] * 40)]
+    for odd in ("a", "ab cd", "one short line of its own"):
+        df = spark.createDataFrame([*rows, (-1, "xx", odd)], "doc_id long, lang string, text string")
+        learned = language_id.learn(df.where("doc_id < 40"))
+        without = language_id.learn(df.where("doc_id BETWEEN 0 AND 39"))
+        assert {k: learned[k] for k in without} == without
+        out = language_id.classify(df.where("doc_id >= 0"), learned)
+        assert all(r.lang == r.lang_pred and not r.rejected for r in out.collect())
+
+
+def test_language_dictionaries_of_one_size(spark):
+    rng = random.Random(9)
+    letters = "abcdefghij"
+    rows = [(lang, "".join(rng.choice(letters) for _ in range(1000))) for lang, n in (("aa", 40), ("bb", 20), ("cc", 3)) for _ in range(n)]
+    got = language_id.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert 0 <= len(got["aa"]) - len(got["bb"]) <= 1 and len(got["bb"]) >= language_id.LEAST_BYTES and 3000 <= len(got["cc"]) <= 3003
+
+
 def test_urls(spark):
     urls = ["http://A.Example.ORG/es/1?x#y", "https://x.com", "no scheme", None, "a://b?c://d", "ftp://h/p//q#://"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
