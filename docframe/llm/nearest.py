@@ -64,10 +64,10 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id and v (array of double) of the vectors that take part."""
+    """id and v (array of double) of the vectors that take part, repeated rows once."""
     v = F.col(vec_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    return vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False))).distinct()
 
 
 def _hashed(rows: DataFrame, tables: int, probes: int) -> DataFrame:
@@ -115,7 +115,7 @@ def _block(counts: DataFrame) -> int:
 
 
 def _pairs(index: DataFrame, probing: DataFrame, grid: DataFrame, k: int) -> DataFrame:
-    """Best k of each query within each pair of blocks."""
+    """Best k ids of each query within each pair of blocks; the rows of an id are in one block."""
     keys = ["dim", "bucket", "c_block", "q_block"]
     left = (
         probing.join(grid, ["dim", "bucket"])
@@ -134,11 +134,15 @@ def _pairs(index: DataFrame, probing: DataFrame, grid: DataFrame, k: int) -> Dat
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         c = c.sort_values("id", kind="stable")
-        ids, cv = c["id"].to_numpy(), np.stack(c["v"].to_list()).astype(float)
+        cv = np.stack(c["v"].to_list()).astype(float)
+        # Vectors of one id stand together; the best of them is the score of the id.
+        ids, starts = np.unique(c["id"].to_numpy(), return_index=True)
         out = []
         for i in range(0, len(q), 256):
             part = q.iloc[i : i + 256]
             s = scores(np.stack(part["v"].to_list()).astype(float), cv)
+            if len(ids) < len(cv):
+                s = np.maximum.reduceat(s, starts, axis=1)
             for own, row in zip(part["id"].to_numpy(), s):
                 row[ids == own] = -np.inf
                 # The k-th best score bounds the candidates; equal scores are cut by id.

@@ -149,6 +149,30 @@ def test_nearest(spark):
     assert found >= 45
 
 
+def test_nearest_of_repeated_rows(spark):
+    """Copies of rows take no places: k different ids, as without the copies."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 8)).round(2).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    copied = rows * 2 + [rows[1]] * 28 + [(2, (-x[2]).tolist())] * 30
+    asked = spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>")
+
+    def run(vectors, **kind):
+        df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+        return rows_of(nearest.search(df, asked, 20, materialize, **kind), "query_id", "rank", "vec_id", "score")
+
+    for kind in ({}, {"tables": 2, "probes": 1}):  # probed buckets, then the search of every row
+        got = run(copied, **kind)
+        assert got == run([*rows, (2, (-x[2]).tolist())], **kind)
+        assert all(len({r[2] for r in got if r[0] == q}) == 20 for q in range(4))
+    # Every row is searched: the result is the exact one.
+    s = x.astype(float) @ x.astype(float).T
+    s[:, 2] = np.abs(s[:, 2])
+    for q in (0, 1, 3):
+        s[q, q] = -np.inf
+        assert {r[2] for r in got if r[0] == q} == set(np.lexsort((np.arange(120), -s[q].round(9)))[:20].tolist())
+
+
 def test_sharding(spark, docs):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     out = sharding.shard(df, 4, materialize).collect()
