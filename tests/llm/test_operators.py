@@ -114,6 +114,25 @@ def test_near_duplicates(spark):
     assert got == {5: 3, 3: 3, 4: 3, 7: 7, 8: 8, 9: 9, 10: 10, 11: 10}
 
 
+def test_near_duplicates_in_a_large_group(spark):
+    """Pairs that share a passage with many others and are similar only to each other."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    sketch = rng.sample(range(10**9), 16)
+    rows, sketched = [], []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(60)]
+        near = list(base)
+        near[20] = "changed"
+        rows += [(2 * i, base), (2 * i + 1, near)]
+    index = {w: n for n, w in enumerate([*words, "changed"])}
+    packed = [(i, bytearray(np.array([index[w] for w in t], np.uint32).tobytes())) for i, t in rows]
+    table = spark.createDataFrame(packed, "id long, words binary")
+    sketched = spark.createDataFrame([(i, sketch[:1]) for i, _ in rows], "id long, sketch array<long>")
+    got = near_dedup.linked(sketched, lambda ids: table.join(ids, "id"), 0.8, materialize)
+    assert sorted(map(tuple, got.collect())) == [(2 * i, 2 * i + 1) for i in range(60)]
+
+
 def test_edit_distance():
     rng = random.Random(4)
     for _ in range(400):
