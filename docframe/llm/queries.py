@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import functools
-import importlib.util
-import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm import (
-    bpe, decontaminate, language_id, line_dedup, near_dedup, nearest, sharding, substring_dedup, token_counts, url_filter,
+    alignment, bpe, decontaminate, language_id, line_dedup, near_dedup, nearest, secret_scan, sharding, substring_dedup, token_counts,
+    url_filter, whitening,
 )
 from docframe.llm.sql import URL_REPUTATION
 from docframe.session import materialize
@@ -18,6 +18,8 @@ from docframe.session import materialize
 SHARDS = 24
 NEIGHBOURS = 20
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
@@ -25,13 +27,16 @@ RULES = [
 
 
 @functools.cache
-def vocabulary(name: str = VOCABULARY) -> str:
-    """Content of a vocabulary file; the folder is $TOKENIZER_DIR or the installed package."""
-    folder = os.environ.get("TOKENIZER_DIR") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
-    with open(os.path.join(folder, name), encoding="utf-8") as f:
+def content(name: str) -> bytes:
+    """Content of a vocabulary file of the installed package."""
+    with open(public_tokenizers.path(name), "rb") as f:
         return f.read()
 
 
+def vocabulary(name: str = VOCABULARY) -> str:
+    return content(name).decode()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -110,11 +115,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", materialize)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_corpus(docs, alignment.Vocabularies(vocabulary(), content(PIECES)), materialize)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.scan(docs, content(RANKS)).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_substring_dedup, op3_url_filter, op4_sharding, op5_line_dedup, op6_token_counts, op7_bpe,
-        op8_nearest, op9_near_dedup, op10_decontaminate,
+        op8_nearest, op9_near_dedup, op10_decontaminate, op11_whitening, op12_alignment, op13_secret_scan,
     )
 }
 

@@ -132,3 +132,70 @@ def shingles(text: str) -> Counter:
 def jaccard(a: Counter, b: Counter) -> float:
     both = sum((a | b).values())
     return sum((a & b).values()) / both if both else 0.0
+
+
+def alignment(texts: list, a_json: str, b_model: bytes) -> list[tuple]:
+    """n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each text: whole
+    texts encoded at once, common ends found by dictionaries."""
+    import json
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_str(a_json)
+    tok.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_proto=b_model)
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    back = {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(x for x in range(256) if x not in own)}
+    names = {i: p for p, i in json.loads(a_json)["model"]["vocab"].items()}
+    rows = []
+    for t in texts:
+        raw = (" " + (t or "")).encode()
+        a = tok.encode(raw.decode(), add_special_tokens=False).ids if t else []
+        b = sp.encode(t) if t else []
+        a_bytes = [bytes(back[c] for c in names[i]) for i in a]
+        pieces = [sp.id_to_piece(i) for i in b]
+        b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode() for p in pieces]
+        if not t or b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+            rows.append(([], [], [], ""))
+            continue
+        ends, at = {}, 0
+        for i, x in enumerate(a_bytes):
+            at += len(x)
+            ends[at] = i
+        links, at = [], 0
+        for j, x in enumerate(b_bytes):
+            at += len(x)
+            if at in ends:
+                links.append((ends[at], j))
+        groups, i0, j0 = [], 0, 0
+        for i, j in links:
+            groups.append(",".join(map(str, a[i0 : i + 1])) + "|" + ",".join(map(str, b[j0 : j + 1])))
+            i0, j0 = i + 1, j + 1
+        rows.append((a, b, [(a[i], b[j]) for i, j in links], sha(";".join(groups))))
+    count = Counter(p for r in rows for p in r[2])
+    top: dict = {}
+    for (_, y), n in count.items():
+        top[y] = max(top.get(y, 0), n)
+    return [
+        (len(a), len(b), len(k), len(k), sum(count[p] == top[p[1]] for p in k), sum(count[p] for p in k), s) for a, b, k, s in rows
+    ]
+
+
+def secrets(text) -> list[tuple]:
+    """Base spans by start, then kind: the patterns tried at every place, letter by letter."""
+    text = text or ""
+    kinds = [
+        (r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+        (r"AKIA[A-Z0-9]+", 0, 20),
+        (r"[0-9a-f]+", 0, 24),
+    ]
+    out = []
+    for k, (pattern, group, least) in enumerate(kinds):
+        at = 0
+        while at < len(text):
+            m = re.compile(pattern).match(text, at)
+            if m and len(m.group(group)) >= least:
+                out.append((m.start(), k, m.end()))
+            at = m.end() if m else at + 1
+    return sorted(out)
