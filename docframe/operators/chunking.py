@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,15 +19,10 @@ from docframe.operators.ordered import (
     sql,
     top_per_key,
 )
+from docframe.operators.packing import blank_tokens, cut_windows, pack_groups, sized, split_text
 from docframe.session import materialize
 
-# Split points from coarse to fine, and default sizes in tokens.
-SEPARATORS = ("\n\n", "\n", ". ", " ")
-
-
-def blank_tokens(text: str) -> int:
-    """Runs of non-blank characters: the default measure of the recursive splitter."""
-    return len(text.split())
+__all__ = ["ChunkingConfig", "blank_tokens", "chunk", "split_text"]
 
 
 @dataclass(frozen=True)
@@ -44,94 +37,49 @@ class ChunkingConfig:
     length: Callable[[str], int] = blank_tokens
 
 
-# Element orders of one group that are joined into one text before splitting.
-SEGMENT_ROWS = 5000
+# Tokens of a group's text in one row of ``group_by_section``.
+PART_TOKENS = 50_000
 PARENT = "parent_passage"
 VISUAL_CHUNKS = "('table', 'figure', 'equation')"
 COLUMNS = (
     "paper_id", "chunk_id", "chunk_type", "parent_key", "section_path", "page_start", "page_end",
-    "content", "token_count", "group_no", "parent_no", "child_no", "element_ids", "element_id",
+    "content", "token_count", "group_no", "parent_no", "child_no", "element_ranges", "element_id",
     "has_internal_text",
 )
 
 
-def group_by_section(elements: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def section_runs(elements: DataFrame) -> DataFrame:
+    """Kept elements with the number of their consecutive run of equal paths."""
+    return number_runs(elements, ["paper_id"], "order", "section_path", run="group_no", start="group_start")
+
+
+def group_by_section(elements: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Consecutive runs of kept elements with the same path (K1).
 
-    A run's text is its non-empty texts joined by blank lines. A run that spans more
-    than ``segment_rows`` element orders comes as several segments, each carrying the
-    page range of the whole run; a shorter one is a single row.
+    A run's text is its non-empty texts joined by blank lines, in rows of one shape whatever
+    its size: ``part`` counts rows of about ``part_tokens`` tokens, which joined by blank lines
+    are the text. Each carries the pages of the whole run and its own elements' orders.
     """
-    runs = number_runs(elements, ["paper_id"], "order", "section_path", run="group_no", start="group_start")
-    placed = runs.selectExpr("*", f"(order - group_start) DIV {segment_rows} AS segment")
+    placed = sized(section_runs(elements), blank_tokens).selectExpr("*", f"c DIV {part_tokens} AS part")
     return sql(
         f"""
-        WITH segments AS (
-          SELECT paper_id, group_no, segment, first(section_path) AS section_path,
+        WITH parts AS (
+          SELECT paper_id, group_no, part, first(section_path) AS section_path,
             btrim({join_in_order('order', "nullif(text, '')", r"'\n\n'")}) AS text,
-            min(order) AS first_order, max(order) AS last_order, {in_order('order', 'element_id')} AS element_ids
-          FROM {{p}} GROUP BY paper_id, group_no, segment),
+            min(order) AS first_order, max(order) AS last_order, count(*) AS n_elements
+          FROM {{p}} GROUP BY paper_id, group_no, part),
         pages AS (
-          SELECT paper_id, group_no, page_start, page_end, explode(sequence(0L, last_segment)) AS segment
+          SELECT paper_id, group_no, page_start, page_end, explode(sequence(0L, last_part)) AS part
           FROM (SELECT paper_id, group_no, min(page) AS page_start, max(page) AS page_end,
-            max(segment) AS last_segment FROM {{p}} GROUP BY paper_id, group_no))
-        SELECT paper_id, group_no, segment, section_path, text, page_start, page_end, first_order, last_order, element_ids
-        FROM segments JOIN pages USING (paper_id, group_no, segment)
+            max(part) AS last_part FROM {{p}} GROUP BY paper_id, group_no))
+        SELECT paper_id, group_no, part, section_path, text, page_start, page_end, first_order, last_order, n_elements
+        FROM parts JOIN pages USING (paper_id, group_no, part)
         WHERE text <> ''
         """,
         p=placed,
     )
 
 
-def _pack(parts: list[str], glue: str, limit: int, overlap: int, length: Callable[[str], int]) -> list[str]:
-    """Join neighbours up to ``limit``; the next chunk repeats a tail of at most ``overlap``."""
-    out: list[str] = []
-    held: deque[tuple[str, int]] = deque()
-    size, gap = 0, length(glue)  # each held part counts with the glue after it
-    for part in parts:
-        n = length(part)
-        if held and size + n > limit:
-            out.append(glue.join(p for p, _ in held))
-            while held and (size - gap > overlap or size + n > limit):
-                size -= held.popleft()[1] + gap
-        held.append((part, n))
-        size += n + gap
-    if held:
-        out.append(glue.join(p for p, _ in held))
-    return out
-
-
-def split_text(
-    text: str, limit: int, overlap: int, depth: int = 0, length: Callable[[str], int] = blank_tokens
-) -> list[str]:
-    """Chunks of at most ``limit`` by ``length``, cut at the coarsest separator that works.
-    Every token is covered; only siblings at one depth are joined. Below the separators come
-    other blanks, then characters (one that alone exceeds the limit is a chunk)."""
-    if length(text) <= limit:
-        return [text.strip()] if text.strip() else []
-    if depth > len(SEPARATORS):
-        return [c.strip() for c in _pack(list(text), "", limit, overlap, length) if c.strip()]
-    if depth == len(SEPARATORS):
-        parts, glue = text.split(), " "
-    else:
-        sep = SEPARATORS[depth]
-        parts = re.split(r"(?<=\.) ", text) if sep == ". " else text.split(sep)
-        glue = " " if sep == ". " else sep
-    out: list[str] = []
-    run: list[str] = []
-    for part in parts:
-        if not part.strip():
-            continue
-        if length(part) <= limit:
-            run.append(part)
-            continue
-        out += _pack(run, glue, limit, overlap, length)
-        run = []
-        out += split_text(part, limit, overlap, depth + 1, length)
-    out += _pack(run, glue, limit, overlap, length)
-    return [c.strip() for c in out if c.strip()]
-
-
 def _splitter(limit: int, overlap: int, kind: str, column: str, length: Callable[[str], int]) -> F.Column:
     if kind == "fixed":
         toks = solid_runs(column)
@@ -149,21 +97,32 @@ def _splitter(limit: int, overlap: int, kind: str, column: str, length: Callable
 
 
 def split_parents(
-    groups: DataFrame, max_tokens: int = 1800, overlap: int = 0, splitter: str = "recursive",
+    elements: DataFrame, max_tokens: int = 1800, overlap: int = 0, splitter: str = "recursive",
     length: Callable[[str], int] = blank_tokens,
 ) -> DataFrame:
-    """Parent passages, numbered over the whole paper (K2). Each inherits its group's
-    pages and path and the element ids of its segment."""
+    """Parent passages of kept elements, numbered over the whole paper (K2). Each inherits its
+    section run's pages and path and names the orders of the elements it holds."""
+    runs = materialize(section_runs(elements).select("paper_id", "group_no", "order", "text", "page", "section_path"))
+    texts = runs.select("paper_id", "group_no", "order", "text")
     # Written once: the numbering below reads the pieces twice.
-    cut = materialize(groups.withColumn("pieces", _splitter(max_tokens, overlap, splitter, "text", length)).drop("text"))
-    # Segments start at distinct element orders, which number the parents in reading order.
-    placed = scan(cut, ["paper_id"], "first_order", sums={"upto": "CAST(size(pieces) AS BIGINT)"})
-    rows = placed.selectExpr("*", "posexplode(pieces) AS (pos, content)")
-    return rows.selectExpr(
-        "paper_id", "group_no", "section_path", "page_start", "page_end", "element_ids",
-        "upto - size(pieces) + pos + 1 AS parent_no",
-        "format_string('parent_%04d', upto - size(pieces) + pos + 1) AS parent_key",
-        "content",
+    cut = materialize(cut_windows(texts, max_tokens, overlap) if splitter == "fixed" else pack_groups(texts, max_tokens, overlap, length))
+    counted = sql(
+        """
+        SELECT paper_id, group_no, section_path, page_start, page_end, n, last_block
+        FROM (SELECT paper_id, group_no, count(*) AS n, max(block) AS last_block FROM {c} GROUP BY paper_id, group_no)
+        JOIN (SELECT paper_id, group_no, first(section_path) AS section_path, min(page) AS page_start, max(page) AS page_end
+          FROM {r} GROUP BY paper_id, group_no) USING (paper_id, group_no)
+        """,
+        c=cut.select("paper_id", "group_no", "block"),
+        r=runs.select("paper_id", "group_no", "section_path", "page"),
+    )
+    # A large run's facts are laid out by block, so that its passages do not all meet one row.
+    facts = scan(counted, ["paper_id"], "group_no", sums={"upto": "n"}).selectExpr(
+        "paper_id", "group_no", "section_path", "page_start", "page_end", "upto - n AS before", "explode(sequence(0L, last_block)) AS block"
+    )
+    return cut.join(facts, ["paper_id", "group_no", "block"]).selectExpr(
+        "paper_id", "group_no", "section_path", "page_start", "page_end", "ranges AS element_ranges",
+        "before + no + 1 AS parent_no", "format_string('parent_%04d', before + no + 1) AS parent_key", "content",
     )
 
 
@@ -174,7 +133,7 @@ def split_children(
     """Child chunks inside each parent, carrying its key (K3)."""
     cut = parents.withColumn("pieces", _splitter(max_tokens, overlap, splitter, "content", length)).drop("content")
     return cut.selectExpr("*", "posexplode(pieces) AS (pos, content)").selectExpr(
-        "paper_id", "group_no", "section_path", "page_start", "page_end", "element_ids", "parent_no", "parent_key",
+        "paper_id", "group_no", "section_path", "page_start", "page_end", "element_ranges", "parent_no", "parent_key",
         "CAST(pos + 1 AS BIGINT) AS child_no", "content",
     )
 
@@ -189,7 +148,7 @@ def visual_chunks(visuals: DataFrame) -> DataFrame:
     content = f"IF({body} = '' AND internal_texts = 0, concat({kind}, ' on page ', coalesce(page, 'None')), {body})"
     return visuals.selectExpr(
         "paper_id", f"{kind} AS chunk_type", "section_path", "page AS page_start", "page AS page_end",
-        f"{content} AS content", "array(element_id) AS element_ids", "element_id",
+        f"{content} AS content", "element_id",
         "internal_texts > 0 AS has_internal_text",
     )
 
@@ -197,7 +156,7 @@ def visual_chunks(visuals: DataFrame) -> DataFrame:
 def chunk(elements: DataFrame, visuals: DataFrame, config: ChunkingConfig | None = None) -> DataFrame:
     """Parents, children and visual chunks of all papers, with repeatable ids (K1-K5)."""
     cfg = config or ChunkingConfig()
-    parents = split_parents(group_by_section(elements), cfg.parent_max_tokens, 0, cfg.splitter, cfg.length)
+    parents = split_parents(elements, cfg.parent_max_tokens, 0, cfg.splitter, cfg.length)
     children = split_children(parents, cfg.child_max_tokens, cfg.overlap_tokens, cfg.splitter, cfg.length)
     nothing = "CAST(NULL AS STRING) AS element_id", "false AS has_internal_text"
     rows = (
@@ -233,9 +192,20 @@ def chunk_metrics(chunks: DataFrame, orphans: DataFrame | None = None) -> DataFr
 
 
 def orphaned_elements(elements: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Kept elements that no parent covers (K7)."""
-    covered = chunks.filter(f"chunk_type = '{PARENT}'").selectExpr("paper_id", "explode(element_ids) AS element_id")
-    return elements.join(covered, ["paper_id", "element_id"], "left_anti").select("paper_id", "element_id", "order")
+    """Kept elements that no parent covers (K7). Ranges open and close along the orders of a
+    paper; an element where none is open is left over. No range is spelled out."""
+    marks = sql(
+        f"""
+        SELECT paper_id, order, sum(delta) AS delta, max(element_id) AS element_id, max(present) AS present FROM (
+          SELECT paper_id, CAST(order AS BIGINT) AS order, 0L AS delta, element_id, true AS present FROM {{e}}
+          UNION ALL SELECT paper_id, r.first, 1L, NULL, NULL FROM {{r}}
+          UNION ALL SELECT paper_id, r.last + 1, -1L, NULL, NULL FROM {{r}}) GROUP BY paper_id, order
+        """,
+        e=elements.select("paper_id", "order", "element_id"),
+        r=chunks.filter(f"chunk_type = '{PARENT}'").selectExpr("paper_id", "inline(element_ranges) AS (first, last)").selectExpr(
+            "paper_id", "named_struct('first', first, 'last', last) AS r"),
+    )
+    return scan(marks, ["paper_id"], "order", sums={"open": "delta"}).where("present AND open = 0").select("paper_id", "element_id", "order")
 
 
 def orphan_sample(orphans: DataFrame, n: int = 10) -> DataFrame:

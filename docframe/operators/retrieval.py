@@ -15,15 +15,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.functions.text import normalize_query, words
+from docframe.functions.text import normalize_query
+from docframe.operators.lexical import K1, MAX_BUCKETS, B, LexicalIndex, scope_key, scratch_index, search
 from docframe.operators.ordered import sql, top_per_key
-from docframe.session import materialize
+from docframe.sources.bucketed import open_bucketed, write_bucketed
 
 # Ensemble weights, fusion constant and pool sizes.
 WEIGHTS = {"sparse": 0.45, "dense": 0.55}
 RRF_CONSTANT = 60
 POOL = 40
 PREVIEW_CHARS = 500
+# Chunks in a bucket of a stored corpus.
+BUCKET_ROWS = 50_000
 # Vectors per side of a scoring tile.
 TILE = 4096
 
@@ -42,8 +45,16 @@ def scope_corpus(
 
 
 def _scoped(df: DataFrame, scope: Sequence[str], *exprs: str) -> DataFrame:
-    key = f"concat_ws('\\u0001', {', '.join(scope)})" if scope else "''"
-    return df.selectExpr(f"{key} AS scope", *exprs)
+    return df.selectExpr(f"{scope_key(scope)} AS scope", *exprs)
+
+
+def store_corpus(corpus: DataFrame, path: str) -> DataFrame:
+    """Write the corpus in buckets of ``chunk_id``, so that the winners of a search are fetched
+    where their texts lie; one file a bucket, of about ``BUCKET_ROWS`` rows. Returns it as read."""
+    buckets = min(max(8, -(-corpus.count() // BUCKET_ROWS)), MAX_BUCKETS)
+    write_bucketed(corpus.repartition(buckets, "chunk_id"), path, ["chunk_id"], buckets)
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in corpus.dtypes)
+    return open_bucketed(corpus.sparkSession, path, schema, ["chunk_id"], buckets)
 
 
 def bm25(
@@ -52,65 +63,21 @@ def bm25(
     k: int = POOL,
     *,
     scope: Sequence[str] = (),
-    k1: float = 1.5,
-    b: float = 0.75,
+    index: LexicalIndex | None = None,
+    k1: float = K1,
+    b: float = B,
     pad_unmatched: bool = False,
-    prune: bool | None = None,
 ) -> DataFrame:
     """Top ``k`` chunks per query by BM25 over the scope's documents (R2).
 
-    Tokenised chunks are placed by chunk once, so counting terms needs no further shuffle.
-    ``prune`` (by default for unconfined searches) skips, exactly, the pairs that cannot
-    reach the top k; see ``_pruned_scores``.
+    With a stored ``index`` (built for the same scope columns, which also fixes k1 and b) the
+    corpus itself is not read; without one an index is written to the scratch folder first.
     """
-    tokens = _scoped(corpus, scope, "chunk_id", f"{words('content')} AS toks").repartition("chunk_id")
-    asked = _scoped(queries, scope, "query_id", f"{words(normalize_query('query'))} AS toks")
-    terms = sql(
-        """
-        SELECT query_id, scope, term, count(*) AS qtf
-        FROM (SELECT query_id, scope, explode(toks) AS term FROM {q}) GROUP BY query_id, scope, term
-        """,
-        q=asked,
-    )
-    postings = sql(
-        f"""
-        WITH corpus_size AS (
-          SELECT scope, count(*) AS n, avg(size(toks)) AS avgdl FROM {{t}} GROUP BY scope),
-        tf AS (
-          SELECT scope, chunk_id, dl, term, count(*) AS tf
-          FROM (SELECT scope, chunk_id, size(toks) AS dl, explode(toks) AS term FROM {{t}})
-          LEFT SEMI JOIN (SELECT DISTINCT scope, term FROM {{q}}) USING (scope, term)
-          GROUP BY scope, chunk_id, dl, term)
-        SELECT scope, chunk_id, term, n, tf * {k1 + 1}D / (tf + {k1}D * (1 - {b}D + {b}D * dl / avgdl)) AS gain
-        FROM tf JOIN corpus_size USING (scope)
-        """,
-        t=tokens,
-        q=terms,
-    )
-    pruned = prune if prune is not None else not scope
-    if pruned:
-        postings, terms = materialize(postings), materialize(terms)
-    weights = sql(
-        """
-        SELECT query_id, scope, term, qtf * ln(1 + (n - df + 0.5D) / (df + 0.5D)) AS w, top
-        FROM {q} JOIN (SELECT scope, term, count(*) AS df, max(n) AS n, max(gain) AS top FROM {p} GROUP BY scope, term)
-        USING (scope, term)
-        """,
-        q=terms,
-        p=postings,
-    )
-    if pruned:
-        hits = _pruned_scores(postings, materialize(weights), k)
-    else:
-        hits = sql(
-            """
-            SELECT query_id, chunk_id, round(sum(w * gain), 6) AS score
-            FROM {p} JOIN {w} USING (scope, term) GROUP BY query_id, chunk_id
-            """,
-            p=postings,
-            w=weights,
-        )
-    ranked = top_per_key(hits, ["query_id"], k, "score DESC, chunk_id", rank="rank")
+    if index is None:
+        index = scratch_index(corpus, scope, k1, b)
+    elif index.scope != tuple(scope):
+        raise ValueError(f"the index is for searches confined by {index.scope}, not {tuple(scope)}")
+    ranked = search(index, queries, k)
     if not pad_unmatched:
         return ranked
     # At most k of the first 2k chunks of a scope can be matched already.
@@ -124,70 +91,6 @@ def bm25(
     return top_per_key(every, ["query_id"], k, "score DESC, chunk_id", rank="rank")
 
 
-def _pruned_scores(postings: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """Scores of every chunk that can be among the k best of a query, and of few others.
-
-    The k best postings of each query word name a bounded set of chunks per query; the
-    k-th best full score among them is a floor that the true top k cannot fall below.
-    Words whose best possible gains together stay under that floor (the frequent ones)
-    cannot lift a chunk into the top k alone, so chunks are found through the other words
-    only, dropped when even the best gains of the rest would leave them under the floor,
-    and completed for the survivors (the MaxScore rule of Turtle and Flood, 1995).
-    """
-    slack = 1e-5  # scores are compared after rounding to six places
-    heads = top_per_key(postings, ["scope", "term"], k, "gain DESC, chunk_id")
-    floors = sql(
-        f"""
-        WITH seeds AS (
-          SELECT DISTINCT query_id, scope, chunk_id FROM {{h}} JOIN {{w}} USING (scope, term)),
-        full AS (
-          SELECT query_id, chunk_id, sum(w * gain) AS score
-          FROM seeds JOIN {{w}} USING (query_id, scope) JOIN {{p}} USING (scope, chunk_id, term)
-          GROUP BY query_id, chunk_id),
-        placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS place FROM full)
-        SELECT query_id, score AS floor FROM placed WHERE place = {k}
-        """,
-        h=heads,
-        w=weights,
-        p=postings,
-    )
-    split = materialize(
-        sql(
-            f"""
-            SELECT *, sum(IF(lifting, 0D, w * top)) OVER (PARTITION BY query_id, scope) AS rest FROM (
-              SELECT {{w}}.*, coalesce(floor, 0D) AS floor, sum(w * top) OVER (
-                PARTITION BY query_id, scope ORDER BY w * top, term) >= coalesce(floor, 0D) - {slack}D AS lifting
-              FROM {{w}} LEFT JOIN {{f}} USING (query_id))
-            """,
-            w=weights,
-            f=floors,
-        )
-    )
-    found = materialize(
-        sql(
-            f"""
-            SELECT query_id, scope, chunk_id, sum(w * gain) AS part FROM {{p}} JOIN {{s}} USING (scope, term)
-            WHERE lifting GROUP BY query_id, scope, chunk_id
-            HAVING sum(w * gain) + max(rest) >= max(floor) - {slack}D
-            """,
-            p=postings,
-            s=split,
-        )
-    )
-    return sql(
-        """
-        WITH more AS (
-          SELECT query_id, chunk_id, w * gain AS part FROM {f} JOIN {s} USING (query_id, scope)
-          JOIN {p} USING (scope, chunk_id, term) WHERE NOT lifting)
-        SELECT query_id, chunk_id, round(sum(part), 6) AS score
-        FROM (SELECT query_id, chunk_id, part FROM {f} UNION ALL SELECT * FROM more) GROUP BY query_id, chunk_id
-        """,
-        f=found,
-        s=split,
-        p=postings,
-    )
-
-
 def _tile_scores(k: int):
     def unit(vectors: pd.Series) -> np.ndarray:
         m = np.stack([np.asarray(v, dtype="float64") for v in vectors])
@@ -330,17 +233,20 @@ def retrieve(
     top_k: int = 8,
     candidate_pool: int = POOL,
     scope: Sequence[str] = (),
+    index: LexicalIndex | None = None,
     vectors: DataFrame | None = None,
     use_mmr: bool = False,
     with_parents: bool = True,
 ) -> DataFrame:
     """Ranked, cited chunks per query.
 
-    ``vectors`` (query_id, embedding) switches the dense half on; the corpus must then
-    carry ``embedding``. Without it the lexical list alone decides. Blank queries have no result.
+    ``index`` is a stored lexical index of the corpus for ``scope``. ``vectors`` (query_id,
+    embedding) switches the dense half on; the corpus must then carry ``embedding``. Without it
+    the lexical list alone decides. Blank queries have no result. Texts are fetched for the
+    winners only; from a corpus of ``store_corpus`` without moving any other row.
     """
     queries = queries.filter(f"{normalize_query('query')} <> ''")
-    lists = {"sparse": bm25(corpus, queries, candidate_pool, scope=scope)}
+    lists = {"sparse": bm25(corpus, queries, candidate_pool, scope=scope, index=index)}
     if vectors is not None:
         probes = queries.join(vectors, "query_id")
         search = mmr_topk if use_mmr else dense_topk

@@ -23,6 +23,16 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     return spark.read.parquet(_STAGES[key])
 
 
+def stage_folder(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Folder of a stored structure of several tables, written on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGES:
+        path = scratch_path(spark, name)
+        write(path)
+        _STAGES[key] = path
+    return _STAGES[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -70,7 +70,7 @@ def chunks(spark, d):
 
 
 def parents(spark, d):
-    return stage(spark, d, "parents", lambda: ck.split_parents(ck.group_by_section(kept(spark, d)), 200, 0, "fixed"))
+    return stage(spark, d, "parents", lambda: ck.split_parents(kept(spark, d), 200, 0, "fixed"))
 
 
 @query("extract_visuals", """
@@ -208,14 +208,14 @@ def _(spark, d):
 
 
 @query("group_by_section", """
-    SELECT paper_id, group_no, 0 AS segment, array_to_string(section_path, ' > ') AS section_path, text, page_start, page_end,
+    SELECT paper_id, group_no, 0 AS part, array_to_string(section_path, ' > ') AS section_path, text, page_start, page_end,
       first_order, last_order, n_elements FROM groups
 """, uses="groups")
 def _(spark, d):
     g = ck.group_by_section(kept(spark, d))
     return g.select(
-        "paper_id", "group_no", "segment", joined_path().alias("section_path"), "text", "page_start", "page_end",
-        "first_order", "last_order", F.size("element_ids").alias("n_elements"),
+        "paper_id", "group_no", "part", joined_path().alias("section_path"), "text", "page_start", "page_end",
+        "first_order", "last_order", "n_elements",
     )
 
 
@@ -223,7 +223,7 @@ def _(spark, d):
     SELECT paper_id, printf('parent_%04d', parent_no) AS parent_key, group_no, page_start, page_end, content FROM parents
 """, uses="parents")
 def _(spark, d):
-    p = ck.split_parents(ck.group_by_section(kept(spark, d)), 200, 0, "fixed")
+    p = ck.split_parents(kept(spark, d), 200, 0, "fixed")
     return p.select("paper_id", "parent_key", "group_no", "page_start", "page_end", "content")
 
 
@@ -238,7 +238,7 @@ def _(spark, d):
 
 @query("split_recursive")
 def _(spark, d):
-    p = ck.split_parents(ck.group_by_section(kept(spark, d)))
+    p = ck.split_parents(kept(spark, d))
     return ck.split_children(p).select("paper_id", "parent_key", "child_no", "content")
 
 

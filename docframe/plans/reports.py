@@ -11,7 +11,7 @@ from docframe.plans.adapters import elements, stage, table
 from docframe.plans.chunks import sections, visuals
 from docframe.plans.reference_sql import cte
 from docframe.plans.registry import query
-from docframe.plans.search import answer_ctes, bm25_sql, corpus
+from docframe.plans.search import answer_ctes, bm25_sql, corpus, open_index, paper_index
 from docframe.plans.structure import kept
 
 # A run per source: its question is the first benchmark text of the same number, its papers the source's documents.
@@ -60,7 +60,7 @@ def asked(spark, d):
 
 
 def run_results(spark, d):
-    return stage(spark, d, "run_results", lambda: rs.find(corpus(spark, d), asked(spark, d)))
+    return stage(spark, d, "run_results", lambda: rs.find(corpus(spark, d), asked(spark, d), index=paper_index(spark, d)))
 
 
 def run_answers(spark, d):
@@ -174,7 +174,7 @@ def _(spark, d):
     UNION ALL SELECT run_id, 'analyze_paper', count(*) FROM asked GROUP BY 1
 """, uses="asked run_found")
 def _(spark, d):
-    got = rs.run_research(research_questions(spark, d), papers(spark, d), corpus(spark, d))
+    got = rs.run_research(research_questions(spark, d), papers(spark, d), corpus(spark, d), index=paper_index(spark, d))
     return got["trace"].filter("stage <> 'verify_claims'")
 
 
@@ -231,4 +231,4 @@ def _(spark, d):
 def _(spark, d):
     cases = table(spark, d, "benchmark").selectExpr(
         "item_id AS query_id", "text AS query", "CAST(NULL AS array<string>) AS expected_chunk_ids", "array(left(text, 25)) AS expected_substrings")
-    return ev.retrieval_report(cases, corpus(spark, d))[1]
+    return ev.retrieval_report(cases, corpus(spark, d), index=open_index(spark, d))[1]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions import text as tx
 from docframe.operators import chunking as ck
 from docframe.operators import cleaning as cl
 from docframe.operators import index as ix
+from docframe.operators import lexical as lx
 from docframe.operators import qa
 from docframe.operators import retrieval as rt
-from docframe.plans.adapters import elements, stage, table
+from docframe.plans.adapters import elements, stage, stage_folder, table
 from docframe.plans.chunks import chunks
 from docframe.plans.reference_sql import cte
 from docframe.plans.registry import query
@@ -87,8 +89,27 @@ def answer_ctes(p: str, found: str, asked: str) -> None:
 answer_ctes("", "found", "questions")
 
 
+# Corpora as this session knows them, by folder.
+_CORPORA: dict[str, DataFrame] = {}
+
+
 def corpus(spark, d):
-    return stage(spark, d, "corpus", lambda: ck.link_parents(chunks(spark, d)))
+    """Linked chunks, stored in buckets of their ids."""
+    def write(path):
+        _CORPORA[path] = rt.store_corpus(ck.link_parents(chunks(spark, d)), path)
+
+    return _CORPORA[stage_folder(spark, d, "corpus", write)]
+
+
+def open_index(spark, d):
+    """Stored lexical index of all chunks for unconfined searches."""
+    return lx.open_index(spark, stage_folder(spark, d, "open_index", lambda p: lx.build_index(corpus(spark, d), p)))
+
+
+def paper_index(spark, d):
+    """Stored lexical index for searches inside one paper."""
+    build = lambda p: lx.build_index(corpus(spark, d), p, scope=["paper_id"])
+    return lx.open_index(spark, stage_folder(spark, d, "paper_index", build))
 
 
 def open_queries(spark, d):
@@ -110,7 +131,7 @@ def paper_results(spark, d):
     """Stored results of the paper questions, as the answering queries below read them."""
     c = corpus(spark, d)
     return stage(spark, d, "results", lambda: with_ids(
-        rt.retrieve(c, questions(spark, d), top_k=6, scope=["paper_id"], with_parents=False), c))
+        rt.retrieve(c, questions(spark, d), top_k=6, scope=["paper_id"], index=paper_index(spark, d), with_parents=False), c))
 
 
 @query("scope_corpus", """
@@ -121,14 +142,26 @@ def _(spark, d):
     return rt.scope_corpus(corpus(spark, d), papers, user_id="src7").select("chunk_id", "paper_id")
 
 
+@query("lexical_index", """
+    WITH tf AS (SELECT chunk_id, len(a) AS dl, unnest(a) AS term FROM (
+        SELECT chunk_id, [lower(w) FOR w IN regexp_extract_all(content, '[A-Za-z0-9_]+')] AS a FROM corpus)),
+    gains AS (SELECT term, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len(regexp_extract_all(content, '[A-Za-z0-9_]+'))) FROM corpus))) AS gain
+      FROM (SELECT chunk_id, dl, term, count(*) AS tf FROM tf GROUP BY ALL))
+    SELECT term, count(*) AS df, round(max(gain), 9) AS top FROM gains GROUP BY 1
+""", uses="corpus")
+def _(spark, d):
+    terms = open_index(spark, d).table(spark, "terms")
+    return terms.groupBy("term").agg(F.expr("sum(df) AS df"), F.expr("round(max(top), 9) AS top"))
+
+
 @query("bm25", "SELECT query_id, chunk_id, score, rank FROM open_hits", uses="open_hits")
 def _(spark, d):
-    return rt.bm25(corpus(spark, d), open_queries(spark, d), 10)
+    return rt.bm25(corpus(spark, d), open_queries(spark, d), 10, index=open_index(spark, d))
 
 
 @query("bm25_in_paper", "SELECT query_id, chunk_id, score, rank FROM paper_hits", uses="paper_hits")
 def _(spark, d):
-    return rt.bm25(corpus(spark, d), questions(spark, d), 6, scope=["paper_id"])
+    return rt.bm25(corpus(spark, d), questions(spark, d), 6, scope=["paper_id"], index=paper_index(spark, d))
 
 
 CENTROIDS = """
@@ -210,7 +243,7 @@ FUSED = """
 
 @query("fuse", f"SELECT query_id, chunk_id, round(fused, 9) AS fused FROM ({FUSED})", uses="open_hits")
 def _(spark, d):
-    sparse = rt.bm25(corpus(spark, d), open_queries(spark, d), 10)
+    sparse = rt.bm25(corpus(spark, d), open_queries(spark, d), 10, index=open_index(spark, d))
     reverse = sparse.selectExpr(
         "query_id", "chunk_id", "row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id DESC) AS rank"
     )
@@ -223,7 +256,7 @@ def _(spark, d):
     FROM found f LEFT JOIN corpus p ON p.chunk_id = f.parent_chunk_id
 """, uses="found corpus")
 def _(spark, d):
-    got = rt.retrieve(corpus(spark, d), questions(spark, d), top_k=6, scope=["paper_id"])
+    got = rt.retrieve(corpus(spark, d), questions(spark, d), top_k=6, scope=["paper_id"], index=paper_index(spark, d))
     return got.selectExpr(
         "query_id", "rank", "round(score, 6) AS score", "chunk_id", "paper_id", "citation", "parent_chunk_id",
         "parent_content_preview",
@@ -234,7 +267,7 @@ def _(spark, d):
 def _(spark, d):
     q = open_queries(spark, d)
     vectors = ix.embed(q, ix.hashing_model(DIM), column="query").select("query_id", "embedding")
-    got = rt.retrieve(embedded(spark, d), q, top_k=8, vectors=vectors)
+    got = rt.retrieve(embedded(spark, d), q, top_k=8, index=open_index(spark, d), vectors=vectors)
     return got.selectExpr("query_id", "rank", "round(score, 6) AS score", "chunk_id", "citation")
 
 
@@ -275,7 +308,7 @@ def _(spark, d):
 """, uses="open_hits corpus")
 def _(spark, d):
     q = open_queries(spark, d)
-    found = rt.retrieve(corpus(spark, d), q, top_k=10, with_parents=False)
+    found = rt.retrieve(corpus(spark, d), q, top_k=10, index=open_index(spark, d), with_parents=False)
     cases = q.selectExpr(
         "query_id", "CAST(NULL AS array<string>) AS expected_chunk_ids", "array(left(query, 25)) AS expected_substrings"
     )
@@ -358,7 +391,7 @@ def _(spark, d):
 @query("answer", "SELECT * FROM answers", uses="answers")
 def _(spark, d):
     c, q = corpus(spark, d), questions(spark, d)
-    found = with_ids(rt.retrieve(c, q, top_k=6, scope=["paper_id"], with_parents=False), c)
+    found = with_ids(rt.retrieve(c, q, top_k=6, scope=["paper_id"], index=paper_index(spark, d), with_parents=False), c)
     return qa.assemble_answers(found, q).selectExpr(
         "query_id", "paper_id", "query", "answer", "confidence", "array_join(pages, ',') AS pages",
         "array_join(used_chunks, ',') AS used_chunks", "array_join(used_visual_elements, ',') AS visuals",

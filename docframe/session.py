@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Tables bucketed by some of a join's keys are read in place.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
