@@ -8,7 +8,9 @@ one bucket and a search adds up scores without moving a posting:
 - ``terms``: chunks that hold a term, and its best gain, per scope;
 - ``blocks``: postings of a term in a part by falling gain, ``BLOCK`` to a row, with the
   row's best gain, so that a row is skipped by one comparison before it is opened;
-- ``forward``: terms and gains of a chunk, to complete the score of a few candidates.
+- ``forward``: id, terms and gains of a chunk, to complete the score of a few candidates.
+
+Postings name a chunk by its number in the part.
 
 A search broadcasts or shuffles only query terms, floors and candidates (Spark decides by
 their measured size). Index rows are filtered, opened and summed where they are read.
@@ -34,6 +36,10 @@ PARTS_PER_BUCKET = 4
 MAX_BUCKETS = 100_000  # Spark's own limit
 SLACK = 1e-5  # scores are compared after rounding to six places
 SEEDS = 3  # times k: heads whose full score sets the floor
+HEAD_WORDS = 12  # strongest words of a query whose heads are looked at
+# Weak words are left out of the first pass as long as they add up to this share of the floor.
+# Any share below one is exact; a small one leaves few chunks to complete.
+WEAK = 0.1
 
 # Usual constants of the ranking function.
 K1, B = 1.5, 0.75
@@ -41,8 +47,8 @@ K1, B = 1.5, 0.75
 SCHEMAS = {
     "scopes": "scope string, n long, avgdl double, parts int",
     "terms": "scope string, part int, term string, df long, top double",
-    "blocks": "scope string, part int, term string, block int, top double, chunk_ids array<{id}>, gains array<double>",
-    "forward": "scope string, part int, chunk_id {id}, terms array<string>, gains array<double>",
+    "blocks": "scope string, part int, term string, block int, top double, docs array<int>, gains array<double>",
+    "forward": "scope string, part int, doc int, chunk_id {id}, terms array<string>, gains array<double>",
 }
 KEYS = ["scope", "part"]
 
@@ -98,18 +104,20 @@ def build_index(corpus: DataFrame, path: str, *, scope: Sequence[str] = (), k1:
         """,
         d=dealt.repartition(buckets, *KEYS),
     )
-    forward = gains.groupBy(*KEYS, "chunk_id").agg(F.expr("collect_list(term) AS terms"), F.expr("collect_list(gain) AS gains"))
-    write_bucketed(forward, f"{path}/forward", KEYS, buckets, ["scope", "part", "chunk_id"])
+    forward = gains.groupBy(*KEYS, "chunk_id").agg(F.expr("collect_list(term) AS terms"), F.expr("collect_list(gain) AS gains")).selectExpr(
+        *KEYS, "row_number() OVER (PARTITION BY scope, part ORDER BY chunk_id) AS doc", "chunk_id", "terms", "gains"
+    )
+    write_bucketed(forward, f"{path}/forward", KEYS, buckets, ["scope", "part", "doc"])
     # The postings are the forward rows turned over: read back where they lie, without another exchange.
-    postings = index.table(spark, "forward").selectExpr("scope", "part", "chunk_id", "inline(arrays_zip(terms, gains)) AS (term, gain)")
+    postings = index.table(spark, "forward").selectExpr("scope", "part", "doc", "inline(arrays_zip(terms, gains)) AS (term, gain)")
     blocks = sql(
         f"""
-        SELECT scope, part, term, block, max(gain) AS top,
-          transform(array_sort(collect_list(named_struct('p', place, 'c', chunk_id))), x -> x.c) AS chunk_ids,
-          transform(array_sort(collect_list(named_struct('p', place, 'g', gain))), x -> x.g) AS gains
-        FROM (SELECT *, CAST((place - 1) DIV {BLOCK} AS INT) AS block FROM (
-          SELECT *, row_number() OVER (PARTITION BY scope, part, term ORDER BY gain DESC, chunk_id) AS place FROM {{p}}))
-        GROUP BY scope, part, term, block
+        SELECT scope, part, term, block, top,
+          transform(held, x -> x.d) AS docs, transform(held, x -> x.g) AS gains
+        FROM (SELECT scope, part, term, block, max(gain) AS top, array_sort(collect_list(named_struct('p', place, 'd', doc, 'g', gain))) AS held
+          FROM (SELECT *, CAST((place - 1) DIV {BLOCK} AS INT) AS block FROM (
+            SELECT *, row_number() OVER (PARTITION BY scope, part, term ORDER BY gain DESC, doc) AS place FROM {{p}}))
+          GROUP BY scope, part, term, block)
         """,
         p=postings,
     )
@@ -163,17 +171,16 @@ def query_weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     )
 
 
-def _opened(index: LexicalIndex, words_of: DataFrame, condition: str, having: str = "true") -> DataFrame:
+def _opened(index: LexicalIndex, words_of: DataFrame, condition: str = "true") -> DataFrame:
     """Summed gains per query and chunk over the rows of ``blocks`` that meet ``condition`` (over b
-    and w): a row that does not is never opened, and none is moved. ``words_of`` has one value of
-    ``rest`` and ``floor`` a query, which ``having`` may use."""
+    and w): a row that does not is never opened, and none is moved."""
     return sql(
         f"""
-        SELECT scope, part, query_id, chunk_id, sum(w * gain) AS score
-        FROM (SELECT scope, part, query_id, w, rest, floor, inline(arrays_zip(chunk_ids, gains)) AS (chunk_id, gain) FROM (
-          SELECT b.scope, b.part, w.query_id, w.w, w.rest, w.floor, b.chunk_ids, b.gains
+        SELECT scope, part, query_id, doc, sum(w * gain) AS score
+        FROM (SELECT scope, part, query_id, w, inline(arrays_zip(docs, gains)) AS (doc, gain) FROM (
+          SELECT b.scope, b.part, w.query_id, w.w, b.docs, b.gains
           FROM {{b}} b JOIN {{w}} w ON b.scope = w.scope AND b.part = w.part AND b.term = w.term WHERE {condition}))
-        GROUP BY scope, part, query_id, chunk_id HAVING {having}
+        GROUP BY scope, part, query_id, doc
         """,
         b=index.table(words_of.sparkSession, "blocks"),
         w=words_of.selectExpr("*", "explode(sequence(0, parts - 1)) AS part"),
@@ -181,12 +188,12 @@ def _opened(index: LexicalIndex, words_of: DataFrame, condition: str, having: st
 
 
 def _completed(index: LexicalIndex, weights: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Full scores of chosen (scope, part, query_id, chunk_id), from the chunks' own terms."""
+    """Full scores of chosen (scope, part, query_id, doc), from the chunks' own terms."""
     return sql(
         """
         WITH terms AS (
-          SELECT c.query_id, c.chunk_id, inline(arrays_zip(f.terms, f.gains)) AS (term, gain)
-          FROM {f} f JOIN {c} c ON f.scope = c.scope AND f.part = c.part AND f.chunk_id = c.chunk_id)
+          SELECT c.query_id, f.chunk_id, inline(arrays_zip(f.terms, f.gains)) AS (term, gain)
+          FROM {f} f JOIN {c} c ON f.scope = c.scope AND f.part = c.part AND f.doc = c.doc)
         SELECT t.query_id, t.chunk_id, sum(w.w * t.gain) AS score FROM terms t JOIN {w} w ON t.query_id = w.query_id AND t.term = w.term
         GROUP BY t.query_id, t.chunk_id
         """,
@@ -199,16 +206,16 @@ def _completed(index: LexicalIndex, weights: DataFrame, chosen: DataFrame) -> Da
 def search(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     """Exact top ``k`` chunks per query (query_id, chunk_id, score, rank) from a stored index.
 
-    The best rows of each word's postings name a few chunks per query; the k-th best full
-    score among them is a floor that the true top k cannot fall below. Words whose best
-    gains together stay under the floor cannot lift a chunk alone (the MaxScore rule of
-    Turtle and Flood, 1995), and a row of postings is left closed if its best gain and all
+    The best rows of the strongest words' postings name a few chunks per query; the k-th best
+    full score among them is a floor that the true top k cannot fall below. The weakest words,
+    whose best gains together stay under a share of the floor, cannot lift a chunk alone (the
+    MaxScore rule of Turtle and Flood, 1995): chunks are found through the others, and a row of postings is left closed if its best gain and all
     other words' best gains stay under it (block-max, Ding and Suel, 2011). What is left is
     completed from the chunks' own terms.
     """
     weights = materialize(query_weights(index, queries))
-    unknown = weights.selectExpr("*", "0D AS rest", "0D AS floor")
-    heads = top_per_key(_opened(index, unknown, "b.block = 0"), ["query_id"], SEEDS * k, "score DESC, chunk_id").drop("score")
+    strong = top_per_key(weights, ["query_id"], HEAD_WORDS, "w * top DESC, term")
+    heads = top_per_key(_opened(index, strong, "b.block = 0"), ["query_id"], SEEDS * k, "score DESC, part, doc").drop("score")
     floors = sql(
         f"""
         SELECT query_id, score AS floor FROM (
@@ -220,16 +227,22 @@ def search(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
         f"""
         SELECT *, sum(IF(lifting, 0D, w * top)) OVER (PARTITION BY query_id, scope) AS rest FROM (
           SELECT {{w}}.*, coalesce(floor, 0D) AS floor, sum(w * top) OVER (PARTITION BY query_id, scope) - w * top AS others,
-            sum(w * top) OVER (PARTITION BY query_id, scope ORDER BY w * top, term) >= coalesce(floor, 0D) - {SLACK}D AS lifting
+            sum(w * top) OVER (PARTITION BY query_id, scope ORDER BY w * top, term) >= {WEAK}D * coalesce(floor, 0D) - {SLACK}D AS lifting
           FROM {{w}} LEFT JOIN {{f}} USING (query_id))
         """,
         w=weights,
         f=floors,
     )
-    found = _opened(
-        index, materialize(split), f"w.lifting AND w.w * b.top + w.others >= w.floor - {SLACK}D",
-        f"sum(w * gain) + max(rest) >= max(floor) - {SLACK}D",
-    ).drop("score")
+    split = materialize(split)
+    found = sql(
+        f"""
+        SELECT f.scope, f.part, f.query_id, f.doc FROM {{f}} f
+        JOIN (SELECT query_id, max(rest) AS rest, max(floor) AS floor FROM {{s}} GROUP BY query_id) s ON f.query_id = s.query_id
+        WHERE f.score + s.rest >= s.floor - {SLACK}D
+        """,
+        f=_opened(index, split.where("lifting"), f"w.w * b.top + w.others >= w.floor - {SLACK}D"),
+        s=split,
+    )
     scored = _completed(index, weights, materialize(found)).withColumn("score", F.round("score", 6))
     return top_per_key(scored, ["query_id"], k, "score DESC, chunk_id", rank="rank")
 
