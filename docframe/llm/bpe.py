@@ -110,7 +110,7 @@ def word_table(docs: DataFrame, tokenizer_json: str, text: str = "text") -> Data
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(words: DataFrame, limit: int = TABLE_WORDS) -> list[str]:
+def frequent_words(words: DataFrame, limit: int = TABLE_WORDS) -> DataFrame:
     """The most frequent words, at most ``limit``: all words above a count that a
     histogram of the counts (a few hundred rows) shows to be exceeded often enough."""
     short = words.where(F.octet_length("word") <= TABLE_BYTES).withColumn("level", F.floor(F.log2("n") * 8))
@@ -121,19 +121,39 @@ def frequent_words(words: DataFrame, limit: int = TABLE_WORDS) -> list[str]:
         if total > limit:
             break
         least = r.level
-    return [] if least == math.inf else [r.word for r in kept.where(F.col("level") >= least).select("word").collect()]
+    return kept.where(F.lit(False) if least == math.inf else F.col("level") >= least).select("word")
+
+
+def encoded_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
+    """word, ids (little-endian bytes) of a table of words, encoded where they lie."""
+    shared = words.sparkSession.sparkContext.broadcast(tokenizer_json)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared.value)
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.column(0).slice(i, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([part, pa.array(encoder(part.to_pylist()), pa.binary())], ["word", "ids"])
+
+    return words.mapInArrow(run, "word string, ids binary")
 
 
 def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", table_words: int = TABLE_WORDS, scratch=None) -> DataFrame:
     """Add ``token_ids``. ``scratch`` stores the word counts once, if given."""
     words = word_table(docs, tokenizer_json, text)
     frequent = frequent_words(scratch(words) if scratch else words, table_words)
-    table = dict(zip(frequent, _encoder(tokenizer_json)(frequent)))
-    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, table))
+    # A bounded table; it reaches the tasks as Arrow columns and is turned into a dictionary there.
+    table = encoded_words(frequent, tokenizer_json).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, sink.getvalue().to_pybytes()))
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        code, known = shared.value
+        code, raw = shared.value
+        rows = pa.ipc.open_stream(raw).read_all()
+        known = dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist()))
         split, encoder = _splitter(code), _encoder(code)
         for batch in batches:
             texts = [t or "" for t in batch]
