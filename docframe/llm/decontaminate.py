@@ -14,8 +14,8 @@ punctuation. A test text shorter than a window is one window.
 
 Defined results: null texts and texts without words match nothing and have 0 words;
 test rows without id are ignored. Rows that repeat a document id are checked each by
-its own text; repeated test rows count once. Documents without id are looked up
-together and checked each by its own text. Empty tables give documents without hits, or
+its own text; repeated test rows count once. Documents without id, and with ids that are
+no longs, are looked up by a hash of their text. Empty tables give documents without hits, or
 an empty result. Extra columns of the documents are passed on.
 """
 
@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 from docframe.llm.words import NOT_ALNUM, Words, chunks, slices
 
 WINDOW = 10
-BUCKETS = 64
-NO_ID = -(2**63)
+BUCKETS = 256
 # A second list is intersected if it has at most this many times the postings of the first.
 SECOND_LIST = 8
 
@@ -59,6 +58,12 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)) % np.uint64(BUCKETS)
 
 
+def _document(key: str, text: str) -> F.Column:
+    """Number of a document in the lists: its id, or a hash of its text where the id is no long.
+    Documents that share a number share candidates; each is checked by its own text."""
+    return F.coalesce(F.expr(f"try_cast(`{key}` AS BIGINT)"), F.xxhash64(text))
+
+
 def index_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Postings of all tokens; one row per block of documents and bucket of terms."""
 
@@ -85,17 +90,17 @@ def index_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                     kinds = [pa.int32()] + [pa.binary()] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "terms", "counts", "docs", "places"])
 
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), F.col(text)).mapInArrow(build, _INDEX)
+    return docs.select(_document(key, text), F.col(text)).mapInArrow(build, _INDEX)
 
 
 def test_words(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct test texts with words: item, words (hashes, 8 bytes each)."""
+    """Distinct test texts with words: item, words (two hashes of 8 bytes each: all first ones, then all second ones)."""
 
     @F.pandas_udf("binary")
     def hashed(texts: pd.Series) -> pd.Series:
         w = Words([t for t in texts], NOT_ALNUM, lower=True)
-        h = w.hashes()
-        return pd.Series([h[a:b].tobytes() for a, b in zip(w.first, w.first[1:])])
+        h, h2 = w.hashes(), w.hashes(1)
+        return pd.Series([h[a:b].tobytes() + h2[a:b].tobytes() for a, b in zip(w.first, w.first[1:])])
 
     rows = items.select(F.col(key).cast("string").alias("item"), F.col(text).alias("t")).where("item IS NOT NULL AND t IS NOT NULL").distinct()
     return rows.select("item", hashed("t").alias("words")).where("length(words) > 0")
@@ -153,7 +158,7 @@ def _terms(items: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, raw in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()):
-                h = np.frombuffer(raw, np.int64)
+                h = np.frombuffer(raw, np.int64)[: len(raw) // 16]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([item] * len(h), pa.string()), pa.array([raw] * len(h), pa.binary()), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)],
                     ["item", "words", "off", "h"],
@@ -232,7 +237,7 @@ def decontaminate(
     found = alignments(tested, index, scratch, window)
     by_doc = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("item", "words", "at")).alias("_found"))
     own = ["n_words", "n_hit", "items"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own], F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_doc"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own], _document(key, text).alias("_doc"))
     joined = rows.join(by_doc, "_doc", "left")
 
     @F.pandas_udf("n_words long, n_hit long, items array<string>")
@@ -242,26 +247,27 @@ def decontaminate(
             texts = [None if t is None else t for t in texts]
             for i, j in chunks(texts):
                 w = Words(texts[i:j], NOT_ALNUM, lower=True)
-                h = w.hashes()
+                some = any(f is not None and len(f) for f in found.iloc[i:j])
+                h, h2 = (w.hashes(), w.hashes(1)) if some else (w.start, w.start)
                 for a, b, f in zip(w.first, w.first[1:], found.iloc[i:j]):
-                    out.append((b - a, *_hits(h[a:b], f, window)))
+                    out.append((b - a, *_hits(h[a:b], h2[a:b], f, window)))
             yield pd.DataFrame(out, columns=own)
 
     return joined.withColumn("_c", check(F.col(text), F.col("_found"))).select("*", *[F.col(f"_c.{c}") for c in own]).drop("_c", "_found", "_doc")
 
 
-def _hits(h: np.ndarray, found, window: int) -> tuple[int, list[str]]:
+def _hits(h: np.ndarray, h2: np.ndarray, found, window: int) -> tuple[int, list[str]]:
     """Words of a document inside occurring windows, and the test texts that have them."""
     if found is None or not len(found):
         return 0, []
     hit, items = np.zeros(len(h), bool), set()
     for f in found:
-        test = np.frombuffer(f["words"], np.uint64)
+        test, test2 = np.frombuffer(f["words"], np.uint64).reshape(2, -1)
         size, at = min(window, len(test)), int(f["at"])
         lo, hi = max(0, -at), min(len(test), len(h) - at)
         if hi - lo < size:
             continue
-        same = np.concatenate(([0], np.cumsum(test[lo:hi] != h[at + lo : at + hi])))
+        same = np.concatenate(([0], np.cumsum((test[lo:hi] != h[at + lo : at + hi]) | (test2[lo:hi] != h2[at + lo : at + hi]))))
         for s in np.flatnonzero(same[size:] == same[:-size]).tolist():
             hit[at + lo + s : at + lo + s + size] = True
             items.add(f["item"])

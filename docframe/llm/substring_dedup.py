@@ -50,7 +50,7 @@ def _first_minimum(v: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def pieces(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+def pieces(h: np.ndarray, h2: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Runs of full windows with one anchor: text, first window (word in the text), windows, anchor hash and 128-bit hash."""
     half = (window + 1) // 2
     n = len(h)
@@ -68,7 +68,7 @@ def pieces(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, .
     owner = np.cumsum(fresh & inside)[inside] - 1
     count = np.bincount(owner, minlength=len(begin))
     end = begin + count - 1 + window
-    signed = [x.view(np.int64) for x in (anchor_hash[anchor[begin]], ranges(h, begin, end), ranges(h, begin, end, 1))]
+    signed = [x.view(np.int64) for x in (anchor_hash[anchor[begin]], ranges(h, begin, end), ranges(h2, begin, end, 1))]
     return (text[begin], begin - first[text[begin]], count, *signed)
 
 
@@ -83,7 +83,7 @@ def _pieces_of(docs: DataFrame, window: int) -> DataFrame:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for i, j in chunks(texts):
                 w = Words(texts[i:j], BLANKS)
-                text, at, n, *keys = pieces(w.hashes(), w.first, window)
+                text, at, n, *keys = pieces(w.hashes(), w.hashes(1), w.first, window)
                 cols = [pa.array(ids[i:j][text]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, keys)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc", "at", "n", "anchor", "f1", "f2"])
 
@@ -98,12 +98,12 @@ def _windows_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             texts, picks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in chunks(texts):
                 w = Words(texts[i:j], BLANKS)
-                h = w.hashes()
+                both = w.hashes(), w.hashes(1)
                 rows = [(p["f1"], p["f2"], f + p["at"], p["n"]) for f, ps in zip(w.first.tolist(), picks[i:j]) for p in ps]
                 f1, f2, at, n = (np.array(c, np.int64) for c in zip(*rows))
                 off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 start = np.repeat(at, n) + off
-                w1, w2 = (ranges(h, start, start + window, k).view(np.int64) for k in (0, 1))
+                w1, w2 = (ranges(both[k], start, start + window, k).view(np.int64) for k in (0, 1))
                 cols = [np.repeat(f1, n), np.repeat(f2, n), off.astype(np.int32), w1, w2]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["f1", "f2", "off", "w1", "w2"])
 

@@ -1,8 +1,10 @@
 """Words of many texts at once, and hashes of words and word ranges, in numpy.
 
 Texts are handled as UTF-8 bytes. All separators are ASCII, so byte and character
-level agree. Hashes are polynomials modulo 2**64 over random letters, finished by a
-bijective mix; two of them with other bases give 128 bits.
+level agree. A word's hash adds up a mixed value of each byte and its place in the word;
+there are two with other constants, each 64 bits. A range of words is a polynomial modulo
+2**64 over their hashes, finished by a bijective mix; over both word hashes, with another
+base for each, it gives 128 bits. Ranges are short (tens of words).
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_LETTERS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_LETTERS = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+_PLACES = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
@@ -72,13 +75,21 @@ class Words:
         self.first = np.searchsorted(self.start, begins)
         self.begins = begins
 
-    def hashes(self) -> np.ndarray:
-        return _range_hash(_LETTERS[self.buf], self.start, self.end, _BASES[0])
+    def hashes(self, kind: int = 0) -> np.ndarray:
+        """Hash of each word; ``kind`` 0 and 1 are independent."""
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, U64)
+        first = np.cumsum(size) - size
+        inside = np.arange(int(size.sum())) - np.repeat(first, size)
+        letters = self.buf[inside + np.repeat(self.start, size)]
+        values = mix(_LETTERS[kind][letters] + inside.view(U64) * _PLACES[kind])
+        return mix(np.add.reduceat(values, first) + size.view(U64))
 
 
 def ranges(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
-    """Hash of the words from ``starts`` up to ``ends``; ``kind`` 0 and 1 are independent."""
-    return _range_hash(hashes if kind == 0 else mix(hashes), starts, ends, _BASES[kind])
+    """Hash of the words from ``starts`` up to ``ends``, from their hashes of the same ``kind``."""
+    return _range_hash(hashes, starts, ends, _BASES[kind])
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
