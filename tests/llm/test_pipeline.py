@@ -110,3 +110,21 @@ def test_near_duplicates_of_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (None, "only here"), (2, "a b c d e f"), (2, long), (None, long)], "doc_id long, text string")
     out = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "a b c d e f"), (2, long), (None, "only here")], key=repr)
+
+
+def test_stages_leave_given_values_alone(spark, folder):
+    """Columns named as an operator's own keep their values."""
+    path = folder(*planted())
+    own = ["score", "margin", "rejected", "lang_pred", "kept", "n_lines", "exact", "near", "n_words", "n_hit", "items", "_doc", "_found", "copies"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    given = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in own])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, path)
+        assert out.columns == given.columns
+        assert out.where(" OR ".join(f"NOT `{c}` <=> concat('{c}', doc_id)" for c in own)).count() == 0, name
+
+
+def test_near_duplicates_keep_the_first_of_repeated_rows(spark):
+    rows = [(1, "a b c d e f g", "z"), (1, "a b c d e f g", "b"), (2, "a b c d e f g", "a")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert [tuple(r) for r in got.collect()] == [(1, "a b c d e f g", "b")]
