@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from docframe.llm.words import NOT_ALNUM, Words, chunks, slices
 
 WINDOW = 10
-BUCKETS = 256
+BUCKETS = 128
 # A second list is intersected if it has at most this many times the postings of the first.
 SECOND_LIST = 8
 
@@ -113,12 +113,17 @@ def _lookup(index: DataFrame, wanted: DataFrame, columns: list[str], read: Calla
     def bucket_of(h: pd.Series) -> pd.Series:
         return pd.Series(_bucket(h.to_numpy().view(np.uint64)).astype(np.int32))
 
-    lists = wanted.select("h").distinct().withColumn("bucket", bucket_of("h")).groupBy("bucket").agg(F.sort_array(F.collect_set("h")).alias("wanted"))
+    @F.pandas_udf("binary")
+    def packed(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: np.sort(np.asarray(x, np.int64).view(np.uint64)).tobytes())
+
+    lists = wanted.select("h").distinct().withColumn("bucket", bucket_of("h")).groupBy("bucket").agg(F.collect_set("h").alias("hs"))
+    lists = lists.select("bucket", packed("hs").alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for row in batch.to_pylist():
-                want = np.sort(np.array(row["wanted"], np.int64).view(np.uint64))
+                want = np.frombuffer(row["wanted"], np.uint64)
                 terms, n = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.int32)
                 at = np.searchsorted(terms, want)
                 at[at == len(terms)] = 0
@@ -247,10 +252,13 @@ def decontaminate(
             texts = [None if t is None else t for t in texts]
             for i, j in chunks(texts):
                 w = Words(texts[i:j], NOT_ALNUM, lower=True)
-                some = any(f is not None and len(f) for f in found.iloc[i:j])
-                h, h2 = (w.hashes(), w.hashes(1)) if some else (w.start, w.start)
-                for a, b, f in zip(w.first, w.first[1:], found.iloc[i:j]):
-                    out.append((b - a, *_hits(h[a:b], h2[a:b], f, window)))
+                for k, (a, b) in enumerate(zip(w.first.tolist(), w.first[1:].tolist()), i):
+                    f = found.iloc[k]
+                    if f is None or not len(f):
+                        out.append((b - a, 0, []))
+                        continue
+                    one = Words([texts[k]], NOT_ALNUM, lower=True)  # only texts with alignments are hashed
+                    out.append((b - a, *_hits(one.hashes(), one.hashes(1), f, window)))
             yield pd.DataFrame(out, columns=own)
 
     return joined.withColumn("_c", check(F.col(text), F.col("_found"))).select("*", *[F.col(f"_c.{c}") for c in own]).drop("_c", "_found", "_doc")
@@ -258,8 +266,6 @@ def decontaminate(
 
 def _hits(h: np.ndarray, h2: np.ndarray, found, window: int) -> tuple[int, list[str]]:
     """Words of a document inside occurring windows, and the test texts that have them."""
-    if found is None or not len(found):
-        return 0, []
     hit, items = np.zeros(len(h), bool), set()
     for f in found:
         test, test2 = np.frombuffer(f["words"], np.uint64).reshape(2, -1)

@@ -35,8 +35,12 @@ LOWER[65:91] += 32
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finishing step: every bit depends on every other."""
-    x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
+    return _mix_into(x.copy())
+
+
+def _mix_into(x: np.ndarray) -> np.ndarray:
+    x ^= x >> U64(30)
+    x *= U64(0xBF58476D1CE4E5B9)
     x ^= x >> U64(27)
     x *= U64(0x94D049BB133111EB)
     x ^= x >> U64(31)
@@ -81,10 +85,13 @@ class Words:
         if not len(size):
             return np.zeros(0, U64)
         first = np.cumsum(size) - size
-        inside = np.arange(int(size.sum())) - np.repeat(first, size)
-        letters = self.buf[inside + np.repeat(self.start, size)]
-        values = mix(_LETTERS[kind][letters] + inside.view(U64) * _PLACES[kind])
-        return mix(np.add.reduceat(values, first) + size.view(U64))
+        if not hasattr(self, "_letters"):
+            place = np.arange(int(size.sum()), dtype=np.int32)
+            self._letters = self.buf[place + np.repeat((self.start - first).astype(np.int32), size)]
+            self._places = (place - np.repeat(first.astype(np.int32), size)).astype(U64)
+        values = self._places * _PLACES[kind]
+        values += _LETTERS[kind][self._letters]
+        return mix(np.add.reduceat(_mix_into(values), first) + size.view(U64))
 
 
 def ranges(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
