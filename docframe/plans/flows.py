@@ -18,6 +18,7 @@ from docframe.schemas import CLEANED
 from docframe.session import scratch_path
 from docframe.sources import readers, writers
 from docframe.streaming import jobs as st
+from docframe.streaming import quota_state
 
 
 def source_stream(spark, d, name, files=1):
@@ -133,11 +134,23 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
-@query("admit_stream", "SELECT event_id AS request_id, admitted, CASE WHEN expired THEN 'expired' WHEN NOT admitted THEN kind END AS rejected_for FROM decided", uses="decided")
+DECIDED = "SELECT event_id AS request_id, admitted, CASE WHEN expired THEN 'expired' WHEN NOT admitted THEN kind END AS rejected_for FROM decided"
+
+
+@query("admit_stream", DECIDED, uses="decided")
+def _(spark, d):
+    out = scratch_path(spark, "decisions")
+    feed = source_stream(spark, d, "events").selectExpr(*request_columns())
+    writer = quota_state.admit_stream(feed).writeStream.format("parquet").option("path", out)
+    st.run_once(writer.option("checkpointLocation", scratch_path(spark, "checkpoint")))
+    return spark.read.parquet(out).select("request_id", "admitted", "rejected_for")
+
+
+@query("admit_batches", DECIDED, uses="decided")
 def _(spark, d):
     state, out = scratch_path(spark, "sessions"), scratch_path(spark, "decisions")
     feed = source_stream(spark, d, "events").selectExpr(*request_columns())
-    st.run_once(st.admit_stream(feed, state, out, scratch_path(spark, "checkpoint")))
+    st.run_once(st.admit_batches(feed, state, out, scratch_path(spark, "checkpoint")))
     return spark.read.parquet(out).select("request_id", "admitted", "rejected_for")
 
 

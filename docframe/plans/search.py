@@ -12,6 +12,7 @@ from docframe.operators import index as ix
 from docframe.operators import lexical as lx
 from docframe.operators import qa
 from docframe.operators import retrieval as rt
+from docframe.operators import vector_index as vi
 from docframe.plans.adapters import elements, stage, stage_folder, table
 from docframe.plans.chunks import chunks
 from docframe.plans.reference_sql import cte
@@ -192,6 +193,44 @@ def _(spark, d):
     return near.selectExpr("query_id", "chunk_id", "round(score, 6) AS score", "rank")
 
 
+def vector_index(spark, d):
+    e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    return vi.open_index(spark, stage_folder(spark, d, "vector_index", lambda p: vi.build_index(e, p)))
+
+
+def near_queries(spark, d):
+    """Every hundredth vector."""
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding")
+
+
+@query("vector_index_exact", """
+    WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(e.v, q.v), 10) AS score FROM e q, e WHERE q.vec_id % 100 = 0)
+    SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10
+""")
+def _(spark, d):
+    # All cells: what the index ranks is exact.
+    index = vector_index(spark, d)
+    near = vi.search(index, near_queries(spark, d), 10, probes=len(index.centroids))
+    return near.selectExpr("query_id", "chunk_id", "round(score, 6) AS score", "rank")
+
+
+@query("vector_index", """
+    SELECT count(*) AS n_queries, 10 * count(*) AS n_found, true AS recall_reached, true AS fewer_rows_read FROM embeddings WHERE vec_id % 100 = 0
+""")
+def _(spark, d):
+    index, q = vector_index(spark, d), near_queries(spark, d)
+    e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    found = vi.search(index, q, 10)
+    share = vi.recall(found, rt.dense_topk(e, q, 10)).agg(F.avg("recall").alias("r"), F.count("*").alias("n_queries"))
+    pairs = vi.probed(index, q).join(index.cells(spark).groupBy("cell").agg(F.count("*").alias("n")), "cell")
+    read = pairs.agg(F.sum("n").alias("read"))
+    # One row each.
+    facts = share.join(read).join(e.agg(F.count("*").alias("n"))).join(found.agg(F.count("*").alias("n_found")))
+    return facts.selectExpr("n_queries", "n_found", "r >= 0.9 AS recall_reached", "read < n * n_queries AS fewer_rows_read")
+
+
 @query("mmr_topk", f"""
     WITH RECURSIVE c AS ({CENTROIDS}),
     e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),

@@ -57,10 +57,11 @@ def guard_stream(tokens: DataFrame, column: str = "content", secrets: Sequence[s
     return tokens.selectExpr(*[f"{safe} AS `{c}`" if c == column else f"`{c}`" for c in tokens.columns])
 
 
-def admit_stream(
+def admit_batches(
     requests: DataFrame, state: str, out: str, checkpoint: str, limits: qt.Limits = qt.Limits()
 ) -> DataStreamWriter:
-    """Quota decisions on a stream (T4).
+    """Quota decisions on a stream, batch by batch (T4); ``quota_state.admit_stream`` keeps the
+    counters as keyed state instead.
 
     Each batch is decided by the batch operator, which stays even when one session holds a
     third of the requests. Session counters live in a table per batch below ``state``; a

@@ -179,7 +179,7 @@ def test_quota_stream_carries_sessions_over_batches(spark, tmp_path):
     for n, batch in enumerate(batches):  # files are read in the order of their times
         spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    jobs.run_once(jobs.admit_stream(feed, f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/log"))
+    jobs.run_once(jobs.admit_batches(feed, f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/log"))
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert {(x.v, x.request_id) for x in got} == {(n, r[0]) for n, batch in enumerate(batches) for r in batch}
     every = spark.createDataFrame(rows, schema)
