@@ -8,8 +8,8 @@ from docframe.functions.text import clean_filename
 from docframe.operators import cleaning as cl
 from docframe.operators import index as ix
 from docframe.operators import retrieval as rt
-from docframe.plans.adapters import elements, elements_of, table
-from docframe.plans.chunks import FIXED, sections, visuals
+from docframe.plans.adapters import elements, elements_of, stage_folder, table
+from docframe.plans.chunks import FIXED, chunks, sections, visuals
 from docframe.plans.registry import query
 from docframe.plans.search import embedded
 from docframe.plans.structure import audit, kept
@@ -17,6 +17,7 @@ from docframe.plans.tables import HTML_SQL, request_columns
 from docframe.schemas import CLEANED
 from docframe.session import scratch_path
 from docframe.sources import readers, writers
+from docframe.sources.versioned import DocumentStore
 from docframe.streaming import jobs as st
 from docframe.streaming import quota_state
 
@@ -101,15 +102,44 @@ def _(spark, d):
     return readers.inventory(objects)
 
 
+def ingested(spark, d):
+    """Store that the stream over all documents fills."""
+    def write(root):
+        st.run_once(st.ingest_stream(elements_of(source_stream(spark, d, "documents").select("doc_id", "text")), root, scratch_path(spark, "checkpoint"), FIXED))
+
+    return DocumentStore(stage_folder(spark, d, "ingested", write), spark)
+
+
 @query("ingest_stream", "SELECT chunk_id, paper_id, chunk_type, content FROM chunks", uses="chunks")
 def _(spark, d):
-    def build():
-        root = scratch_path(spark, "ingest")
-        feed = elements_of(source_stream(spark, d, "documents").select("doc_id", "text"))
-        st.run_once(st.ingest_stream(feed, root, scratch_path(spark, "checkpoint"), FIXED))
-        return spark.read.parquet(f"{root}/chunks")
+    return ingested(spark, d).read("chunks").select("chunk_id", "paper_id", "chunk_type", "content")
 
-    return build().select("chunk_id", "paper_id", "chunk_type", "content")
+
+@query("ingest_outcome", """
+    SELECT paper_id, CASE WHEN k = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN k = 0 THEN 'no usable text' END AS error
+    FROM (SELECT paper_id, count(*) FILTER (exclusion_reason IS NULL) AS k FROM audit GROUP BY 1)
+""", uses="audit")
+def _(spark, d):
+    return ingested(spark, d).read("papers")
+
+
+@query("document_store", """
+    WITH marked AS (SELECT c.paper_id, c.content, coalesce(l.toxic, 0) AS toxic, l.quality FROM chunks c LEFT JOIN labels l ON CAST(l.doc_id AS VARCHAR) = c.paper_id)
+    SELECT paper_id, count(*) AS n, max(CASE WHEN quality = 0 THEN 'renewed' ELSE 'first' END) AS origin FROM marked WHERE toxic = 0 GROUP BY 1
+""", uses="chunks")
+def _(spark, d):
+    # Papers of poor quality come again, toxic ones are emptied; the last batch is repeated, then all is compacted.
+    store = DocumentStore(scratch_path(spark, "store"), spark)
+    rows = chunks(spark, d).select("paper_id", "content")
+    labels = table(spark, d, "labels").selectExpr("CAST(doc_id AS STRING) AS paper_id", "quality", "toxic")
+    first = lambda df, origin: {"chunks": df.withColumn("origin", F.lit(origin))}
+    store.commit(0, rows, first(rows, "first"))
+    poor, toxic = labels.where("quality = 0"), labels.where("toxic = 1")
+    store.commit(1, poor, first(rows.join(poor, "paper_id", "left_semi"), "renewed"))
+    for _ in range(2):
+        store.commit(2, toxic, first(rows.where("false"), "none"))
+    store.compact()
+    return store.read("chunks").groupBy("paper_id").agg(F.count("*").alias("n"), F.max("origin").alias("origin"))
 
 
 @query("job_progress_stream", """

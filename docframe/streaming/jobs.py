@@ -11,36 +11,44 @@ from pyspark.sql.streaming import DataStreamWriter
 from docframe.functions.text import strip
 from docframe.operators import chunking as ck
 from docframe.operators import cleaning as cl
+from docframe.operators import index as ix
 from docframe.operators import quotas as qt
 from docframe.operators import visuals as vs
 from docframe.operators.guardrails import redact_secrets, sanitize_html
 from docframe.session import materialize
-from docframe.sources.writers import overwrite_documents
+from docframe.sources.versioned import DocumentStore, committed
 
 
-def ingest_batch(elements: DataFrame, root: str, config: ck.ChunkingConfig | None = None) -> None:
-    """Clean, structure and chunk the papers of one batch and replace them in the tables
-    below ``root`` (T1). Papers without any usable element go to ``failures``."""
+def ingested(
+    elements: DataFrame, config: ck.ChunkingConfig | None = None, model: Callable | None = None
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Papers of a batch of elements, and their tables: cleaned, structured, chunked and, with a
+    ``model``, embedded (T1). ``papers`` has the outcome of each; one without any usable text failed."""
     elements = materialize(elements)
     papers = elements.select("paper_id").distinct()
     audit = materialize(cl.audit_elements(elements))
     kept = cl.kept_elements(audit)
     visuals = materialize(vs.describe_visuals(elements))
-    overwrite_documents(cl.build_sections(elements), f"{root}/sections", renewed=papers)
-    overwrite_documents(kept, f"{root}/elements", renewed=papers)
-    overwrite_documents(visuals, f"{root}/visuals", renewed=papers)
-    overwrite_documents(ck.link_parents(materialize(ck.chunk(kept, visuals, config))), f"{root}/chunks", renewed=papers)
-    failed = cl.cleaning_statistics(audit).filter("kept_for_text = 0").selectExpr(
-        "paper_id", "'failed' AS status", "'no usable text' AS error"
+    chunks = ck.link_parents(materialize(ck.chunk(kept, visuals, config)))
+    outcome = cl.cleaning_statistics(audit).selectExpr(
+        "paper_id", "IF(kept_for_text = 0, 'failed', 'completed') AS status", "IF(kept_for_text = 0, 'no usable text', NULL) AS error"
     )
-    overwrite_documents(failed, f"{root}/failures", renewed=papers)
+    tables = {
+        "sections": cl.build_sections(elements), "elements": kept, "visuals": visuals,
+        "chunks": ix.embed(chunks, model) if model else chunks, "papers": outcome,
+    }
+    return papers, tables
 
 
-def ingest_stream(elements: DataFrame, root: str, checkpoint: str, config: ck.ChunkingConfig | None = None) -> DataStreamWriter:
-    """Stream of parsed elements into the tables (T1). A paper's elements must arrive in
-    one batch; repeating a batch after a failure changes nothing."""
+def ingest_stream(
+    elements: DataFrame, root: str, checkpoint: str, config: ck.ChunkingConfig | None = None, model: Callable | None = None
+) -> DataStreamWriter:
+    """Stream of parsed elements into a ``DocumentStore`` below ``root`` (T1). A paper's elements
+    must arrive in one batch. All tables of a batch count at once; a batch that is repeated
+    after a failure changes nothing."""
+    store = DocumentStore(root, elements.sparkSession)
     return elements.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _id: ingest_batch(batch, root, config)
+        committed(store, lambda batch: ingested(batch, config, model))
     )
 
 
