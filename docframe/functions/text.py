@@ -75,6 +75,6 @@ def long_words(c: str, longer_than: int = 4) -> str:
 
 def clean_filename(c: str) -> str:
     """Base name with runs outside [A-Za-z0-9._-] replaced by one underscore."""
-    base = f"substring_index(replace({c}, '\\\\', '/'), '/', -1)"
+    base = f"substring_index(rtrim('/', replace({c}, '\\\\', '/')), '/', -1)"
     name = f"btrim(regexp_replace({base}, '[^A-Za-z0-9._-]+', '_'), '._')"
     return f"coalesce(nullif({name}, ''), 'upload.pdf')"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions.text import strip
-from docframe.operators.ordered import first_per_key, sql
+from docframe.operators.ordered import first_per_key, sql, top_per_key
 
 OPENALEX = (
     "struct<id:string,display_name:string,publication_year:int,cited_by_count:int,ids:struct<doi:string>,"
@@ -93,39 +93,73 @@ def _keyed(df: DataFrame, ident: str) -> DataFrame:
     return df.selectExpr("user_id", ident, f"stack({len(_KEYS)}, {pairs}) AS (kind, key)").filter("key IS NOT NULL")
 
 
-def match_library(records: DataFrame, papers: DataFrame) -> DataFrame:
-    """How many of the owner's papers each record matches, and the first of them.
+_COMBOS = [("doi",), ("arxiv",), ("title",), ("doi", "arxiv"), ("doi", "title"), ("arxiv", "title"), ("doi", "arxiv", "title")]
 
-    A record may match on DOI, arXiv id or title; a paper counts once. Papers are
-    counted per key and per combination of keys, so every join meets one row per key
-    and inclusion-exclusion gives the exact number. No pair of equal titles is ever
-    formed; the matched papers of a key are the rows of ``library_keys``.
-    """
-    combos = [("doi",), ("arxiv",), ("title",), ("doi", "arxiv"), ("doi", "title"), ("arxiv", "title"), ("doi", "arxiv", "title")]
-    keyed = {n: f"{e} AS k_{n}" for n, e in _KEYS.items()}
-    left = records.selectExpr("record_id", "user_id", *keyed.values())
-    right = papers.selectExpr("paper_id", "user_id", *keyed.values())
-    empty = "''"
+
+def _combined(df: DataFrame, ident: str) -> DataFrame:
+    """One row per combination of keys that a row has; a key outside the combination is ''."""
     rows = ", ".join(
-        f"named_struct('sign', {-1 if len(c) == 2 else 1}, 'combo', '{'+'.join(c)}', "
-        + ", ".join(f"'{n}', {f'k_{n}' if n in c else empty}" for n in _KEYS) + ")"
-        for c in combos
+        f"named_struct('combo', '{'+'.join(c)}', " + ", ".join(f"'{n}', " + (f"k_{n}" if n in c else "''") for n in _KEYS) + ")"
+        for c in _COMBOS
     )
-    spread = f"inline(filter(array({rows}), x -> x.doi IS NOT NULL AND x.arxiv IS NOT NULL AND x.title IS NOT NULL))"
-    return sql(
+    keyed = df.selectExpr(ident, "user_id", *[f"{e} AS k_{n}" for n, e in _KEYS.items()])
+    return keyed.selectExpr(ident, "user_id", f"inline(filter(array({rows}), x -> x.doi IS NOT NULL AND x.arxiv IS NOT NULL AND x.title IS NOT NULL))")
+
+
+def match_keys(records: DataFrame, papers: DataFrame) -> DataFrame:
+    """The owner's papers that each record matches, by key (D2): record_id, user_id, kind, key,
+    ``papers`` (with that key) and ``fresh`` (of them, those no earlier kind has matched; DOI
+    comes first, then arXiv id, then title). A record's papers are the rows of ``library_keys``
+    with its keys. Papers are counted per key and per combination of keys and every join meets
+    one row per key, so no pair of equal titles is ever formed."""
+    found = sql(
         """
-        WITH counted AS (
-          SELECT user_id, combo, doi, arxiv, title, count(*) AS n, min(paper_id) AS first_id
-          FROM {p} GROUP BY user_id, combo, doi, arxiv, title),
-        hits AS (
-          SELECT record_id, sum(sign * n) AS matches, min(first_id) AS first_match
-          FROM {a} JOIN counted USING (user_id, combo, doi, arxiv, title) GROUP BY record_id)
-        SELECT r.record_id, coalesce(h.matches, 0) AS matches, h.first_match
-        FROM {r} r LEFT JOIN hits h ON r.record_id = h.record_id
+        WITH counted AS (SELECT user_id, combo, doi, arxiv, title, count(*) AS n FROM {p} GROUP BY user_id, combo, doi, arxiv, title)
+        SELECT record_id, user_id, first(IF(combo = 'doi', doi, NULL), true) AS doi, first(IF(combo = 'arxiv', arxiv, NULL), true) AS arxiv,
+          first(IF(combo = 'title', title, NULL), true) AS title, map_from_entries(collect_list(struct(combo, n))) AS n
+        FROM {a} JOIN counted USING (user_id, combo, doi, arxiv, title) GROUP BY record_id, user_id
         """,
-        p=right.selectExpr("paper_id", "user_id", spread),
-        a=left.selectExpr("record_id", "user_id", spread),
-        r=left.select("record_id"),
+        p=_combined(papers, "paper_id"),
+        a=_combined(records, "record_id"),
+    )
+    of = lambda c: f"coalesce(n['{c}'], 0L)"
+    return found.selectExpr("record_id", "user_id", f"""inline(filter(array(
+        named_struct('kind', 'doi', 'key', doi, 'papers', {of('doi')}, 'fresh', {of('doi')}),
+        named_struct('kind', 'arxiv', 'key', arxiv, 'papers', {of('arxiv')}, 'fresh', {of('arxiv')} - {of('doi+arxiv')}),
+        named_struct('kind', 'title', 'key', title, 'papers', {of('title')},
+          'fresh', {of('title')} - {of('doi+title')} - {of('arxiv+title')} + {of('doi+arxiv+title')})), x -> x.papers > 0))""")
+
+
+def first_matches(records: DataFrame, papers: DataFrame, n: int = 5, after: DataFrame | None = None) -> DataFrame:
+    """The first ``n`` papers that each record matches, by paper_id, each once (D2); ``after``
+    (record_id, paper_id) asks for those behind a paper, page by page.
+
+    A key hands on its first papers only; where a page starts behind them, those of the
+    key's papers that follow it."""
+    keys = _keyed(records, "record_id")
+    shelf = _keyed(papers, "paper_id")
+    if after is None:
+        shelf = top_per_key(shelf, ["user_id", "kind", "key"], n, "paper_id")
+        pairs = keys.join(shelf, ["user_id", "kind", "key"]).select("record_id", "paper_id")
+    else:
+        behind = keys.join(after.withColumnRenamed("paper_id", "seen"), "record_id")
+        starts = behind.select("user_id", "kind", "key", "seen").distinct()
+        pages = starts.join(shelf, ["user_id", "kind", "key"]).where("paper_id > seen")
+        pages = top_per_key(pages, ["user_id", "kind", "key", "seen"], n, "paper_id")
+        pairs = behind.join(pages, ["user_id", "kind", "key", "seen"]).select("record_id", "paper_id")
+    return top_per_key(pairs.distinct(), ["record_id"], n, "paper_id", rank="place")
+
+
+def match_library(records: DataFrame, papers: DataFrame) -> DataFrame:
+    """How many of the owner's papers each record matches, and the first of them.
+
+    A record may match on DOI, arXiv id or title; a paper counts once. ``match_keys`` tells
+    by which keys, ``first_matches`` which papers.
+    """
+    counts = match_keys(records, papers).groupBy("record_id").agg(F.expr("sum(fresh) AS matches"))
+    first = first_matches(records, papers, 1).selectExpr("record_id", "paper_id AS first_match")
+    return records.select("record_id").join(counts, "record_id", "left").join(first, "record_id", "left").selectExpr(
+        "record_id", "coalesce(matches, 0) AS matches", "first_match"
     )
 
 

@@ -17,6 +17,7 @@ from docframe.plans.tables import HTML_SQL, request_columns
 from docframe.schemas import CLEANED
 from docframe.session import scratch_path
 from docframe.sources import readers, writers
+from docframe.sources.listing import write_files
 from docframe.sources.versioned import DocumentStore
 from docframe.streaming import jobs as st
 from docframe.streaming import quota_state
@@ -93,6 +94,24 @@ def _(spark, d):
                         f"IF(page_id % 7 = 4, lower({clean_filename('name')}), 'upload.pdf') AS filename")
 
 
+@query("intake_listing", """
+    SELECT page_id, reason, CASE WHEN reason IS NULL THEN 'Page_' || page_id || '.pdf' ELSE NULL END AS stored_as FROM (
+      SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'not_pdf_extension' WHEN 2 THEN 'empty' WHEN 3 THEN 'not_pdf_content'
+        ELSE CASE WHEN strlen(html) + 4 > 5000 THEN 'too_large' END END AS reason FROM pages)
+""")
+def _(spark, d):
+    # Uploads written as real files: wrong extensions, empty ones, ones without the signature, large ones.
+    path = scratch_path(spark, "uploads")
+    uploads = table(spark, d, "pages").selectExpr(
+        "concat('in', page_id % 5, '/Page ', page_id, IF(page_id % 7 = 0, '.html', ' .pdf')) AS name",
+        "CASE page_id % 7 WHEN 2 THEN NULL WHEN 3 THEN CAST(left(html, 60) AS BINARY) WHEN 0 THEN CAST('x' AS BINARY) ELSE CAST(concat('%PDF', html) AS BINARY) END AS content")
+    write_files(uploads, path)
+    accepted, rejected = readers.intake_files(spark, path, 5000)
+    number = "CAST(regexp_extract({c}, '(?i)page[ _]([0-9]+)', 1) AS BIGINT) AS page_id"
+    return accepted.selectExpr(number.format(c="filename"), "CAST(NULL AS STRING) AS reason", "replace(filename, '_.pdf', '.pdf') AS stored_as").unionByName(
+        rejected.selectExpr(number.format(c="filename"), "reason", "CAST(NULL AS STRING) AS stored_as"))
+
+
 @query("inventory", """
     SELECT CAST(doc_id AS VARCHAR) AS paper_id, k AS kind, count(*) AS objects, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents, (VALUES ('raw'), ('normalized')) t(k) GROUP BY 1, 2
 """)

@@ -15,6 +15,9 @@ from docframe.plans.chunks import sections, visuals
 from docframe.plans.reference_sql import cte
 from docframe.plans.registry import query
 from docframe.plans.structure import kept
+from docframe.session import scratch_path
+from docframe.sources import readers
+from docframe.sources.listing import write_files
 
 cte("records", "", """
     SELECT doc_id AS record_id, string_split(text, chr(10))[1] AS title,
@@ -74,6 +77,25 @@ def _(spark, d):
     )
 
 
+@query("read_arxiv_xml", """
+    SELECT doc_id || 'v1' AS arxiv_id, replace(trim(text, ' ' || chr(10)), chr(10), ' ') AS title, source || ';' || lang AS authors, 2000 + n_chars % 20 AS year,
+      'http://x/pdf/' || doc_id AS pdf_url FROM documents
+""")
+def _(spark, d):
+    # Feeds of several entries each, written as files.
+    docs = table(spark, d, "documents")
+    safe = "replace(replace(text, '&', '&amp;'), '<', '&lt;')"
+    entry = f"""concat('<entry><id>http://x/abs/', doc_id, 'v1</id><title>', {safe}, '</title><published>', 2000 + n_chars % 20,
+        '-01-02T00:00:00Z</published><author><name> ', source, ' </name></author><author><name>', lang, '</name></author><link href="http://x/abs" type="text/html"/>',
+        '<link href="http://x/pdf/', doc_id, '" title="pdf"/></entry>')"""
+    feeds = docs.selectExpr("CAST(doc_id DIV 50 AS STRING) AS feed", "doc_id", f"{entry} AS e").groupBy("feed").agg(
+        F.expr("concat('<feed xmlns=\"http://www.w3.org/2005/Atom\">', array_join(sort_array(collect_list(e)), ''), '</feed>') AS xml"))
+    path = scratch_path(spark, "feeds")
+    write_files(feeds.selectExpr("concat(feed, '.xml') AS name", "CAST(xml AS BINARY) AS content"), path)
+    entries, _ = readers.read_arxiv_xml(spark, path, rc.ARXIV_ENTRY)
+    return rc.normalize_arxiv(entries).selectExpr("arxiv_id", "title", "array_join(authors, ';') AS authors", "year", "pdf_url")
+
+
 @query("dedupe_records", """
     SELECT record_id, identity FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY record_id) AS rn FROM (
       SELECT record_id, trim(lower(coalesce(doi, arxiv_id, title))) AS identity FROM records)) WHERE rn = 1
@@ -92,6 +114,32 @@ def _(spark, d):
     return rc.match_library(records(spark, d), shelf(spark, d))
 
 
+HITS = """
+    WITH hit AS (SELECT r.record_id, p.paper_id, 'doi' AS kind, lower(r.doi) AS key FROM records r JOIN shelf p ON p.user_id = r.user_id AND lower(p.doi) = lower(r.doi)
+      UNION ALL SELECT r.record_id, p.paper_id, 'arxiv', lower(r.arxiv_id) FROM records r JOIN shelf p ON p.user_id = r.user_id AND lower(p.arxiv_id) = lower(r.arxiv_id)
+      UNION ALL SELECT r.record_id, p.paper_id, 'title', trim(lower(r.title)) FROM records r JOIN shelf p ON p.user_id = r.user_id AND r.title <> '' AND trim(lower(p.title)) = trim(lower(r.title)))
+"""
+
+
+@query("match_keys", HITS + """
+    SELECT record_id, kind, key, count(*) AS papers, count(*) FILTER (best = kind) AS fresh FROM (
+      SELECT *, min_by(kind, CASE kind WHEN 'doi' THEN 1 WHEN 'arxiv' THEN 2 ELSE 3 END) OVER (PARTITION BY record_id, paper_id) AS best FROM hit) GROUP BY ALL
+""", uses="records shelf")
+def _(spark, d):
+    return rc.match_keys(records(spark, d), shelf(spark, d)).drop("user_id")
+
+
+@query("first_matches", HITS + """
+    SELECT record_id, paper_id, place FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY paper_id) AS place
+      FROM (SELECT DISTINCT record_id, paper_id FROM hit)) WHERE place <= 10
+""", uses="records shelf")
+def _(spark, d):
+    # Two pages of five.
+    one = rc.first_matches(records(spark, d), shelf(spark, d), 5)
+    two = rc.first_matches(records(spark, d), shelf(spark, d), 5, one.where("place = 5").select("record_id", "paper_id"))
+    return one.unionByName(two.selectExpr("record_id", "paper_id", "place + 5 AS place"))
+
+
 @query("library_keys", """
     SELECT paper_id, 'doi' AS kind, lower(doi) AS key FROM shelf WHERE doi IS NOT NULL
     UNION ALL SELECT paper_id, 'arxiv', lower(arxiv_id) FROM shelf WHERE arxiv_id IS NOT NULL

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docframe.functions.text import clean_filename
 from docframe.schemas import DOCUMENT, TABLES
+from docframe.sources.listing import list_files
 
 # Upload limit and the file signature.
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
@@ -28,15 +30,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise
 
 
+def read_arxiv_xml(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Atom files below ``path``: their entries under ``schema``, and the text of entries that
+    could not be read (S10). A file is read in splits and cut at the ends of its entries, so a
+    malformed one costs no other."""
+    cut = spark.read.option("lineSep", "</entry>").text(path).selectExpr("regexp_extract(value, '(?s)<entry[ >].*', 0) AS body").where("body <> ''")
+    options = {"attributePrefix": "_", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed", "ignoreNamespace": "true"}
+    rows = cut.select(F.from_xml(F.concat("body", F.lit("</entry>")), f"{schema}, _malformed string", options).alias("e")).select("e.*")
+    return rows.where("_malformed IS NULL").drop("_malformed"), rows.where("_malformed IS NOT NULL").select("_malformed")
+
+
 def read_documents_json(spark: SparkSession, path: str) -> DataFrame:
     """Nested documents back from their sink (S5); explode the arrays to get rows."""
     return spark.read.schema(DOCUMENT).json(path)
 
 
 def intake_reason(filename: str, length: str, head: str, max_bytes: int = MAX_UPLOAD_BYTES) -> str:
-    """First reason to reject an upload, else null."""
+    """First reason to reject an upload, else null (S7). The extension is the cleaned name's."""
     return f"""CASE WHEN coalesce({filename}, '') = '' THEN 'no_filename'
-        WHEN NOT endswith(lower({filename}), '.pdf') THEN 'not_pdf_extension'
+        WHEN NOT endswith(lower({clean_filename(filename)}), '.pdf') THEN 'not_pdf_extension'
         WHEN {length} = 0 THEN 'empty' WHEN {length} > {max_bytes} THEN 'too_large'
         WHEN NOT ({head} <=> '{SIGNATURE}') THEN 'not_pdf_content' END"""
 
@@ -44,28 +56,14 @@ def intake_reason(filename: str, length: str, head: str, max_bytes: int = MAX_UP
 def intake_files(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES) -> tuple[DataFrame, DataFrame]:
     """Accepted files with content, and rejected ones with their reason.
 
-    Names and sizes come from the listing alone; only files that pass on those are opened,
-    and the length limit is pushed into the scan. Spark's file scans leave out files of
-    length 0, so those are in neither output; ``intake_reason`` names them where a listing
-    is at hand as a table.
+    All files are listed, empty ones too; only those of an acceptable length are opened. The
+    extension is that of the cleaned name, under which a file is stored.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = "substring_index(path, '/', -1)"
-    listed = files.selectExpr("path", "length", f"{name} AS filename")
-    by_listing = listed.selectExpr(
-        "path", "filename", "length", f"{intake_reason('filename', 'length', repr(SIGNATURE), max_bytes)} AS reason"
-    ).filter("reason IS NOT NULL")
-    opened = (
-        files.filter(f"length > 0 AND length <= {max_bytes} AND endswith(lower(path), '.pdf')")
-        .selectExpr("path", "length", "content", f"{name} AS filename")
-    )
     head = f"decode(substring(content, 1, {len(SIGNATURE)}), 'iso-8859-1')"
-    judged = opened.selectExpr("*", f"{intake_reason('filename', 'length', head, max_bytes)} AS reason")
-    accepted = judged.filter("reason IS NULL").selectExpr(
-        "path", f"{clean_filename('filename')} AS filename", "length", "content"
-    )
-    rejected = by_listing.unionByName(judged.filter("reason IS NOT NULL").select("path", "filename", "length", "reason"))
-    return accepted, rejected
+    listed = list_files(spark, path, max_bytes).selectExpr("path", "filename", "length", "content")
+    judged = listed.selectExpr("*", f"{intake_reason('filename', 'length', head, max_bytes)} AS reason")
+    accepted = judged.filter("reason IS NULL").selectExpr("path", f"{clean_filename('filename')} AS filename", "length", "content")
+    return accepted, judged.filter("reason IS NOT NULL").select("path", "filename", "length", "reason")
 
 
 def inventory(objects: DataFrame) -> DataFrame:
