@@ -70,7 +70,8 @@ def image_metadata(blocks: str) -> str:
 
 def collect_results(messages: DataFrame) -> DataFrame:
     """Answer, grounding and tool counts per conversation (H8). Rows after the history are
-    marked ``is_new``; tool calls and citations themselves stay rows (see ``tool_trace``)."""
+    marked ``is_new``; tool calls, artifacts and citations themselves are the rows of
+    ``tool_trace``, ``result_artifacts`` and ``result_citations``."""
     return sql(
         f"""
         SELECT conversation_id, coalesce(max_by(content, IF(role = 'ai' AND content <> ''
@@ -85,15 +86,28 @@ def collect_results(messages: DataFrame) -> DataFrame:
 
 
 def tool_trace(messages: DataFrame) -> DataFrame:
-    """Requested calls and finished tools after the history, in order (H8)."""
+    """Requested calls with their arguments and finished tools after the history, in order (H8)."""
     new = messages.filter("is_new")
-    asked = new.filter("role = 'ai'").selectExpr(
-        "conversation_id", "order_index", "posexplode(tool_calls) AS (pos, call)"
-    ).selectExpr("conversation_id", "order_index", "pos", "call.name AS name", "'requested' AS status")
-    done = new.filter("role = 'tool'").selectExpr("conversation_id", "order_index", "0 AS pos", "tool_name AS name", "status")
+    args = next((f.dataType.elementType for f in messages.schema if f.name == "tool_calls"), None)
+    given = "to_json(call.args)" if args is not None and "args" in args.names and args["args"].dataType.simpleString() != "string" else (
+        "call.args" if args is not None and "args" in args.names else "CAST(NULL AS STRING)")
+    asked = new.filter("role = 'ai'").selectExpr("conversation_id", "order_index", "posexplode(tool_calls) AS (pos, call)").selectExpr(
+        "conversation_id", "order_index", "pos", "call.name AS name", f"{given} AS arguments", "'requested' AS status")
+    done = new.filter("role = 'tool'").selectExpr(
+        "conversation_id", "order_index", "0 AS pos", "tool_name AS name", "CAST(NULL AS STRING) AS arguments", "status")
     return asked.unionByName(done)
 
 
+def result_artifacts(messages: DataFrame) -> DataFrame:
+    """Artifacts of the tools after the history, a row each (H8)."""
+    return messages.filter("is_new AND role = 'tool' AND artifact IS NOT NULL").select("conversation_id", "order_index", "artifact")
+
+
+def result_citations(messages: DataFrame) -> DataFrame:
+    """Citations of these artifacts in their order, a row each (H8)."""
+    return result_artifacts(messages).selectExpr("conversation_id", "order_index", "posexplode(artifact.citations) AS (pos, citation)")
+
+
 def stream_events(events: DataFrame) -> DataFrame:
     """Events for the client (H9): the start, non-empty tokens of the root node, tool events, the end.
     Stateless, so it works on a stream as well."""

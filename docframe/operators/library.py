@@ -71,16 +71,30 @@ def latest_open_job(jobs: DataFrame, papers: DataFrame) -> DataFrame:
     return first_per_key(seen, ["paper_id"], "created_at DESC, job_id DESC")
 
 
+def failure_conflicts(papers: DataFrame, failures: DataFrame) -> DataFrame:
+    """Failures that name another owner than the paper's; ``record_failures`` leaves them out."""
+    if "user_id" not in failures.columns:
+        return failures.limit(0)
+    owners = papers.selectExpr("paper_id", "user_id AS __owner")
+    return failures.join(owners, "paper_id").filter("NOT (__owner <=> user_id)").drop("__owner")
+
+
 def record_failures(papers: DataFrame, jobs: DataFrame, failures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Failure state on papers, and their job closed as failed (S15). Unknown papers are added.
 
-    Failures: ``paper_id, status, parse_status, error, warnings, page_count, job_id``; a
-    null job id means the paper's newest open job.
+    Failures: ``paper_id, status, parse_status, error, warnings, page_count, job_id`` and, if
+    known, ``user_id, filename, storage_uri, artifacts``, which are noted too; a null job id
+    means the paper's newest open job.
     """
+    failures = failures.join(failure_conflicts(papers, failures).select("paper_id").distinct(), "paper_id", "left_anti")
     fields = ("status", "parse_status", "error", "warnings", "page_count")
-    noted = failures.selectExpr("paper_id", "true AS __hit", *[f"`{c}` AS __{c}" for c in fields])
+    known = [c for c in ("user_id", "filename", "storage_uri", "artifacts") if c in failures.columns and c in papers.columns]
+    noted = failures.selectExpr("paper_id", "true AS __hit", *[f"`{c}` AS __{c}" for c in (*fields, *known)])
     out = papers.join(noted, "paper_id", "full").selectExpr(
-        *[f"IF(__hit, __{c}, `{c}`) AS `{c}`" if c in fields else f"`{c}`" for c in papers.columns]
+        *[
+            f"IF(__hit, __{c}, `{c}`) AS `{c}`" if c in fields else f"coalesce(__{c}, `{c}`) AS `{c}`" if c in known else f"`{c}`"
+            for c in papers.columns
+        ]
     )
     newest = latest_open_job(jobs, papers).selectExpr("paper_id", "job_id AS __newest")
     closing = failures.join(newest, "paper_id", "left").selectExpr(
@@ -126,6 +140,17 @@ def author_filter(papers: DataFrame, author: str) -> DataFrame:
     )
 
 
+def get_paper(papers: DataFrame, paper_id: str, user_id: str | None = None, **children: DataFrame) -> dict[str, DataFrame]:
+    """One paper, if its owner asks, and its rows of the other tables (D5): ``paper`` and a
+    table for each of ``children`` (sections, visuals, jobs, ...), empty for another's paper."""
+    seen = papers.filter(F.col("paper_id") == paper_id)
+    if user_id is not None:
+        seen = seen.filter(F.col("user_id") == user_id)
+    # The id is pushed into the scans; only whether the paper is visible is joined.
+    rows = {name: df.filter(F.col("paper_id") == paper_id).join(seen.select("paper_id"), "paper_id", "left_semi") for name, df in children.items()}
+    return {"paper": seen} | rows
+
+
 def count_related(papers: DataFrame, **children: DataFrame) -> DataFrame:
     """Number of child rows per paper and table."""
     out = papers.select("paper_id")

@@ -122,28 +122,27 @@ def validate_citations(syntheses: DataFrame, evidence: DataFrame) -> DataFrame:
     Syntheses: ``query_id, answer, confidence, used_citation_labels``; evidence: retrieved
     results. Unknown labels are dropped, an answer without any valid label is rejected
     unless it declares itself insufficient, and kept labels missing from the text are
-    appended. Of several chunks with one label the last ranked counts.
+    appended. Of several chunks with one label the last ranked counts. Citations, evidence,
+    chunks and pages are those of the kept labels; visual elements are kept if a kept chunk
+    is visual.
     """
+    facts = gather_evidence(evidence)
+    last = "element_at(filter(g.citations, c -> c.label = l), -1)"
     return sql(
         f"""
-        WITH label AS (
-          SELECT query_id, citation, max_by(chunk_id, rank) AS chunk_id, max_by({PAGE}, rank) AS page
-          FROM {{e}} GROUP BY query_id, citation),
-        given AS (
-          SELECT query_id, map_from_entries(collect_list(named_struct('k', citation, 'v',
-            named_struct('chunk_id', chunk_id, 'page', page)))) AS known FROM label GROUP BY query_id),
-        checked AS (
-          SELECT s.*, g.known,
-            filter(array_distinct(s.used_citation_labels), l -> coalesce(map_contains_key(g.known, l), false)) AS labels
-          FROM {{s}} s LEFT JOIN given g ON s.query_id = g.query_id)
-        SELECT query_id, labels AS used_citation_labels, confidence,
-          aggregate(filter(labels, l -> NOT contains(trim(answer), l)), trim(answer), (a, l) -> trim(concat(a, ' ', l))) AS answer,
-          transform(labels, l -> known[l].chunk_id) AS used_chunks,
-          array_sort(array_distinct(filter(transform(labels, l -> known[l].page), p -> p IS NOT NULL))) AS pages,
-          confidence <> 'insufficient' AND size(labels) = 0 AS rejected
+        WITH checked AS (
+          SELECT s.*, g.citations AS every, g.evidence AS shown, g.used_visual_elements AS visuals,
+            transform(filter(array_distinct(s.used_citation_labels), l -> coalesce(exists(g.citations, c -> c.label = l), false)), l -> {last}) AS kept
+          FROM {{s}} s LEFT JOIN {{g}} g ON s.query_id = g.query_id)
+        SELECT query_id, kept.label AS used_citation_labels, confidence,
+          aggregate(filter(kept.label, l -> NOT contains(trim(answer), l)), trim(answer), (a, l) -> trim(concat(a, ' ', l))) AS answer,
+          kept AS citations, filter(shown, e -> array_contains(kept.chunk_id, e.chunk_id)) AS evidence,
+          kept.chunk_id AS used_chunks, array_sort(array_distinct(filter(kept.page, p -> p IS NOT NULL))) AS pages,
+          IF(exists(kept, c -> c.chunk_type IN {VISUAL}), visuals, CAST(array() AS array<string>)) AS used_visual_elements,
+          confidence <> 'insufficient' AND size(kept) = 0 AS rejected
         FROM checked
         """,
-        e=evidence,
+        g=facts,
         s=syntheses,
     )
 

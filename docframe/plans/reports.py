@@ -107,9 +107,13 @@ def _(spark, d):
     return got.selectExpr("run_id", "paper_id", "supported", "array_join(feedback, ';') AS feedback")
 
 
-@query("compare", "SELECT run_id, place, paper_id, answer AS summary, confidence, pages FROM told WHERE run_id IN (SELECT run_id FROM told GROUP BY 1 HAVING count(*) >= 2)", uses="told")
+@query("compare", """
+    SELECT run_id, place, paper_id, title, answer AS summary, confidence, pages FROM told LEFT JOIN (SELECT paper_id, title FROM papers) USING (paper_id)
+    WHERE run_id IN (SELECT run_id FROM told GROUP BY 1 HAVING count(*) >= 2)
+""", uses="told papers")
 def _(spark, d):
-    return rs.compare(run_answers(spark, d)).selectExpr("run_id", "place", "paper_id", "summary", "confidence", "array_join(pages, ',') AS pages")
+    found = rs.compare(run_answers(spark, d), titles=papers(spark, d))
+    return found.selectExpr("run_id", "place", "paper_id", "title", "summary", "confidence", "array_join(pages, ',') AS pages")
 
 
 AGREE = """
@@ -169,13 +173,18 @@ def _(spark, d):
 
 
 @query("run_research", """
-    SELECT run_id, 'search_library' AS stage, count(*) AS n FROM asked GROUP BY 1
-    UNION ALL SELECT run_id, 'retrieve', count(*) FROM run_found GROUP BY 1
-    UNION ALL SELECT run_id, 'analyze_paper', count(*) FROM asked GROUP BY 1
-""", uses="asked run_found")
+    WITH n AS (
+      SELECT run_id, 2 AS step, count(*) AS n FROM asked GROUP BY 1
+      UNION ALL SELECT run_id, 3, count(*) FROM run_found GROUP BY 1
+      UNION ALL SELECT run_id, 4, count(*) FROM asked GROUP BY 1
+      UNION ALL SELECT run_id, 5, count(*) FROM asked WHERE place <= 3 GROUP BY 1 HAVING count(*) >= 2
+      UNION ALL SELECT run_id, 6, count(*) FROM told WHERE used_chunks <> '' AND confidence <> 'insufficient' GROUP BY 1)
+    SELECT run_id, step, ['clarify', 'search_library', 'retrieve', 'analyze_paper', 'compare_papers', 'verify_claims', 'synthesize_report'][step] AS stage,
+      CASE WHEN step IN (1, 7) THEN 1 ELSE coalesce(n, 0) END AS n
+    FROM (SELECT run_id, unnest(generate_series(1, 7)) AS step FROM research_runs) LEFT JOIN n USING (run_id, step)
+""", uses="asked run_found told research_runs")
 def _(spark, d):
-    got = rs.run_research(research_questions(spark, d), papers(spark, d), corpus(spark, d), index=paper_index(spark, d))
-    return got["trace"].filter("stage <> 'verify_claims'")
+    return rs.run_research(research_questions(spark, d), papers(spark, d), corpus(spark, d), index=paper_index(spark, d))["trace"]
 
 
 @query("retrieval_seeds", """

@@ -439,12 +439,16 @@ def _(spark, d):
 
 
 @query("validate_citations", """
-    WITH lab AS (SELECT query_id, citation, arg_max(chunk_id, rank) AS chunk_id, arg_max(page_start, rank) AS page FROM found GROUP BY 1, 2),
+    WITH lab AS (SELECT query_id, citation, arg_max(chunk_id, rank) AS chunk_id, arg_max(page_start, rank) AS page, arg_max(chunk_type, rank) AS kind FROM found GROUP BY 1, 2),
     top AS (SELECT query_id, citation, content FROM found WHERE rank = 1),
+    shown AS (SELECT query_id, string_agg(element_id, ',' ORDER BY rank) AS ids FROM found WHERE element_id IS NOT NULL GROUP BY 1),
     syn AS (SELECT q.query_id, q.query AS answer, t.citation AS label FROM questions q LEFT JOIN top t USING (query_id))
     SELECT s.query_id, CASE WHEN s.label IS NULL THEN s.answer ELSE s.answer || ' ' || s.label END AS answer,
-      coalesce(l.chunk_id, '') AS used_chunks, coalesce(CAST(l.page AS VARCHAR), '') AS pages, s.label IS NULL AS rejected
+      coalesce(l.chunk_id, '') AS used_chunks, coalesce(CAST(l.page AS VARCHAR), '') AS pages, s.label IS NULL AS rejected,
+      CASE WHEN s.label IS NULL THEN '' ELSE s.label || '@' || l.chunk_id END AS citations,
+      coalesce(f.content[1:1200], '') AS evidence, CASE WHEN l.kind IN ('table', 'figure', 'equation') THEN coalesce(v.ids, '') ELSE '' END AS visuals
     FROM syn s LEFT JOIN lab l ON l.query_id = s.query_id AND l.citation = s.label
+    LEFT JOIN found f ON f.query_id = s.query_id AND f.chunk_id = l.chunk_id LEFT JOIN shown v ON v.query_id = s.query_id
 """, uses="found questions")
 def _(spark, d):
     found = paper_results(spark, d)
@@ -454,7 +458,9 @@ def _(spark, d):
         "array_compact(array('[Page 999]', citation, citation)) AS used_citation_labels",
     )
     return qa.validate_citations(drafts, found).selectExpr(
-        "query_id", "answer", "array_join(used_chunks, ',') AS used_chunks", "array_join(pages, ',') AS pages", "rejected"
+        "query_id", "answer", "array_join(used_chunks, ',') AS used_chunks", "array_join(pages, ',') AS pages", "rejected",
+        "array_join(transform(citations, c -> concat(c.label, '@', c.chunk_id)), ',') AS citations",
+        "coalesce(array_join(evidence.text, ''), '') AS evidence", "coalesce(array_join(used_visual_elements, ','), '') AS visuals",
     )
 
 

@@ -191,6 +191,22 @@ def _(spark, d):
     return lb.author_filter(papers(spark, d), "ANN 1").select("paper_id")
 
 
+@query("get_paper", """
+    SELECT 'paper' AS part, CAST(o_orderkey AS VARCHAR) AS paper_id, 1 AS n FROM orders WHERE o_orderkey = (SELECT max(l_orderkey) FROM lineitem)
+    UNION ALL SELECT 'elements', CAST(l_orderkey AS VARCHAR), count(*) FROM lineitem WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem) GROUP BY 2
+""")
+def _(spark, d):
+    # The owner sees the paper, anyone else nothing.
+    lines = table(spark, d, "lineitem")
+    e = lines.selectExpr("CAST(l_orderkey AS STRING) AS paper_id", "l_linenumber")
+    p = table(spark, d, "orders").selectExpr("CAST(o_orderkey AS STRING) AS paper_id", "CAST(o_custkey AS STRING) AS user_id")
+    wanted = str(lines.agg(F.max("l_orderkey")).first()[0])
+    owner = p.where(F.col("paper_id") == wanted).first().user_id
+    own, other = lb.get_paper(p, wanted, owner, elements=e), lb.get_paper(p, wanted, owner + "x", elements=e)
+    parts = [df.groupBy("paper_id").agg(F.count("*").alias("n")).withColumn("part", F.lit(name)) for got in (own, other) for name, df in got.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query("count_related", """
     SELECT CAST(o_orderkey AS VARCHAR) AS paper_id, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS elements,
       (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS visuals FROM orders
@@ -411,7 +427,14 @@ def _(spark, d):
     FROM conversations WHERE role = 'system' OR (role = 'assistant' AND turn = 1)
 """)
 def _(spark, d):
-    return cv.tool_trace(messages(spark, d)).drop("pos")
+    return cv.tool_trace(messages(spark, d)).drop("pos", "arguments")
+
+
+@query("result_citations", """
+    SELECT conv_id AS conversation_id, turn AS order_index, unnest([0, 1]) AS pos FROM conversations WHERE role = 'system'
+""")
+def _(spark, d):
+    return cv.result_citations(messages(spark, d)).drop("citation")
 
 
 @query("stream_events", """

@@ -226,12 +226,28 @@ def test_answer_refuses_without_evidence(spark):
 
 
 def test_citation_check_keeps_the_last_chunk_of_a_label(spark):
-    e = spark.createDataFrame([("q", 1, "c1", "[Page 1]", 1, 1), ("q", 2, "c2", "[Page 1]", 1, 1)], "query_id string, rank int, chunk_id string, citation string, page_start int, page_end int")
+    rows = [("q", 1, "c1", "[Page 1]", "text", None), ("q", 2, "c2", "[Page 1]", "text", None), ("q", 3, "c3", "[Table, Page 1]", "table", "table_001")]
+    names = "query_id string, rank int, chunk_id string, citation string, chunk_type string, element_id string"
+    e = spark.createDataFrame(rows, names).selectExpr("*", "1 AS page_start", "1 AS page_end", "'p' AS paper_id", "'text' AS content", "array('s') AS section_path", "1D AS score")
     s = spark.createDataFrame([("q", " Yes. ", "high", ["[Page 7]", "[Page 1]"]), ("r", "No.", "low", ["[Page 7]"]), ("t", "?", "insufficient", [])],
                               "query_id string, answer string, confidence string, used_citation_labels array<string>")
     got = {r.query_id: r for r in qa.validate_citations(s, e).collect()}
     assert (got["q"].answer, got["q"].used_chunks, got["q"].rejected) == ("Yes. [Page 1]", ["c2"], False)
+    assert [c.label for c in got["q"].citations] == ["[Page 1]"] and [x.chunk_id for x in got["q"].evidence] == ["c2"] and got["q"].used_visual_elements == []
     assert got["r"].rejected and not got["t"].rejected
+    both = spark.createDataFrame([("q", "A", "low", ["[Table, Page 1]"])], s.schema)
+    assert qa.validate_citations(both, e).first().used_visual_elements == ["table_001"]
+
+
+def test_failures_of_another_owner_are_kept_apart(spark):
+    fields = "status string, parse_status string, error string, warnings string, page_count int"
+    papers = spark.createDataFrame([("a", "u", "f.pdf", "ready", "ok", None, None, 3), ("b", "u", "g.pdf", "ready", "ok", None, None, 3)], f"paper_id string, user_id string, filename string, {fields}")
+    jobs = spark.createDataFrame([], "job_id string, paper_id string, status string, progress double, error string, created_at timestamp")
+    rows = [("a", "v", "x.pdf", "failed", "failed", "bad", None, 0, None), ("b", "u", "y.pdf", "failed", "failed", "bad", None, 0, None), ("z", "w", "z.pdf", "failed", "failed", "bad", None, 0, None)]
+    failures = spark.createDataFrame(rows, f"paper_id string, user_id string, filename string, {fields}, job_id string")
+    out, _ = lb.record_failures(papers, jobs, failures)
+    assert {(r.paper_id, r.user_id, r.filename, r.status) for r in out.collect()} == {("a", "u", "f.pdf", "ready"), ("b", "u", "y.pdf", "failed"), ("z", "w", "z.pdf", "failed")}
+    assert [r.paper_id for r in lb.failure_conflicts(papers, failures).collect()] == ["a"]
 
 
 def test_library_match_with_a_hot_title(spark):
