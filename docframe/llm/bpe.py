@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -138,6 +139,22 @@ def encoded_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
     return words.mapInArrow(run, "word string, ids binary")
 
 
+_TABLES: dict[str, dict[str, bytes]] = {}
+
+
+def _known(name: str, raw: bytes) -> dict[str, bytes]:
+    """Words and ids of a table, as a dictionary that a Python worker builds once."""
+    if name not in _TABLES:
+        _TABLES.clear()
+        found: dict[str, bytes] = {}
+        for batch in pa.ipc.open_stream(raw):
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(i, SLICE_ROWS)
+                found.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+        _TABLES[name] = found
+    return _TABLES[name]
+
+
 def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", table_words: int = TABLE_WORDS, scratch=None) -> DataFrame:
     """Add ``token_ids``. ``scratch`` stores the word counts once, if given."""
     words = word_table(docs, tokenizer_json, text)
@@ -147,21 +164,23 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", table_words
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, sink.getvalue().to_pybytes()))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, tokenizer_json, sink.getvalue().to_pybytes()))
+    del table, sink
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        code, raw = shared.value
-        rows = pa.ipc.open_stream(raw).read_all()
-        known = dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist()))
+        name, code, raw = shared.value
+        known = _known(name, raw)
         split, encoder = _splitter(code), _encoder(code)
         for batch in batches:
             texts = [t or "" for t in batch]
             for i, j in chunks(texts, BATCH_BYTES):
                 parts = [split(t) for t in texts[i:j]]
                 rest = list(set().union(*parts).difference(known))
-                local = known | dict(zip(rest, encoder(rest)))
-                yield pd.Series([np.frombuffer(b"".join(map(local.__getitem__, p)), "<i4") for p in parts], dtype=object)
+                known.update(zip(rest, encoder(rest)))
+                yield pd.Series([np.frombuffer(b"".join(map(known.__getitem__, p)), "<i4") for p in parts], dtype=object)
+                for w in rest:  # the table keeps its bound
+                    del known[w]
 
     return docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != "token_ids"], ids(F.col(text)).alias("token_ids"))
 
