@@ -11,7 +11,7 @@ from docframe.plans.adapters import elements, stage, table
 from docframe.plans.chunks import sections, visuals
 from docframe.plans.reference_sql import cte
 from docframe.plans.registry import query
-from docframe.plans.search import answer_ctes, bm25_sql, corpus, open_index, paper_index
+from docframe.plans.search import answer_ctes, bm25_sql, corpus, expected_parts, open_index, paper_index
 from docframe.plans.structure import kept
 
 # A run per source: its question is the first benchmark text of the same number, its papers the source's documents.
@@ -233,11 +233,9 @@ def _(spark, d):
 
 
 @query("retrieval_report", """
-    SELECT b.item_id AS query_id, min(h.rank) AS hit_rank FROM benchmark b LEFT JOIN (
-      SELECT h.*, c.content FROM open_hits h JOIN corpus c USING (chunk_id)) h
-    ON h.query_id = b.item_id AND contains(lower(h.content), lower(b.text[1:25])) GROUP BY 1
-""", uses="open_hits corpus")
+    SELECT item_id AS query_id, min(hit_rank) AS hit_rank FROM benchmark LEFT JOIN expected_hits USING (item_id) GROUP BY 1
+""", uses="expected_hits")
 def _(spark, d):
     cases = table(spark, d, "benchmark").selectExpr(
-        "item_id AS query_id", "text AS query", "CAST(NULL AS array<string>) AS expected_chunk_ids", "array(left(text, 25)) AS expected_substrings")
+        "item_id AS query_id", "text AS query", "CAST(NULL AS array<string>) AS expected_chunk_ids", f"{expected_parts('text')} AS expected_substrings")
     return ev.retrieval_report(cases, corpus(spark, d), index=open_index(spark, d))[1]

@@ -53,6 +53,12 @@ cte("cited", "corpus", f"SELECT *, {CITATION_SQL} AS citation FROM corpus")
 cte("open_corpus", "corpus", "SELECT '' AS scope, chunk_id, content FROM corpus")
 cte("open_queries", "", "SELECT item_id AS query_id, '' AS scope, text AS query FROM benchmark")
 cte("open_hits", "open_corpus open_queries", bm25_sql("open_corpus", "open_queries", 10))
+# Every run of ten words of an item's whole text is a substring to find.
+cte("expected_hits", "open_hits corpus", """
+    SELECT item_id, h.rank AS hit_rank FROM (SELECT item_id, lower(array_to_string(w[i + 1:least(i + 10, len(w))], ' ')) AS part FROM (
+        SELECT item_id, w, unnest(generate_series(0, greatest(len(w) - 10, 0))) AS i FROM (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark)) WHERE len(w) > 0) b
+    JOIN open_hits h ON h.query_id = b.item_id JOIN corpus c ON c.chunk_id = h.chunk_id AND contains(lower(c.content), b.part)
+""")
 cte("paper_corpus", "corpus", "SELECT paper_id AS scope, chunk_id, content FROM corpus")
 cte("questions", "titles", """
     SELECT paper_id AS query_id, paper_id, paper_id AS scope, 'What does the paper say about ' || title AS query
@@ -128,6 +134,12 @@ def with_ids(results, source):
     return results.join(source.select("chunk_id", "element_id"), "chunk_id")
 
 
+def expected_parts(text: str) -> str:
+    """Runs of ten words of a whole text; all of a shorter one."""
+    words = tx.solid_runs(text)
+    return f"""transform(array({words}), w -> IF(size(w) = 0, CAST(array() AS array<string>), transform(sequence(0, greatest(size(w) - 10, 0)), i -> array_join(slice(w, i + 1, 10), ' '))))[0]"""
+
+
 def paper_results(spark, d):
     """Stored results of the paper questions, as the answering queries below read them."""
     c = corpus(spark, d)
@@ -338,18 +350,16 @@ def _(spark, d):
 
 
 @query("evaluate_retrieval", """
-    WITH hit AS (SELECT b.item_id, min(h.rank) AS hit_rank FROM benchmark b LEFT JOIN (
-        SELECT h.*, c.content FROM open_hits h JOIN corpus c USING (chunk_id)) h
-      ON h.query_id = b.item_id AND contains(lower(h.content), lower(b.text[1:25])) GROUP BY 1)
+    WITH hit AS (SELECT item_id, min(hit_rank) AS hit_rank FROM benchmark LEFT JOIN expected_hits USING (item_id) GROUP BY 1)
     SELECT count(*) AS n_cases, round(avg(coalesce(1.0 / hit_rank, 0)), 4) AS mrr,
       round(avg(CASE WHEN hit_rank <= 5 THEN 1.0 ELSE 0 END), 4) AS recall_at_5,
       round(avg(CASE WHEN hit_rank <= 10 THEN 1.0 ELSE 0 END), 4) AS recall_at_10 FROM hit
-""", uses="open_hits corpus")
+""", uses="expected_hits")
 def _(spark, d):
     q = open_queries(spark, d)
     found = rt.retrieve(corpus(spark, d), q, top_k=10, index=open_index(spark, d), with_parents=False)
     cases = q.selectExpr(
-        "query_id", "CAST(NULL AS array<string>) AS expected_chunk_ids", "array(left(query, 25)) AS expected_substrings"
+        "query_id", "CAST(NULL AS array<string>) AS expected_chunk_ids", f"{expected_parts('query')} AS expected_substrings"
     )
     return rt.evaluate_retrieval(found, cases)
 
