@@ -60,15 +60,22 @@ def number_elements(df: DataFrame, position: str = "position") -> DataFrame:
     )
 
 
+# Parts into which the elements under one parent are dealt; each meets its own copy of the picture row.
+SALTS = 32
+
+
 def flag_inside_picture(df: DataFrame) -> DataFrame:
-    """True when the parent element is a picture (C4). Only picture rows are joined,
-    one per (paper, reference)."""
+    """True when the parent element is a picture (C4). Only picture rows are joined, one per
+    (paper, reference), copied ``SALTS`` times: a parent with any share of the elements is
+    spread over that many keys."""
     pictures = (
         df.filter("self_ref IS NOT NULL AND contains(lower(element_type), 'picture')")
         .selectExpr("paper_id", "self_ref AS parent_ref", "true AS __pic")
         .distinct()
+        .selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS __salt")
     )
-    return df.join(pictures, ["paper_id", "parent_ref"], "left").selectExpr(
+    salted = df.selectExpr("*", f"CAST(pmod(order, {SALTS}) AS INT) AS __salt")
+    return salted.join(pictures, ["paper_id", "parent_ref", "__salt"], "left").selectExpr(
         *df.columns, "coalesce(__pic, false) AS inside_picture"
     )
 
@@ -337,8 +344,9 @@ def markdown_pieces(elements: DataFrame, titles: DataFrame) -> DataFrame:
              concat(repeat('#', least(size(section_path) + 1, 6)), ' ', try_element_at(section_path, -1), '\\n\\n'), ''),
            text, '\\n\\n') AS piece""",
     )
-    head = titles.filter("title <> ''").selectExpr("paper_id", "0L AS order", "concat('# ', title, '\\n\\n') AS piece")
-    return head.unionByName(body)
+    # Every paper has a piece 0, so one without any kept text has its (empty) Markdown.
+    head = titles.selectExpr("paper_id", "0L AS order", "IF(title <> '', concat('# ', title, '\\n\\n'), '') AS piece")
+    return head.unionByName(body.where("piece IS NOT NULL")).selectExpr("paper_id", "order", "coalesce(piece, '') AS piece")
 
 
 def render_markdown(elements: DataFrame, titles: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:

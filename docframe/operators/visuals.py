@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions.text import lit, strip
-from docframe.operators.cleaning import VISUAL_TYPES, number_elements
+from docframe.operators.cleaning import SALTS, VISUAL_TYPES, number_elements
 from docframe.operators.ordered import in_order, join_in_order, scan, sql, top_per_key
 
 # Formula placeholders, visual kinds and the list fields of enrichment results.
@@ -88,13 +88,15 @@ def surrounding_text(elements: DataFrame, window: int = 2) -> DataFrame:
 
 
 def picture_internal_text(elements: DataFrame) -> DataFrame:
-    """Texts inside a picture, one row each in order, with the picture's reference (V3)."""
+    """Texts inside a picture, one row each in order, with the picture's reference (V3). As in
+    C4 a parent's elements are spread over salted keys."""
     return sql(
         f"""
         SELECT c.paper_id, c.parent_ref AS source_ref, c.order, c.text
-        FROM (SELECT paper_id, parent_ref, order, {strip('text')} AS text FROM {{e}}) c
-        JOIN (SELECT DISTINCT paper_id, self_ref FROM {{e}} WHERE element_type = 'PictureItem') p
-          ON c.paper_id = p.paper_id AND c.parent_ref = p.self_ref
+        FROM (SELECT paper_id, parent_ref, order, {strip('text')} AS text, CAST(pmod(order, {SALTS}) AS INT) AS salt FROM {{e}}) c
+        JOIN (SELECT paper_id, self_ref, explode(sequence(0, {SALTS - 1})) AS salt
+          FROM (SELECT DISTINCT paper_id, self_ref FROM {{e}} WHERE element_type = 'PictureItem')) p
+          ON c.paper_id = p.paper_id AND c.parent_ref = p.self_ref AND c.salt = p.salt
         WHERE c.text <> ''
         """,
         e=elements,

@@ -58,11 +58,8 @@ def _(spark, d):
     path = scratch_path(spark, "documents")
     docs = writers.nest_documents(cl.infer_title(elements(spark, d)), sections(spark, d), kept(spark, d), visuals(spark, d))
     writers.write_documents_json(docs, path)
-    back = readers.read_documents_json(spark, path).selectExpr(
+    return readers.read_documents_json(spark, path).selectExpr(
         "paper_id", "title", "size(sections) AS sections", "array_join(text_elements.text, '|') AS texts", "array_join(tables.element_id, '|') AS tables")
-    # Papers without any kept element, section or visual have no document.
-    return cl.infer_title(elements(spark, d)).select("paper_id").join(back, "paper_id", "left").selectExpr(
-        "paper_id", "title", "coalesce(sections, 0) AS sections", "coalesce(texts, '') AS texts", "coalesce(tables, '') AS tables")
 
 
 @query("markdown_files", "SELECT CAST(count(*) AS BIGINT) AS lines FROM (SELECT unnest(string_split(text, chr(10))) FROM kept) x", uses="kept")

@@ -157,7 +157,7 @@ def _(spark, d):
           ELSE '' END || text || chr(10) || chr(10) AS piece
       FROM (SELECT *, last_value(CASE WHEN len(section_path) > 0 THEN section_path END IGNORE NULLS) OVER (
           PARTITION BY paper_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM kept) k
-      UNION ALL SELECT paper_id, 0, '# ' || title || chr(10) || chr(10) FROM titles WHERE title <> '')
+      UNION ALL SELECT paper_id, 0, CASE WHEN title <> '' THEN '# ' || title || chr(10) || chr(10) ELSE '' END FROM titles)
     SELECT paper_id, 0 AS part, trim(string_agg(piece, '' ORDER BY ord), ' ' || chr(10)) || chr(10) AS markdown
     FROM pieces GROUP BY 1
 """, uses="kept titles")

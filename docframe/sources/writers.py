@@ -36,7 +36,8 @@ def nest_documents(
     titles: DataFrame, sections: DataFrame, elements: DataFrame, visuals: DataFrame, part_rows: int = PART_ROWS
 ) -> DataFrame:
     """Nested documents (S5), one row per ``part_rows`` element orders: below that size a
-    paper is one row. Arrays of the parts concatenate in order."""
+    paper is one row. Arrays of the parts concatenate in order. Every paper of ``titles`` has
+    a document, if only an empty one."""
     last = "startswith(lower(try_element_at(section_path, -1)), 'reference')"
     rows = [
         elements.selectExpr(
@@ -55,6 +56,7 @@ def nest_documents(
             "named_struct('element_id', element_id, 'page', page, 'caption', caption, 'docling_text', docling_text) AS v",
         ),
     ]
+    rows.append(titles.selectExpr("paper_id", "0L AS order", "'paper' AS kind"))
     every = rows[0]
     for more in rows[1:]:
         every = every.unionByName(more, allowMissingColumns=True)

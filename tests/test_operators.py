@@ -339,3 +339,26 @@ def test_enrichment_lists_follow_the_json_type(spark):
     rows = spark.createDataFrame([(k, f'{{"columns": {k}}}') for k in cases], "name string, payload string")
     got = rows.select("name", vs.coerce_enrichment("table", F.col("payload"))["columns"].alias("v")).collect()
     assert {r.name: r.v for r in got} == cases
+
+
+def test_papers_without_text_have_their_outputs(spark):
+    titles = spark.createDataFrame([("p", "T"), ("q", None), ("r", "")], "paper_id string, title string")
+    kept = spark.createDataFrame([("p", 1, "body", ["T"])], "paper_id string, order long, text string, section_path array<string>")
+    got = {r.paper_id: (r.part, r.markdown) for r in cl.render_markdown(kept, titles).collect()}
+    assert got == {"p": (0, "# T\n\n## T\n\nbody\n"), "q": (0, "\n"), "r": (0, "\n")}
+
+
+def test_one_parent_with_most_elements_is_spread(spark):
+    rows = [("p", 0, "#/pic", "#/body", "PictureItem")] + [("p", i, f"#/{i}", "#/pic" if i % 10 else "#/body", "TextItem") for i in range(1, 3000)]
+    df = spark.createDataFrame(rows, "paper_id string, order long, self_ref string, parent_ref string, element_type string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for k, v in zip(before, ("false", "-1", "16")):
+        spark.conf.set(k, v)
+    try:
+        flagged = cl.flag_inside_picture(df)
+        assert flagged.filter("inside_picture").count() == sum(1 for r in rows if r[3] == "#/pic")
+        sizes = flagged.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) > 8 and max(r["count"] for r in sizes) < 0.4 * len(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
