@@ -42,7 +42,7 @@ from docframe.llm.token_counts import byte_letters
 
 CHUNK_CHARS = 1 << 20
 PIECE_ENDS = 1 << 16  # ends merged in one piece
-CACHE_WORDS = 150_000  # stretches kept with their tokens in a task
+CACHE_WORDS = 400_000  # stretches kept with their tokens in a task
 CACHE_CHARS = 48  # longer ones are not kept
 HOT = 1 << 16
 SLICE_ROWS = 512
@@ -102,18 +102,24 @@ class Encoder:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, words: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of A and B of stretches, given without their first blank; None where the two
-        do not spell the blank and the stretch."""
+    def encode(self, words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
+        """For A and B all ids of the stretches (given without their first blank) with the number
+        of each, and the stretches that the two do not spell alike; those have no ids."""
         spaced = [" " + w for w in words]
-        a = [e.ids for e in self.batch(spaced, add_special_tokens=False)]
-        b = self.b.encode(words, num_threads=1)
-        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        out = []
-        for w, x, y in zip(spaced, a, b):
-            raw = w.encode()
-            out.append((x, y) if b"".join(map(a_of, x)) == raw == b"".join(map(b_of, y)) else None)
-        return out
+        ids = [[e.ids for e in self.batch(spaced, add_special_tokens=False)], self.b.encode(words, num_threads=1)]
+        sides = [(np.fromiter(chain.from_iterable(x), np.int32), np.fromiter(map(len, x), np.int64, len(x))) for x in ids]
+        pieces = (self.a_bytes.__getitem__, self.b_bytes.__getitem__)
+        raw = [w.encode() for w in spaced]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        spelled = [np.diff(np.concatenate(([0], np.cumsum(sizes[flat])))[np.concatenate(([0], np.cumsum(n)))]) for (flat, n), sizes in zip(sides, (self.a_sizes, self.b_sizes))]
+        whole = b"".join(raw)
+        if all((x == size).all() for x in spelled) and all(b"".join(map(piece, flat.tolist())) == whole for piece, (flat, _) in zip(pieces, sides)):
+            return sides, []
+        bad = [i for i, w in enumerate(raw) if any(b"".join(map(piece, x[i])) != w for piece, x in zip(pieces, ids))]
+        for x in ids:
+            for i in bad:
+                x[i] = []
+        return [(np.fromiter(chain.from_iterable(x), np.int32), np.fromiter(map(len, x), np.int64, len(x))) for x in ids], bad
 
 
 class Table:
@@ -132,12 +138,11 @@ class Table:
 
     def _add(self, words: list[str]) -> None:
         at = len(self.size[0])
-        found = self.encoder.encode(words)
-        self.bad.update(at + i for i, f in enumerate(found) if f is None)
-        for side in (0, 1):
-            lists = [f[side] if f else () for f in found]
-            self.ids[side] = np.append(self.ids[side], np.fromiter(chain.from_iterable(lists), np.int32))
-            self.size[side] = np.append(self.size[side], np.fromiter(map(len, lists), np.int64, len(lists)))
+        sides, bad = self.encoder.encode(words)
+        self.bad.update(at + i for i in bad)
+        for side, (flat, n) in enumerate(sides):
+            self.ids[side] = np.append(self.ids[side], flat)
+            self.size[side] = np.append(self.size[side], n)
 
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Number of each stretch, which numbers are bad, and for both sides all ids with the sizes of the numbers."""
