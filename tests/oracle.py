@@ -81,4 +81,4 @@ if __name__ == "__main__":
             ok, note = False, f"{type(exc).__name__}: {str(exc).strip()[:900]}"
         bad += not ok
         print("ok  " if ok else "FAIL", q, note, flush=True)
-    print("failed:", bad, "of", len(picks))
+    print("failed:", bad, "of", len(picks), "without SQL:", sum(q not in ORACLES for q in picks))

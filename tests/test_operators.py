@@ -362,3 +362,25 @@ def test_one_parent_with_most_elements_is_spread(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_hybrid_results_are_the_lists_fused_in_python(spark):
+    rng = random.Random(11)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    rows = [(f"c{i:02d}", "p", " ".join(rng.choices("alpha beta gamma delta eps".split(), k=rng.randrange(1, 9))), "text", ["S"], 1, 1, None, vec()) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "chunk_id string, paper_id string, content string, chunk_type string, section_path array<string>, page_start int, page_end int, "
+                                   "parent_chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([(1, "alpha delta"), (2, "eps"), (3, " ")], "query_id int, query string")
+    vectors = spark.createDataFrame([(q, vec()) for q in (1, 2, 3)], "query_id int, embedding array<double>")
+    sparse = rt.bm25(corpus, queries, 12).collect()
+    dense = rt.dense_topk(corpus, vectors.where("query_id < 3"), 12).collect()
+    want = {}
+    for q in (1, 2):
+        score = {}
+        for rows_of, weight in ((sparse, 0.45), (dense, 0.55)):
+            for r in rows_of:
+                if r.query_id == q:
+                    score[r.chunk_id] = score.get(r.chunk_id, 0) + weight / (60 + r.rank)
+        want[q] = [c for c, _ in sorted(score.items(), key=lambda x: (-round(x[1], 12), x[0]))[:5]]
+    got = rt.retrieve(corpus, queries, top_k=5, candidate_pool=12, vectors=vectors, with_parents=False).collect()
+    assert {q: [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (1, 2)} == want and len(got) == 10
