@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.token_counts import byte_letters
-from docframe.llm.words import chunks
+from docframe.llm.words import chunks, slices
 
 TABLE_WORDS = 1 << 18  # words in the shared table at most
 TABLE_BYTES = 64  # longer words are not in the table
-FLUSH_WORDS = 1 << 18
-BATCH_BYTES = 2 << 20
+FLUSH_WORDS = 1 << 17
+BATCH_BYTES = 1 << 20
 SLICE_ROWS = 512
 
 # The pretoken pattern of byte-level BPE and the blanks it means by \s.
@@ -100,7 +99,7 @@ def word_table(docs: DataFrame, tokenizer_json: str, text: str = "text") -> Data
             found.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 found.update(split(t or ""))
                 if len(found) > FLUSH_WORDS:
@@ -139,20 +138,14 @@ def encoded_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
     return words.mapInArrow(run, "word string, ids binary")
 
 
-_TABLES: dict[str, dict[str, bytes]] = {}
-
-
-def _known(name: str, raw: bytes) -> dict[str, bytes]:
-    """Words and ids of a table, as a dictionary that a Python worker builds once."""
-    if name not in _TABLES:
-        _TABLES.clear()
-        found: dict[str, bytes] = {}
-        for batch in pa.ipc.open_stream(raw):
-            for i in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(i, SLICE_ROWS)
-                found.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
-        _TABLES[name] = found
-    return _TABLES[name]
+def _known(raw: bytes) -> dict[str, bytes]:
+    """Words and ids of a table as a dictionary, read in slices; a task holds one and lets it go."""
+    found: dict[str, bytes] = {}
+    for batch in pa.ipc.open_stream(raw):
+        for i in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(i, SLICE_ROWS)
+            found.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+    return found
 
 
 def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", table_words: int = TABLE_WORDS, scratch=None) -> DataFrame:
@@ -164,16 +157,17 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", table_words
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, tokenizer_json, sink.getvalue().to_pybytes()))
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, sink.getvalue().to_pybytes()))
     del table, sink
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        name, code, raw = shared.value
-        known = _known(name, raw)
+        code, raw = shared.value
+        known = _known(raw)
         split, encoder = _splitter(code), _encoder(code)
         for batch in batches:
             texts = [t or "" for t in batch]
+            del batch
             for i, j in chunks(texts, BATCH_BYTES):
                 parts = [split(t) for t in texts[i:j]]
                 rest = list(set().union(*parts).difference(known))
