@@ -292,7 +292,7 @@ def test_file_intake_and_inventory(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     ok, no = readers.intake_files(spark, str(tmp_path), max_bytes=50)
     assert [(r.filename, r.length) for r in ok.collect()] == [("a_b.pdf", 6)]
-    assert {r.filename.replace("%20", " "): r.reason for r in no.collect()} == {"x.txt": "not_pdf_extension", "bad.pdf": "not_pdf_content", "big.pdf": "too_large"}
+    assert {r.filename.replace("%20", " "): r.reason for r in no.collect()} == {"x.txt": "not_pdf_extension", "bad.pdf": "not_pdf_content", "big.pdf": "too_large", "empty.pdf": "empty"}
     # Spark's file scans leave out empty files; a listing handed in as a table can name them.
     listing = spark.createDataFrame([("e.pdf", 0, None), (None, 5, "%PDF"), ("ok.PDF", 5, "%PDF")], "name string, size bigint, head string")
     assert [r[0] for r in listing.selectExpr(readers.intake_reason("name", "size", "head")).collect()] == ["empty", "no_filename", None]
