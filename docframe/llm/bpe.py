@@ -31,6 +31,7 @@ from docframe.llm.words import chunks, slices
 
 TABLE_WORDS = 1 << 18  # words in the shared table at most
 TABLE_BYTES = 64  # longer words are not in the table
+OTHER_WORDS = 1 << 17  # words outside the table that a task keeps from batch to batch
 FLUSH_WORDS = 1 << 17
 BATCH_BYTES = 1 << 20
 SLICE_ROWS = 512
@@ -163,7 +164,7 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", table_words
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         code, raw = shared.value
-        known = _known(raw)
+        known, others = _known(raw), []
         split, encoder = _splitter(code), _encoder(code)
         for batch in batches:
             texts = [t or "" for t in batch]
@@ -172,9 +173,12 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", table_words
                 parts = [split(t) for t in texts[i:j]]
                 rest = list(set().union(*parts).difference(known))
                 known.update(zip(rest, encoder(rest)))
+                others += rest
                 yield pd.Series([np.frombuffer(b"".join(map(known.__getitem__, p)), "<i4") for p in parts], dtype=object)
-                for w in rest:  # the table keeps its bound
-                    del known[w]
+                if len(others) > OTHER_WORDS:
+                    for w in others:
+                        del known[w]
+                    others = []
 
     return docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != "token_ids"], ids(F.col(text)).alias("token_ids"))
 
