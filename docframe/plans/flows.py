@@ -23,10 +23,11 @@ from docframe.streaming import jobs as st
 from docframe.streaming import quota_state
 
 
-def source_stream(spark, d, name, files=1):
-    """A given table as a file stream."""
+def source_stream(spark, d, name):
+    """A given table, a file or a folder of files, as a file stream; all that is there makes one batch."""
     schema = table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files).parquet(d)
+    # A pattern finds files as well as folders; a plain path must be a folder.
+    return spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/{name}[.]parquet")
 
 
 @query("cleaned_jsonl", "SELECT paper_id, printf('el_%04d', ord) AS element_id, page, array_to_string(section_path, ' > ') AS section, text FROM kept", uses="kept")
