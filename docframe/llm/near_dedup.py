@@ -6,10 +6,12 @@ them in text order, so that its collision probability follows edit similarity ra
 set overlap (Marçais et al., 2019). Texts that share one of several sketches are
 candidates. Groups of at most ``SMALL_GROUP`` texts are compared pair by pair. In a larger
 group all texts are compared with a few representatives, drawn anew by sketch and round;
-those that verify are settled, the others go on with new representatives, twice as many
-each round, until every text of the group is settled. Candidates are verified by banded
-alignment of their words: 1 minus edits over the longer length must reach the threshold.
-Classes are the connected components of the verified links.
+those that verify are settled, the others go on for ``ROUNDS`` rounds with new
+representatives, twice as many each round. Then every two texts of a large group that no
+chain of links joins yet are compared, in tiles of bounded size. Candidates are verified by
+banded alignment of their words: 1 minus edits over the longer length must reach the threshold.
+Classes are the connected components of the links among all candidates; pairs that a
+chain joins already are not compared, so ``n_links`` counts the links that were verified.
 
 Texts with fewer than five words count as one gram of all their words.
 
@@ -37,6 +39,8 @@ SAMPLED = 2  # grams of a sketch
 SKETCHES = 16
 THRESHOLD = 0.8
 SMALL_GROUP = 8  # texts of a sketch compared pair by pair
+ROUNDS = 3  # of comparisons with representatives
+TILE = 256  # texts of a large group on one side of a tile
 
 
 def labelled_grams(h: np.ndarray, first: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +183,8 @@ def members(sketched: DataFrame, scratch: Callable[[DataFrame], DataFrame]) -> D
 def pairings(unsettled: DataFrame, turn: int, scratch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Pairs of a round: k, s, id, rep of the large groups, and a, b of the small ones.
 
-    A large group has at most 2 ** (turn + 1) representatives, so a text has that many pairs."""
+    A large group has at most 2 ** (turn + 1) representatives, so a text has that many pairs;
+    ``apart`` finds what they leave out."""
     sizes = scratch(unsettled.groupBy("k", "s").agg(F.count("*").alias("n")).where("n > 1"))
     small = unsettled.join(sizes.where(f"n <= {SMALL_GROUP}").select("k", "s"), ["k", "s"])
     close = small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), ["k", "s"]).where("a < b").select("a", "b")
@@ -193,10 +198,10 @@ def pairings(unsettled: DataFrame, turn: int, scratch: Callable[[DataFrame], Dat
 
 def linked(sketched: DataFrame, words_of: Callable[[DataFrame], DataFrame], threshold: float, scratch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Verified pairs a < b, without repeats, of all groups. ``words_of`` gives the words (id, words) of a table of ids."""
-    unsettled, turn = members(sketched, scratch), 0
+    shared = unsettled = members(sketched, scratch)
     words = words_of(unsettled.select("id").distinct())
     tried = found = None
-    while True:
+    for turn in range(ROUNDS):
         stars, close = pairings(unsettled, turn, scratch)
         pairs = stars.where("id != rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).unionByName(close).distinct()
         pairs = scratch(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
@@ -207,8 +212,39 @@ def linked(sketched: DataFrame, words_of: Callable[[DataFrame], DataFrame], thre
         large = stars.select("k", "s", "id").distinct()
         unsettled = scratch(large.join(settled, ["k", "s", "id"], "left_anti"))
         if unsettled.isEmpty():
-            return found
-        turn += 1
+            break
+    return scratch(found.unionByName(apart(shared, found, words, threshold, scratch)).distinct())
+
+
+def apart(shared: DataFrame, found: DataFrame, words: DataFrame, threshold: float, scratch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Verified pairs a < b of texts of one large group that no chain of ``found`` links joins.
+
+    A group is dealt to tiles; a task takes the words of two tiles at most and compares their
+    texts there, so neither pairs nor a pair's words are written."""
+    rows = scratch(shared.join(components(found, scratch), "id", "left").select("k", "s", "id", F.coalesce("root", "id").alias("root")))
+    sizes = rows.groupBy("k", "s").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    several = sizes.where(f"n > {SMALL_GROUP} AND low < high").selectExpr("k", "s", f"CAST(ceil(n / {TILE}) AS INT) AS tiles")
+    tiled = rows.join(several, ["k", "s"]).selectExpr(
+        "k", "s", "id", "root", "CAST(pmod(xxhash64(id), tiles) AS INT) AS own", "explode(sequence(0, tiles - 1)) AS other"
+    )
+    dealt = tiled.join(words, "id").selectExpr("k", "s", "least(own, other) AS p", "greatest(own, other) AS q", "own", "id", "root", "words")
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        ids, root, own = (tile[c].to_numpy() for c in ("id", "root", "own"))
+        held = [np.frombuffer(w, np.uint32) for w in tile["words"]]
+        size = np.array([len(w) for w in held])
+        cross, out = tile["p"].iloc[0] != tile["q"].iloc[0], []
+        for i in range(len(ids) - 1):
+            n = size[i + 1 :]
+            may = (root[i + 1 :] != root[i]) & (np.abs(n - size[i]) <= np.maximum(n, size[i]) * (1 - threshold) + 1e-9)
+            if cross:
+                may &= own[i + 1 :] != own[i]
+            for j in np.flatnonzero(may) + i + 1:
+                if similar(held[i], held[j], threshold):
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("k", "s", "p", "q").applyInPandas(compare, "a long, b long")
 
 
 def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:

@@ -133,6 +133,20 @@ def test_near_duplicates_in_a_large_group(spark):
     assert sorted(map(tuple, got.collect())) == [(2 * i, 2 * i + 1) for i in range(60)]
 
 
+def test_chain_in_a_large_group(spark):
+    """Each text is similar to its neighbours only; a text that is linked early still links the next one."""
+    chains = [[f"c{c}w{i}" for i in range(400)] for c in range(3)]
+    texts = [chain[3 * i : 3 * i + 60] for chain in chains for i in range(100)]
+    index = {w: n for n, w in enumerate(w for chain in chains for w in chain)}
+    packed = [(i, bytearray(np.array([index[w] for w in t], np.uint32).tobytes())) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(packed, "id long, words binary")
+    sketched = spark.createDataFrame([(i, [7]) for i in range(300)], "id long, sketch array<long>")
+    links = near_dedup.linked(sketched, lambda ids: table.join(ids, "id"), 0.8, materialize)
+    assert all(a // 100 == b // 100 and b - a <= 2 for a, b in links.collect())
+    roots = {r.id: r.root for r in components.components(links, materialize).collect()}
+    assert roots == {i: i // 100 * 100 for i in range(300)}
+
+
 def test_edit_distance():
     rng = random.Random(4)
     for _ in range(400):
