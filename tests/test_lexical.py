@@ -133,3 +133,14 @@ def test_winners_are_fetched_without_moving_the_corpus(spark):
         assert "content" in plan and not exchanged_scans(plan, "content")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_index_of_repeated_and_empty_chunks(spark, tmp_path):
+    """Texts without words count for the mean length; rows that repeat a chunk add up their counts, not its length."""
+    rows = [("a", "one two"), ("a", "one two"), ("b", "one"), ("c", ""), ("d", None)]
+    index = lx.build_index(spark.createDataFrame(rows, "chunk_id string, content string"), f"{tmp_path}/index")
+    scope = index.table(spark, "scopes").first()
+    assert (scope.n, scope.avgdl) == (5, 1.0)
+    got = {r.chunk_id: dict(zip(r.terms, r.gains)) for r in index.table(spark, "forward").collect()}
+    gain = lambda tf, dl: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl))
+    assert got == {"a": {"one": gain(2, 2), "two": gain(2, 2)}, "b": {"one": gain(1, 1)}}
