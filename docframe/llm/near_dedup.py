@@ -4,12 +4,13 @@ Equal texts are combined first. A text is a sequence of word 5-grams, each label
 its occurrence number. A sketch samples the few 5-grams with the smallest hashes and keeps
 them in text order, so that its collision probability follows edit similarity rather than
 set overlap (Marçais et al., 2019). Texts that share one of several sketches are
-candidates. Groups of at most ``SMALL_GROUP`` texts are compared pair by pair. In a larger
-group all texts are compared with a few representatives, drawn anew by sketch and round;
-those that verify are settled, the others go on for ``ROUNDS`` rounds with new
-representatives, twice as many each round. Then every two texts of a large group that no
+candidates. Each group has a representative, the text with the smallest hash. First every text
+is compared with one representative, then those of groups that hold several classes of the
+links found so far: all pairs of classes in groups of at most ``SMALL_GROUP`` texts, in larger ones
+each text with the representative. Then every two texts of a large group that no
 chain of links joins yet are compared, in tiles of bounded size. Candidates are verified by
-banded alignment of their words: 1 minus edits over the longer length must reach the threshold.
+banded alignment of their words: 1 minus edits over the longer length must reach the threshold;
+counts of shared words and word pairs rule out most others before.
 Classes are the connected components of the links among all candidates; pairs that a
 chain joins already are not compared, so ``n_links`` counts the links that were verified.
 
@@ -39,8 +40,8 @@ SAMPLED = 2  # grams of a sketch
 SKETCHES = 16
 THRESHOLD = 0.8
 SMALL_GROUP = 8  # texts of a sketch compared pair by pair
-ROUNDS = 3  # of comparisons with representatives
-TILE = 256  # texts of a large group on one side of a tile
+TILE = 1024  # texts of a large group on one side of a tile
+TILE_BYTES = 1 << 21  # of words (4 bytes each) on one side of a tile
 
 
 def labelled_grams(h: np.ndarray, first: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +89,7 @@ def sketches(grams: np.ndarray, begin: np.ndarray, count: int = SKETCHES, sample
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """Edits between two sequences, or limit + 1 if there are more: furthest-reaching
-    diagonals inside the band of ``limit``, all diagonals of a step at once."""
+    """Edits between two sequences, or limit + 1 if there are more."""
     n, m = len(a), len(b)
     if abs(n - m) > limit:
         return limit + 1
@@ -110,29 +110,33 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     shared = np.minimum(np.bincount(at[values[at] == b], minlength=len(values)), na).sum()
     if max(n, m) - shared > limit:
         return limit + 1
-    # reach[d]: rows of a consumed on diagonal d - limit (diagonal = b's place minus a's).
-    diagonal = np.arange(-limit, limit + 1)
-    reach = np.full(2 * limit + 3, -1, np.int64)
-    for edits in range(limit + 1):
-        if edits == 0:
-            now = np.where(diagonal == 0, 0, -1)
-        else:
-            now = np.maximum(np.maximum(reach[1:-1] + 1, reach[:-2]), reach[2:] + 1)
-            now[reach[1:-1] < 0] = np.maximum(reach[:-2], reach[2:] + 1)[reach[1:-1] < 0]
-            now[(diagonal < -edits) | (diagonal > edits)] = -1
-        now = np.minimum(now, np.minimum(n, m - diagonal))
-        live = np.flatnonzero((now >= 0) & (now + diagonal >= 0))
-        while len(live):
-            x = now[live]
-            y = x + diagonal[live]
-            live = live[(x < n) & (y < m)]
-            x = now[live]
-            live = live[a[x] == b[x + diagonal[live]]]
-            now[live] += 1
-        if m - n >= -limit and m - n <= limit and now[m - n + limit] >= n:
-            return edits
-        reach[1:-1] = now
-    return limit + 1
+    # An edit spoils two pairs of neighbours at most.
+    if max(n, m) - 1 > 2 * limit:
+        pairs, nx = np.unique(_bigrams(a), return_counts=True)
+        other, ny = np.unique(_bigrams(b), return_counts=True)
+        _, x, y = np.intersect1d(pairs, other, assume_unique=True, return_indices=True)
+        if max(n, m) - 1 - np.minimum(nx[x], ny[y]).sum() > 2 * limit:
+            return limit + 1
+    # Column by column, the vertical differences of all rows as bits of two integers (Myers, 1999).
+    places: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    every, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, edits = every, 0, n
+    for left, word in zip(range(m - 1, -1, -1), b.tolist()):
+        same = places.get(word, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | (every & ~(across | up)), up & across
+        if rise & top:
+            edits += 1
+            if edits - left > limit:
+                return limit + 1
+        elif fall & top:
+            edits -= 1
+        rise = rise << 1 | 1
+        level = same | down
+        up, down = (fall << 1 | ~(level | rise)) & every, rise & level & every
+    return min(edits, limit + 1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -180,68 +184,125 @@ def members(sketched: DataFrame, scratch: Callable[[DataFrame], DataFrame]) -> D
     return scratch(by.join(groups, ["k", "s"]).select("k", "s", "id"))
 
 
-def pairings(unsettled: DataFrame, turn: int, scratch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a round: k, s, id, rep of the large groups, and a, b of the small ones.
+def settled(shared: DataFrame, found: DataFrame | None, scratch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """k, s, id, root of the texts of groups that hold several classes of the links found so far, with
+    ``n``, the size of the group."""
+    if found is None:
+        rows = shared.withColumn("root", F.col("id"))
+    else:
+        rows = shared.join(components(found, scratch), "id", "left").select("k", "s", "id", F.coalesce("root", "id").alias("root"))
+        rows = scratch(rows)
+    sizes = rows.groupBy("k", "s").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return scratch(rows.join(sizes.where("low < high").select("k", "s", "n"), ["k", "s"]))
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """id, rep and their rank: each text with the representative of each of its groups, where no chain of
+    links joins them. A representative has the smallest hash of its group, so groups that
+    share texts share it, and their pairs are few."""
+    drawn = F.struct(F.xxhash64("id", F.lit(1)).alias("rank"), F.col("id").alias("rep"), F.col("root").alias("rep_root"))
+    reps = rows.groupBy("k", "s").agg(F.min(drawn).alias("m")).select("k", "s", "m.*")
+    return rows.join(reps, ["k", "s"]).where("root != rep_root").select("id", "rep", "rank")
+
 
-    A large group has at most 2 ** (turn + 1) representatives, so a text has that many pairs;
-    ``apart`` finds what they leave out."""
-    sizes = scratch(unsettled.groupBy("k", "s").agg(F.count("*").alias("n")).where("n > 1"))
-    small = unsettled.join(sizes.where(f"n <= {SMALL_GROUP}").select("k", "s"), ["k", "s"])
-    close = small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), ["k", "s"]).where("a < b").select("a", "b")
-    large = sizes.where(f"n > {SMALL_GROUP}").select("k", "s")
-    draws = F.explode(F.sequence(F.lit(1), F.lit(2 << turn)))
-    drawn = unsettled.join(large, ["k", "s"]).select("k", "s", "id", draws.alias("d"))
-    first = drawn.groupBy("k", "s", "d").agg(F.min(F.struct(F.xxhash64("k", "s", "d", F.lit(turn), "id"), "id")).alias("m"))
-    reps = scratch(first.select("k", "s", F.col("m.id").alias("rep")).distinct())
-    return scratch(unsettled.join(reps, ["k", "s"])), close
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def linked(sketched: DataFrame, words_of: Callable[[DataFrame], DataFrame], threshold: float, scratch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified pairs a < b, without repeats, of all groups. ``words_of`` gives the words (id, words) of a table of ids."""
-    shared = unsettled = members(sketched, scratch)
-    words = words_of(unsettled.select("id").distinct())
-    tried = found = None
-    for turn in range(ROUNDS):
-        stars, close = pairings(unsettled, turn, scratch)
-        pairs = stars.where("id != rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).unionByName(close).distinct()
-        pairs = scratch(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        new = scratch(verified(pairs, words, threshold))
-        tried, found = (pairs, new) if tried is None else (tried.unionByName(pairs), found.unionByName(new))
-        ends = stars.where("id != rep").select("k", "s", "id", F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
-        settled = stars.where("id = rep").select("k", "s", "id").unionByName(ends.join(found, ["a", "b"]).select("k", "s", "id")).distinct()
-        large = stars.select("k", "s", "id").distinct()
-        unsettled = scratch(large.join(settled, ["k", "s", "id"], "left_anti"))
-        if unsettled.isEmpty():
-            break
-    return scratch(found.unionByName(apart(shared, found, words, threshold, scratch)).distinct())
-
-
-def apart(shared: DataFrame, found: DataFrame, words: DataFrame, threshold: float, scratch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified pairs a < b of texts of one large group that no chain of ``found`` links joins.
-
-    A group is dealt to tiles; a task takes the words of two tiles at most and compares their
-    texts there, so neither pairs nor a pair's words are written."""
-    rows = scratch(shared.join(components(found, scratch), "id", "left").select("k", "s", "id", F.coalesce("root", "id").alias("root")))
-    sizes = rows.groupBy("k", "s").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    several = sizes.where(f"n > {SMALL_GROUP} AND low < high").selectExpr("k", "s", f"CAST(ceil(n / {TILE}) AS INT) AS tiles")
-    tiled = rows.join(several, ["k", "s"]).selectExpr(
+    """Verified pairs a < b, without repeats, that join every two similar texts of a group by a chain of
+    links. ``words_of`` gives the words (id, words) of a table of ids."""
+    shared = members(sketched, scratch)
+    words = words_of(shared.select("id").distinct())
+    first = stars(settled(shared, None, scratch)).groupBy("id").agg(F.min(F.struct("rank", "rep")).alias("m"))
+    tried = scratch(first.select("id", "m.rep").select(*_ordered("id", "rep")).distinct())
+    found = scratch(verified(tried, words, threshold))
+    rows = settled(shared, found, scratch)
+    small = rows.where(f"n <= {SMALL_GROUP}")
+    close = small.selectExpr("k", "s", "id AS a", "root AS ra").join(small.selectExpr("k", "s", "id AS b", "root AS rb"), ["k", "s"])
+    close = close.where("a < b AND ra != rb").select("a", "b")
+    pairs = stars(rows.where(f"n > {SMALL_GROUP}")).select(*_ordered("id", "rep")).unionByName(close).distinct()
+    pairs = scratch(pairs.join(tried, ["a", "b"], "left_anti"))
+    found = scratch(found.unionByName(verified(pairs, words, threshold)))
+    rows = settled(shared, found, scratch).where(f"n > {SMALL_GROUP}")
+    facts = words.join(sketched.select("id", "sketch"), "id")
+    return scratch(found.unionByName(apart(rows, facts, threshold)).distinct())
+
+
+def _bigrams(words: np.ndarray) -> np.ndarray:
+    return (words[:-1].astype(U64) << U64(32)) | words[1:].astype(U64)
+
+
+class Tile:
+    """Texts of a tile, so that one is held against all later ones at once: ``shared`` counts word pairs.
+
+    A word pair that a text repeats counts each time, as a gram of its own."""
+
+    def __init__(self, held: list[np.ndarray]):
+        grams = [_bigrams(w) for w in held]
+        self.first = np.cumsum([0] + [len(g) for g in grams])
+        owner = np.repeat(np.arange(len(held)), np.diff(self.first))
+        _, code = np.unique(np.concatenate([*grams, np.zeros(0, U64)]), return_inverse=True)
+        order = np.lexsort((code, owner))
+        c, o = code[order], owner[order]
+        fresh = np.concatenate(([True], (c[1:] != c[:-1]) | (o[1:] != o[:-1])))[: len(c)]
+        at = np.arange(len(c))
+        nth = np.empty(len(c), np.int64)
+        nth[order] = at - np.maximum.accumulate(np.where(fresh, at, 0)) if len(c) else at
+        _, labels = np.unique(code * (int(nth.max(initial=0)) + 1) + nth, return_inverse=True)
+        self.labels = labels.astype(np.int32)
+        self.mark = np.zeros(int(labels.max(initial=-1)) + 1, np.int8)
+
+    def shared(self, i: int) -> np.ndarray:
+        """Word pairs that text ``i`` shares with each text after it."""
+        own = self.labels[self.first[i] : self.first[i + 1]]
+        self.mark[own] = 1
+        hits = np.concatenate(([0], np.cumsum(self.mark[self.labels[self.first[i + 1] :]], dtype=np.int64)))
+        self.mark[own] = 0
+        ends = self.first[i + 1 :] - self.first[i + 1]
+        return hits[ends[1:]] - hits[ends[:-1]]
+
+
+def apart(rows: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """Verified pairs a < b that join the texts of a group (``settled`` rows) where no chain does yet.
+
+    A group is dealt to tiles; a task takes the words and sketches (``words``: id, words, sketch) of two tiles at most
+    and compares their texts there, so neither pairs nor a pair's words are written. Texts that share
+    several sketches are compared in the group of the first."""
+    sizes = rows.join(words.selectExpr("id", "length(words) AS bytes"), "id").groupBy("k", "s").agg(
+        F.expr(f"CAST(greatest(ceil(count(*) / {TILE}), ceil(sum(bytes) / {TILE_BYTES})) AS INT) AS tiles")
+    )
+    tiled = rows.join(sizes, ["k", "s"]).selectExpr(
         "k", "s", "id", "root", "CAST(pmod(xxhash64(id), tiles) AS INT) AS own", "explode(sequence(0, tiles - 1)) AS other"
     )
-    dealt = tiled.join(words, "id").selectExpr("k", "s", "least(own, other) AS p", "greatest(own, other) AS q", "own", "id", "root", "words")
+    dealt = tiled.join(words, "id").selectExpr(
+        "k", "s", "least(own, other) AS p", "greatest(own, other) AS q", "own", "id", "root", "words", "slice(sketch, 1, k) AS earlier"
+    )
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
-        ids, root, own = (tile[c].to_numpy() for c in ("id", "root", "own"))
+        tile = tile.sort_values("id")
+        ids, own = (tile[c].to_numpy() for c in ("id", "own"))
+        root = tile["root"].to_numpy().copy()
+        out: list[tuple[int, int]] = []
+        if (root == root[0]).all():
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
         held = [np.frombuffer(w, np.uint32) for w in tile["words"]]
         size = np.array([len(w) for w in held])
-        cross, out = tile["p"].iloc[0] != tile["q"].iloc[0], []
+        earlier = np.array(tile["earlier"].tolist(), np.int64).reshape(len(held), -1)
+        grams, cross = Tile(held), tile["p"].iloc[0] != tile["q"].iloc[0]
         for i in range(len(ids) - 1):
-            n = size[i + 1 :]
-            may = (root[i + 1 :] != root[i]) & (np.abs(n - size[i]) <= np.maximum(n, size[i]) * (1 - threshold) + 1e-9)
+            longer = np.maximum(size[i + 1 :], size[i])
+            limit = (longer * (1 - threshold) + 1e-9).astype(np.int64)
+            may = (root[i + 1 :] != root[i]) & (np.abs(size[i + 1 :] - size[i]) <= limit)
             if cross:
                 may &= own[i + 1 :] != own[i]
+            if may.any():
+                may &= ~(earlier[i + 1 :] == earlier[i]).any(axis=1)
+                may &= grams.shared(i) >= longer - 1 - 2 * limit
             for j in np.flatnonzero(may) + i + 1:
-                if similar(held[i], held[j], threshold):
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                if root[j] != root[i] and similar(held[i], held[j], threshold):
+                    out.append((ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("k", "s", "p", "q").applyInPandas(compare, "a long, b long")

@@ -1,6 +1,7 @@
 """Each operator against a plain version on small rows with nulls, empty texts, ties and repeats."""
 
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -147,6 +148,34 @@ def test_chain_in_a_large_group(spark):
     assert roots == {i: i // 100 * 100 for i in range(300)}
 
 
+def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Near copies that share all sketches are compared with one text, not with some of every sketch."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        near = list(range(100))
+        near[rng.randrange(100)] = 1000 + i
+        rows.append((i, bytearray(np.array(near, np.uint32).tobytes())))
+    table = spark.createDataFrame(rows, "id long, words binary")
+    sketched = spark.createDataFrame([(i, list(range(16))) for i in range(150)], "id long, sketch array<long>")
+    compared = []
+    plain = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    links = near_dedup.linked(sketched, lambda ids: table.join(ids, "id"), 0.8, materialize)
+    roots = {r.id: r.root for r in components.components(links, materialize).collect()}
+    assert roots == dict.fromkeys(range(150), 0)
+    assert sum(compared) < 300
+
+
+def test_word_pairs_of_a_tile():
+    rng = random.Random(9)
+    held = [np.array([rng.randrange(4) for _ in range(rng.choice([0, 1, 2, 9, 30]))], np.uint32) for _ in range(40)]
+    tile = near_dedup.Tile(held)
+    pairs = [Counter(zip(w.tolist(), w.tolist()[1:])) for w in held]
+    for i in range(40):
+        assert tile.shared(i).tolist() == [(pairs[i] & other).total() for other in pairs[i + 1 :]]
+
+
 def test_edit_distance():
     rng = random.Random(4)
     for _ in range(400):
