@@ -4,10 +4,10 @@ Equal texts are combined first. A text is a sequence of word 5-grams, each label
 its occurrence number. A sketch samples the few 5-grams with the smallest hashes and keeps
 them in text order, so that its collision probability follows edit similarity rather than
 set overlap (Marçais et al., 2019). Texts that share one of several sketches are
-candidates. Each group has a representative, the text with the smallest hash. First every text
-is compared with one representative, then those of groups that hold several classes of the
-links found so far: all pairs of classes in groups of at most ``SMALL_GROUP`` texts, in larger ones
-each text with the representative. Then every two texts of a large group that no
+candidates. Groups of at most ``SMALL_GROUP`` texts are compared pair by pair. A larger group has
+a representative, the text with the smallest hash. First every text is compared with one
+representative, then, in groups that hold several classes of the links found so far, with that of
+each of its groups. Then every two texts of a large group that no
 chain of links joins yet are compared, in tiles of bounded size. Candidates are verified by
 banded alignment of their words: 1 minus edits over the longer length must reach the threshold;
 counts of shared words and word pairs rule out most others before.
@@ -214,15 +214,14 @@ def linked(sketched: DataFrame, words_of: Callable[[DataFrame], DataFrame], thre
     links. ``words_of`` gives the words (id, words) of a table of ids."""
     shared = members(sketched, scratch)
     words = words_of(shared.select("id").distinct())
-    first = stars(settled(shared, None, scratch)).groupBy("id").agg(F.min(F.struct("rank", "rep")).alias("m"))
-    tried = scratch(first.select("id", "m.rep").select(*_ordered("id", "rep")).distinct())
+    rows = settled(shared, None, scratch)
+    first = stars(rows.where(f"n > {SMALL_GROUP}")).groupBy("id").agg(F.min(F.struct("rank", "rep")).alias("m"))
+    small = rows.where(f"n <= {SMALL_GROUP}").select("k", "s", "id")
+    close = small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), ["k", "s"]).where("a < b").select("a", "b")
+    tried = scratch(first.select("id", "m.rep").select(*_ordered("id", "rep")).unionByName(close).distinct())
     found = scratch(verified(tried, words, threshold))
-    rows = settled(shared, found, scratch)
-    small = rows.where(f"n <= {SMALL_GROUP}")
-    close = small.selectExpr("k", "s", "id AS a", "root AS ra").join(small.selectExpr("k", "s", "id AS b", "root AS rb"), ["k", "s"])
-    close = close.where("a < b AND ra != rb").select("a", "b")
-    pairs = stars(rows.where(f"n > {SMALL_GROUP}")).select(*_ordered("id", "rep")).unionByName(close).distinct()
-    pairs = scratch(pairs.join(tried, ["a", "b"], "left_anti"))
+    rows = settled(shared, found, scratch).where(f"n > {SMALL_GROUP}")
+    pairs = scratch(stars(rows).select(*_ordered("id", "rep")).distinct().join(tried, ["a", "b"], "left_anti"))
     found = scratch(found.unionByName(verified(pairs, words, threshold)))
     rows = settled(shared, found, scratch).where(f"n > {SMALL_GROUP}")
     facts = words.join(sketched.select("id", "sketch"), "id")
