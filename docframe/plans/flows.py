@@ -45,7 +45,8 @@ def _(spark, d):
     path = scratch_path(spark, "csv")
     writers.write_audit_csv(audit(spark, d), path)
     schema = ", ".join(f"`{c}` {'bigint' if c == 'order' else 'boolean' if c == 'keep_for_text' else 'string'}" for c in cl.AUDIT_COLUMNS)
-    back = spark.read.schema(schema + ", paper_id string").csv(path, header=True, quote='"', escape='"')
+    with readers.many_folders(spark):
+        back = spark.read.schema(schema + ", paper_id string").csv(path, header=True, quote='"', escape='"')
     return back.select("paper_id", "element_id", "order", "section_path", "text", "keep_for_text", "exclusion_reason")
 
 
@@ -68,7 +69,9 @@ def _(spark, d):
     path = scratch_path(spark, "markdown")
     writers.write_markdown(cl.render_markdown(kept(spark, d), cl.infer_title(elements(spark, d))), path)
     # Body lines only: headings start with a hash, blank lines separate the pieces.
-    return spark.read.text(path).filter("value <> '' AND NOT value RLIKE '^#{1,6} '").agg(F.expr("count(*) AS lines"))
+    with readers.many_folders(spark):
+        written = spark.read.text(path)
+    return written.filter("value <> '' AND NOT value RLIKE '^#{1,6} '").agg(F.expr("count(*) AS lines"))
 
 
 @query("vector_sink", "SELECT c.chunk_id, c.paper_id, c.citation, 64 AS dims FROM cited c", uses="cited")

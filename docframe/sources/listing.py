@@ -1,4 +1,4 @@
-"""A data source that lists the files below a folder, empty ones too.
+"""A data source that lists the files below a folder, empty ones too (S7), and writers of many small files.
 
 Spark's own file scans leave out files of length 0, so an intake could not report them.
 The listing runs in tasks: the driver lists one level, each task walks some of its folders.
@@ -7,10 +7,12 @@ Paths are of any file system pyarrow opens (local or mounted folders, HDFS, obje
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -98,3 +100,58 @@ def write_files(files: DataFrame, root: str) -> None:
                 f.write(bytes(r.content or b""))
 
     files.select("name", "content").foreachPartition(put)
+
+
+# Characters that Hive's folder names (``column=value``) hold as %XX, and the name of a missing value.
+_ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+_MISSING = "__HIVE_DEFAULT_PARTITION__"
+
+
+def folder_name(column: str, value: str | None) -> str:
+    """Name of a value's folder, as Spark's readers understand it."""
+    return f"{column}={_ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', value) if value else _MISSING}"
+
+
+def write_folders(lines: DataFrame, root: str, suffix: str, header: str = "") -> None:
+    """Write (key, line) as text files, a folder per value of the first column, from the tasks
+    that hold the rows; rows of a key must stand together in their partition.
+
+    A committed write by Spark changes the mode of every file and folder it makes, a process
+    each; with a file or two per folder that is most of the time. A file gets its name once it
+    is whole, the same in every attempt of a task. ``root`` must be new.
+    """
+    column = lines.columns[0]
+    system, folder = _opened(root)
+    if system.get_file_info(folder).type != fs.FileType.NotFound:
+        raise FileExistsError(root)
+    system.create_dir(folder, recursive=True)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = _opened(root)
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():05d}{suffix}"
+        hidden = f"_{task.taskAttemptId()}-{name}"  # readers skip it, if a task is cut off
+        before, target, out, files = (), None, None, 0  # no key equals the first ``before``
+
+        for batch in batches:
+            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key != before:
+                    before, last = key, target
+                    target = f"{folder}/{folder_name(column, key)}"
+                    if target != last:
+                        if out is not None:
+                            out.close()
+                            system.move(f"{last}/{hidden}", f"{last}/{name}")
+                        system.create_dir(target, recursive=True)
+                        out = system.open_output_stream(f"{target}/{hidden}")
+                        out.write(header.encode())
+                        files += 1
+                out.write(f"{line}\n".encode())
+        if out is not None:
+            out.close()
+            system.move(f"{target}/{hidden}", f"{target}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
+
+    lines.mapInArrow(put, "files long").agg({"files": "sum"}).collect()
+    with system.open_output_stream(f"{folder}/_SUCCESS"):
+        pass

@@ -4,10 +4,12 @@ gathered per paper beyond a part of bounded size."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docframe.functions.text import lit
 from docframe.operators.cleaning import AUDIT_COLUMNS, PART_ROWS
 from docframe.operators.ordered import in_order, sql
+from docframe.sources.listing import write_folders
 
 
 def write_cleaned_jsonl(elements: DataFrame, path: str) -> None:
@@ -16,7 +18,8 @@ def write_cleaned_jsonl(elements: DataFrame, path: str) -> None:
         "paper_id", "element_id", "order", "page", "section_path AS section", "type AS element_type", "label",
         "bounding_box", "coordinate_origin", "source_ref", "text",
     )
-    rows.repartitionByRange("paper_id", "order").sortWithinPartitions("paper_id", "order").write.partitionBy("paper_id").json(path)
+    placed = rows.repartitionByRange("paper_id", "order").sortWithinPartitions("paper_id", "order")
+    write_folders(placed.select("paper_id", F.to_json(F.struct(*rows.columns[1:]))), path, ".json")
 
 
 def audit_csv_rows(audit: DataFrame) -> DataFrame:
@@ -28,8 +31,9 @@ def audit_csv_rows(audit: DataFrame) -> DataFrame:
 def write_audit_csv(audit: DataFrame, path: str) -> None:
     """Audit rows as CSV with a header."""
     rows = audit_csv_rows(audit)
-    options = {"header": True, "quote": '"', "escape": '"'}
-    rows.repartitionByRange("paper_id", "order").sortWithinPartitions("paper_id", "order").write.partitionBy("paper_id").options(**options).csv(path)
+    options = {"quote": '"', "escape": '"'}
+    placed = rows.repartitionByRange("paper_id", "order").sortWithinPartitions("paper_id", "order")
+    write_folders(placed.select("paper_id", F.to_csv(F.struct(*AUDIT_COLUMNS), options)), path, ".csv", ",".join(AUDIT_COLUMNS) + "\n")
 
 
 def nest_documents(
@@ -82,7 +86,7 @@ def write_documents_json(documents: DataFrame, path: str) -> None:
 def write_markdown(markdown: DataFrame, path: str) -> None:
     """Markdown parts as text, a folder per paper."""
     rows = markdown.repartitionByRange("paper_id", "part").sortWithinPartitions("paper_id", "part")
-    rows.selectExpr("paper_id", "rtrim('\\n', markdown) AS value").write.partitionBy("paper_id").text(path)
+    write_folders(rows.selectExpr("paper_id", "coalesce(rtrim('\\n', markdown), '') AS value"), path, ".txt")
 
 
 def write_embeddings(index_rows: DataFrame, path: str, mode: str = "error") -> None:

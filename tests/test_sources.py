@@ -1,8 +1,10 @@
 """File listing, intake and XML feeds from real files."""
 
+import pytest
+
 from docframe.operators import records as rc
 from docframe.session import scratch_path
-from docframe.sources import listing, readers
+from docframe.sources import listing, readers, writers
 
 
 def test_listing_and_intake(spark, tmp_path):
@@ -39,6 +41,38 @@ def test_written_files(spark):
     assert sorted((r.filename, r.length) for r in listing.list_files(spark, path).collect()) == [("1.bin", 3), ("2.bin", 0)]
 
 
+def test_folder_per_paper(spark, tmp_path):
+    papers = [None, "", "1", "a/b=c%*", "Ü"]
+    text = ["x", None, "", 'q"u,o']
+    rows = [(p, i, t) for p in papers for i, t in enumerate(text)]
+    elements = spark.createDataFrame(rows, "paper_id string, order long, text string").selectExpr(
+        "*", "concat('e', order) AS element_id", "1 AS page", "array('A') AS section_path", "'t' AS type", "'l' AS label",
+        "named_struct('l', 1D) AS bounding_box", "'o' AS coordinate_origin", "'s' AS source_ref")
+    root = f"{tmp_path}/out"
+    writers.write_cleaned_jsonl(elements, root)
+    found = {f.relative_to(root).as_posix().rsplit("/", 1)[0] for f in (tmp_path / "out").rglob("*.json")}
+    assert found == {f"paper_id={n}" for n in ("__HIVE_DEFAULT_PARTITION__", "1", "a%2Fb%3Dc%25%2A", "Ü")}
+    # No file beside those, as a commit by Spark would leave.
+    assert {f.suffix for f in (tmp_path / "out").rglob("*") if f.is_file() and f.name != "_SUCCESS"} == {".json"}
+    back = readers.read_jsonl(spark, root, "paper_id string, element_id string, text string")
+    assert sorted(((r.paper_id, r.element_id, r.text) for r in back.collect()), key=repr) == sorted(((p or None, f"e{i}", t) for p, i, t in rows), key=repr)
+    with pytest.raises(FileExistsError):
+        writers.write_cleaned_jsonl(elements, root)
+
+
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"paper_id={i}").mkdir()
+        (tmp_path / f"paper_id={i}/part.json").write_text('{"text": "x"}\n')
+    spark.sparkContext.setJobGroup("listing", "")
+    rows = readers.read_jsonl(spark, str(tmp_path), "paper_id string, text string")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 64
+    assert rows.distinct().count() == 100
+
+
 def test_malformed_entries_are_kept_apart(spark, tmp_path):
     good = '<entry><id>http://x/abs/1v1</id><title> A\nB </title><published>2020-01-02</published><author><name>N</name></author><author><name> </name></author>' \
         '<link href="u" type="text/html"/><link href="p" title="pdf"/></entry>'
