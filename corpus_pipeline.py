@@ -79,8 +79,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with token ids and digests of ids and decoded text."""
-    encoded = bpe.encode(docs, vocabulary(), scratch=materialize)
-    return bpe.digests(encoded, vocabulary())
+    return bpe.encode(docs, vocabulary(), scratch=materialize, digested=True)
 
 
 STAGES = [

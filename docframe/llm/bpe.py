@@ -19,6 +19,7 @@ import json
 import math
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -149,8 +150,12 @@ def _known(raw: bytes) -> dict[str, bytes]:
     return found
 
 
-def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", table_words: int = TABLE_WORDS, scratch=None) -> DataFrame:
-    """Add ``token_ids``. ``scratch`` stores the word counts once, if given."""
+def encode(
+    docs: DataFrame, tokenizer_json: str, text: str = "text", table_words: int = TABLE_WORDS, scratch=None, digested: bool = False
+) -> DataFrame:
+    """Add ``token_ids``. ``scratch`` stores the word counts once, if given. With ``digested``
+    the columns of ``digests`` follow, made where the ids are: by themselves they take a second
+    Python process beside each task's first, and every id moves there."""
     words = word_table(docs, tokenizer_json, text)
     frequent = frequent_words(scratch(words) if scratch else words, table_words)
     # A bounded table; it reaches the tasks as Arrow columns and is turned into a dictionary there.
@@ -161,8 +166,9 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", table_words
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, sink.getvalue().to_pybytes()))
     del table, sink
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    pieces = docs.sparkSession.sparkContext.broadcast(piece_table(tokenizer_json)) if digested else None
+
+    def coded(batches: Iterator[pd.Series]) -> Iterator[list[np.ndarray]]:
         code, raw = shared.value
         known, others = _known(raw), []
         split, encoder = _splitter(code), _encoder(code)
@@ -174,13 +180,30 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", table_words
                 rest = list(set().union(*parts).difference(known))
                 known.update(zip(rest, encoder(rest)))
                 others += rest
-                yield pd.Series([np.frombuffer(b"".join(map(known.__getitem__, p)), "<i4") for p in parts], dtype=object)
+                yield [np.frombuffer(b"".join(map(known.__getitem__, p)), "<i4") for p in parts]
                 if len(others) > OTHER_WORDS:
                     for w in others:
                         del known[w]
                     others = []
 
-    return docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != "token_ids"], ids(F.col(text)).alias("token_ids"))
+    @F.pandas_udf("array<int>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in coded(batches):
+            yield pd.Series(part, dtype=object)
+
+    @F.pandas_udf("token_ids array<int>, ids_sha256 string, decoded_sha256 string")
+    def ids_and_digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        piece = pieces.value.__getitem__
+        for part in coded(batches):
+            digest = [_digest(x, piece) for x in part]
+            yield pd.DataFrame({"token_ids": pd.Series(part, dtype=object), "ids_sha256": [a for a, _ in digest], "decoded_sha256": [b for _, b in digest]})
+
+    if not digested:
+        return docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != "token_ids"], ids(F.col(text)).alias("token_ids"))
+    own = ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    out = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in own], ids_and_digests(F.col(text)).alias("_d"))
+    counted = F.size("_d.token_ids").cast("long").alias("n_tokens")
+    return out.select("*", "_d.token_ids", counted, "_d.ids_sha256", "_d.decoded_sha256").drop("_d")
 
 
 def piece_table(tokenizer_json: str) -> list[bytes]:
@@ -206,6 +229,12 @@ def decode(docs: DataFrame, tokenizer_json: str, ids: str = "token_ids") -> Data
     return docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != "decoded"], text_of(F.col(ids)).alias("decoded"))
 
 
+def _digest(ids: np.ndarray, piece) -> tuple[str, str]:
+    """SHA-256 of ids as little-endian 32-bit numbers, and of the text they decode to."""
+    text = b"".join(map(piece, ids.tolist())).decode("utf-8", "replace")
+    return sha256(ids.astype("<u4").tobytes()).hexdigest(), sha256(text.encode()).hexdigest()
+
+
 def digests(encoded: DataFrame, tokenizer_json: str, ids: str = "token_ids") -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: of the ids as little-endian
     32-bit numbers and of the text they decode to."""
@@ -213,15 +242,10 @@ def digests(encoded: DataFrame, tokenizer_json: str, ids: str = "token_ids") ->
 
     @F.pandas_udf("ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from hashlib import sha256
-
         piece = shared.value.__getitem__
         for batch in batches:
             for i in range(0, len(batch), SLICE_ROWS):
-                rows = []
-                for x in batch.iloc[i : i + SLICE_ROWS]:
-                    text = b"".join(map(piece, x.tolist())).decode("utf-8", "replace")
-                    rows.append((sha256(x.astype("<u4").tobytes()).hexdigest(), sha256(text.encode()).hexdigest()))
+                rows = [_digest(x, piece) for x in batch.iloc[i : i + SLICE_ROWS]]
                 yield pd.DataFrame(rows, columns=["ids_sha256", "decoded_sha256"])
 
     own = ["n_tokens", "ids_sha256", "decoded_sha256"]

@@ -88,6 +88,18 @@ def test_bpe_round_trip(spark, docs):
     assert sorted(((r.doc_id, r.token_ids, r.decoded) for r in out.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_bpe_digests_in_one_process(spark):
+    code = queries.vocabulary()
+    texts = [(1, "The cat\u2019s 12 cats"), (2, None), (3, ""), (3, ""), (None, "\u65e5\u672c <|endoftext|> \x85x"), (5, "rareword" * 40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'given' AS n_tokens", "doc_id AS extra").coalesce(1)
+    one = bpe.encode(df, code, table_words=3, digested=True)
+    two = bpe.digests(bpe.encode(df, code, table_words=3), code)
+    assert one.dtypes == two.dtypes and sorted(one.collect(), key=repr) == sorted(two.collect(), key=repr)
+    # A second evaluation in Python means a second process beside each task's first.
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_decontaminate(spark, frame, docs):
     texts = [t for _, t in docs if t]
     items = [("a", texts[2]), ("b", " ".join(texts[62].upper().split()[10:30])), ("c", "one two"), ("d", None), ("e", ""), (None, texts[5]), ("c", "one two")]
