@@ -116,8 +116,7 @@ def write_folders(lines: DataFrame, root: str, suffix: str, header: str = "") ->
     """Write (key, line) as text files, a folder per value of the first column, from the tasks
     that hold the rows; rows of a key must stand together in their partition.
 
-    A committed write by Spark changes the mode of every file and folder it makes, a process
-    each; with a file or two per folder that is most of the time. A file gets its name once it
+    Files are made without Spark's commit, whose cost grows with their number. A file gets its name once it
     is whole, the same in every attempt of a task. ``root`` must be new.
     """
     column = lines.columns[0]
