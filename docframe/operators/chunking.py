@@ -19,7 +19,7 @@ from docframe.operators.ordered import (
     sql,
     top_per_key,
 )
-from docframe.operators.packing import blank_tokens, cut_windows, pack_groups, sized, split_text
+from docframe.operators.packing import blank_tokens, cut_windows, measured, pack_groups, split_text
 from docframe.session import materialize
 
 __all__ = ["ChunkingConfig", "blank_tokens", "chunk", "split_text"]
@@ -48,9 +48,14 @@ COLUMNS = (
 )
 
 
-def section_runs(elements: DataFrame) -> DataFrame:
-    """Kept elements with the number of their consecutive run of equal paths."""
-    return number_runs(elements, ["paper_id"], "order", "section_path", run="group_no", start="group_start")
+def section_runs(elements: DataFrame, length: Callable[[str], int] = blank_tokens) -> DataFrame:
+    """Kept elements with the number of their consecutive run of equal paths, what they measure
+    (``n``, ``w``) and what the run's elements before them do (``c``). Runs and sums come from one
+    pass, so the texts are moved once."""
+    runs = number_runs(
+        measured(elements, length), ["paper_id"], "order", "section_path", run="group_no", start="group_start", sums={"upto": "n"}
+    )
+    return runs.withColumn("c", F.col("upto") - F.col("n")).drop("upto")
 
 
 def group_by_section(elements: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
@@ -60,7 +65,7 @@ def group_by_section(elements: DataFrame, part_tokens: int = PART_TOKENS) -> Dat
     its size: ``part`` counts rows of about ``part_tokens`` tokens, which joined by blank lines
     are the text. Each carries the pages of the whole run and its own elements' orders.
     """
-    placed = sized(section_runs(elements), blank_tokens).selectExpr("*", f"c DIV {part_tokens} AS part")
+    placed = section_runs(elements).selectExpr("*", f"c DIV {part_tokens} AS part")
     return sql(
         f"""
         WITH parts AS (
@@ -102,10 +107,12 @@ def split_parents(
 ) -> DataFrame:
     """Parent passages of kept elements, numbered over the whole paper (K2). Each inherits its
     section run's pages and path and names the orders of the elements it holds."""
-    runs = materialize(section_runs(elements).select("paper_id", "group_no", "order", "text", "page", "section_path"))
-    texts = runs.select("paper_id", "group_no", "order", "text")
-    # Written once: the numbering below reads the pieces twice.
-    cut = materialize(cut_windows(texts, max_tokens, overlap) if splitter == "fixed" else pack_groups(texts, max_tokens, overlap, length))
+    measure = blank_tokens if splitter == "fixed" else length
+    runs = materialize(section_runs(elements, measure).select("paper_id", "group_no", "order", "text", "page", "section_path", "n", "w", "c"))
+    texts = runs.select("paper_id", "group_no", "order", "text", "n", "w", "c")
+    # The numbering below reads the pieces twice: windows without their texts, which follow from counts
+    # alone; others are written once.
+    cut = cut_windows(texts, max_tokens, overlap) if splitter == "fixed" else materialize(pack_groups(texts, max_tokens, overlap, length))
     counted = sql(
         """
         SELECT paper_id, group_no, section_path, page_start, page_end, n, last_block

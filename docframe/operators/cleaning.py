@@ -28,7 +28,7 @@ AUDIT_COLUMNS = (
     "coordinate_origin", "inside_picture", "keep_for_text", "exclusion_reason",
 )
 
-# Element orders per folded block, and blocks per folded block of blocks.
+# Element orders per block of section paths and picture references, and blocks per folded block of blocks.
 LEAF_ROWS = 512
 FAN_IN = 4096
 # Element orders per assembled part of a long document.
@@ -64,16 +64,37 @@ def number_elements(df: DataFrame, position: str = "position") -> DataFrame:
 SALTS = 32
 
 
-def flag_inside_picture(df: DataFrame) -> DataFrame:
-    """True when the parent element is a picture (C4). Only picture rows are joined, one per
-    (paper, reference), copied ``SALTS`` times: a parent with any share of the elements is
-    spread over that many keys."""
-    pictures = (
+def _blocked(df: DataFrame) -> DataFrame:
+    """Rows with the block of their order. What is looked up by (paper, block) meets rows that
+    carry the block where they lie, however often."""
+    return df if "__blk" in df.columns else df.selectExpr("*", f"order DIV {LEAF_ROWS} AS __blk")
+
+
+def _pictures(df: DataFrame) -> DataFrame:
+    return (
         df.filter("self_ref IS NOT NULL AND contains(lower(element_type), 'picture')")
         .selectExpr("paper_id", "self_ref AS parent_ref", "true AS __pic")
         .distinct()
-        .selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS __salt")
     )
+
+
+def picture_references(df: DataFrame) -> DataFrame:
+    """References to pictures in each block of a paper. A parent with any share of the elements
+    has one row a block, and no text is moved."""
+    used = _blocked(df).filter("parent_ref IS NOT NULL").select("paper_id", "__blk", "parent_ref").distinct()
+    return used.join(_pictures(df), ["paper_id", "parent_ref"]).groupBy("paper_id", "__blk").agg(F.collect_set("parent_ref").alias("__refs"))
+
+
+def flag_inside_picture(df: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """True when the parent element is a picture (C4). Only picture rows are joined, one per
+    (paper, reference), copied ``SALTS`` times: a parent with any share of the elements is
+    spread over that many keys. With the ``picture_references`` of the elements, those of each
+    row's block are looked up instead, in the exchange that other lookups by block need as well."""
+    if references is not None:
+        return _blocked(df).join(references, ["paper_id", "__blk"], "left").selectExpr(
+            *df.columns, "coalesce(array_contains(__refs, parent_ref), false) AS inside_picture"
+        )
+    pictures = _pictures(df).selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS __salt")
     salted = df.selectExpr("*", f"CAST(pmod(order, {SALTS}) AS INT) AS __salt")
     return salted.join(pictures, ["paper_id", "parent_ref", "__salt"], "left").selectExpr(
         *df.columns, "coalesce(__pic, false) AS inside_picture"
@@ -177,21 +198,12 @@ def _carried(rows: DataFrame, levels: int) -> DataFrame:
     )
 
 
-def section_path(df: DataFrame, levels: int = 1) -> DataFrame:
-    """Add ``section_path`` (open headings, outermost first) and ``header_order``, the
-    order of the header the element stands under (null before the first) (C8).
-
-    Opening and closing headings is an associative operation on (lowest level, open
-    headings). Headers are folded inside blocks of a fixed span of the order column,
-    block states are folded again ``levels`` times, and the state before each block is
-    handed back; elements meet their block on (paper, block), so no task ever holds a
-    whole document.
-    """
-    base = [c for c in df.columns if c not in ("section_path", "header_order")]
+def section_marks(df: DataFrame, levels: int = 1) -> DataFrame:
+    """Paths that hold in each block of a paper, with the order where each begins."""
     header = f"named_struct('at', CAST(order AS BIGINT), 'level', {LEVEL}, 'heading', {HEADING})"
     single = "named_struct('low', h.level, 'at', h.at, 'open', array(named_struct('level', h.level, 'heading', h.heading)))"
     entry = "array<struct<at:bigint,path:array<string>>>"
-    blocks = df.groupBy("paper_id", F.expr(f"order DIV {LEAF_ROWS} AS __blk")).agg(
+    blocks = _blocked(df).groupBy("paper_id", "__blk").agg(
         F.expr(f"array_sort(collect_list(IF({IS_HEADER}, {header}, NULL))) AS heads")
     )
     totals = blocks.selectExpr(
@@ -199,7 +211,7 @@ def section_path(df: DataFrame, levels: int = 1) -> DataFrame:
     )
     carry = _carried(totals, levels).withColumnRenamed("idx", "__blk")
     entry_of = "named_struct('at', {s}.at, 'path', {s}.open.heading)"
-    marks = blocks.join(carry, ["paper_id", "__blk"]).selectExpr(
+    return blocks.join(carry, ["paper_id", "__blk"]).selectExpr(
         "paper_id",
         "__blk",
         f"""aggregate(heads, named_struct('cur', carry, 'out', CAST(array({entry_of.format(s='carry')}) AS {entry})),
@@ -207,7 +219,20 @@ def section_path(df: DataFrame, levels: int = 1) -> DataFrame:
             'out', CAST(concat(a.out, array({entry_of.format(s=_then('a.cur', single))})) AS {entry})),
           a -> a.out) AS __marks""",
     )
-    placed = df.selectExpr(*base, f"order DIV {LEAF_ROWS} AS __blk").join(marks, ["paper_id", "__blk"], "left")
+
+
+def section_path(df: DataFrame, levels: int = 1, marks: DataFrame | None = None) -> DataFrame:
+    """Add ``section_path`` (open headings, outermost first) and ``header_order``, the
+    order of the header the element stands under (null before the first) (C8).
+
+    Opening and closing headings is an associative operation on (lowest level, open
+    headings). Headers are folded inside blocks of a fixed span of the order column,
+    block states are folded again ``levels`` times, and the state before each block is
+    handed back; elements meet their block's ``section_marks`` (of ``df`` if not given) on
+    (paper, block), so no task ever holds a whole document.
+    """
+    base = [c for c in df.columns if c not in ("section_path", "header_order")]
+    placed = _blocked(df).join(section_marks(df, levels) if marks is None else marks, ["paper_id", "__blk"], "left")
     found = "element_at(filter(__marks, m -> coalesce(m.at, -1) <= order), -1)"
     return placed.selectExpr(*base, f"{found} AS __m").selectExpr(
         *base, "__m.path AS section_path", "__m.at AS header_order"
@@ -220,7 +245,9 @@ def audit_elements(df: DataFrame, flag_duplicates: bool = False) -> DataFrame:
     cleaned = df.selectExpr(*rest, f"{strip('`text`')} AS text0").selectExpr(
         *rest, "coalesce(text0, '') AS text"
     )
-    located = section_path(classify_keep(flag_inside_picture(cleaned), flag_duplicates))
+    # Both lookups are made from the elements alone and met in one exchange of the rows with their texts.
+    marks, refs = section_marks(cleaned), picture_references(cleaned)
+    located = section_path(classify_keep(flag_inside_picture(_blocked(cleaned), refs), flag_duplicates), marks=marks)
     return located.selectExpr(
         "paper_id",
         f"{element_id()} AS element_id",

@@ -166,23 +166,28 @@ _PIECES = "array<struct<content:string,ranges:array<struct<first:bigint,last:big
 _MAP = "array<struct<entry:bigint,exit:bigint,chunks:bigint>>"
 
 
-def sized(elements: DataFrame, length: Callable[[str], int]) -> DataFrame:
-    """Elements of a group (paper_id, group_no, order, text) with ``n``, what their paragraphs
-    measure with the glue after each, ``w``, what their whole text does with one glue, and
-    ``c``, the sum of ``n`` of the group's elements before them."""
+def measured(elements: DataFrame, length: Callable[[str], int]) -> DataFrame:
+    """Elements with ``n``, what their paragraphs measure with the glue after each, and ``w``,
+    what their whole text does with one glue."""
     if length is blank_tokens:  # the glue measures nothing
         tokens = f"CAST(coalesce(size({solid_runs('text')}), 0) AS BIGINT)"
-        measured = elements.selectExpr("*", f"{tokens} AS n").withColumn("w", F.col("n"))
-    else:
-        gap = length(SEPARATORS[0])
+        return elements.selectExpr("*", f"{tokens} AS n").withColumn("w", F.col("n"))
+    gap = length(SEPARATORS[0])
+
+    @F.pandas_udf("n long, w long")
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        n = texts.map(lambda t: sum(length(p) + gap for p in t.split(SEPARATORS[0]) if p.strip()) if t else 0)
+        return pd.DataFrame({"n": n, "w": texts.map(lambda t: length(t) + gap if t else 0)})
 
-        @F.pandas_udf("n long, w long")
-        def measure(texts: pd.Series) -> pd.DataFrame:
-            n = texts.map(lambda t: sum(length(p) + gap for p in t.split(SEPARATORS[0]) if p.strip()) if t else 0)
-            return pd.DataFrame({"n": n, "w": texts.map(lambda t: length(t) + gap if t else 0)})
+    return elements.withColumn("m", measure("text")).select("*", "m.n", "m.w").drop("m")
 
-        measured = elements.withColumn("m", measure("text")).select("*", "m.n", "m.w").drop("m")
-    placed = scan(measured, ["paper_id", "group_no"], "order", sums={"upto": "n"})
+
+def sized(elements: DataFrame, length: Callable[[str], int]) -> DataFrame:
+    """Elements of a group (paper_id, group_no, order, text) as ``measured`` and with ``c``, the
+    sum of ``n`` of the group's elements before them; those that have it are left as they are."""
+    if "c" in elements.columns:
+        return elements
+    placed = scan(measured(elements, length), ["paper_id", "group_no"], "order", sums={"upto": "n"})
     return placed.withColumn("c", F.col("upto") - F.col("n")).drop("upto")
 
 
@@ -302,7 +307,8 @@ def pack_groups(
     """Chunks of every group: ``paper_id, group_no, block, no`` (from 0 in the group), ``content`` and
     ``ranges`` of the element orders it holds. A group that measures no more than the limit is one
     chunk with its text unchanged. ``span`` changes no result."""
-    rows = materialize(_block_rows(materialize(sized(elements, length)), limit, span))
+    stored = elements if "c" in elements.columns else materialize(sized(elements, length))
+    rows = materialize(_block_rows(stored, limit, span))
 
     def walk(own, margin) -> Walk:
         every = [*own, *(margin if margin is not None else ())]
@@ -353,18 +359,23 @@ def cut_windows(elements: DataFrame, limit: int, overlap: int = 0) -> DataFrame:
     first = f"IF(c < {limit}, 0L, (c - {limit}) DIV {step} + 1)"
     parts = placed.selectExpr("paper_id", "group_no", "order", "toks", "c", "n", f"explode(sequence({first}, (c + n - 1) DIV {step})) AS no")
     low, high = f"greatest(no * {step}, c)", f"least(no * {step} + {limit}, c + n)"
+    # Tokens hold no blank, so they are moved as one text, which takes less room than a list.
     parts = parts.where(f"{high} > {low}").selectExpr(
-        "paper_id", "group_no", "no", "order", f"slice(toks, CAST({low} - c + 1 AS INT), CAST({high} - {low} AS INT)) AS toks"
+        "paper_id", "group_no", "no", "order", f"{high} - {low} AS held",
+        f"array_join(slice(toks, CAST({low} - c + 1 AS INT), CAST({high} - {low} AS INT)), ' ') AS piece",
     )
-    windows = parts.groupBy("paper_id", "group_no", "no").agg(
-        F.expr("flatten(transform(array_sort(collect_list(named_struct('o', order, 't', toks))), x -> x.t)) AS toks"),
+    # Dealt by block, so that facts of a block meet its windows without another exchange.
+    dealt = parts.withColumn("block", F.expr(f"no DIV {SPAN}")).repartition("paper_id", "group_no", "block")
+    windows = dealt.groupBy("paper_id", "group_no", "block", "no").agg(
+        F.expr("array_join(transform(array_sort(collect_list(named_struct('o', order, 't', piece))), x -> x.t), ' ') AS content"),
         F.expr("array_sort(collect_list(order)) AS orders"),
+        F.expr("sum(held) AS held"),
     )
     # A last window that only repeats the overlap is none.
     merged = """aggregate(orders, CAST(array() AS array<struct<first:bigint,last:bigint>>), (a, o) ->
         IF(size(a) > 0 AND element_at(a, -1).last = o - 1,
           concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', o))),
           concat(a, array(named_struct('first', o, 'last', o)))))"""
-    return windows.where(f"no = 0 OR size(toks) > {overlap}").selectExpr(
-        "paper_id", "group_no", f"no DIV {SPAN} AS block", "no", "array_join(toks, ' ') AS content", f"{merged} AS ranges"
+    return windows.where(f"no = 0 OR held > {overlap}").selectExpr(
+        "paper_id", "group_no", "block", "no", "content", f"{merged} AS ranges"
     )
