@@ -210,14 +210,14 @@ def _block_rows(placed: DataFrame, limit: int, span: int) -> DataFrame:
         F.expr("array_sort(collect_list(named_struct('o', order, 't', text))) AS own"),
         F.expr("min(c) AS c0"), F.expr("sum(w) AS whole"), F.expr("max(order) + 1 AS end_order"),
     )
-    stored = materialize(own)
-    ends = sql(
+    # Where blocks end follows from the sizes alone; the texts of a block are gathered once, below.
+    ends = materialize(sql(
         """
         SELECT paper_id, group_no, block, lead(c0) OVER (PARTITION BY paper_id, group_no ORDER BY block) AS e
         FROM (SELECT paper_id, group_no, block, c0, max(block) OVER (PARTITION BY paper_id, group_no) AS top FROM {b}) WHERE top > 0
         """,
-        b=stored.select("paper_id", "group_no", "block", "c0"),
-    )
+        b=own.select("paper_id", "group_no", "block", "c0"),
+    ))
     margin = sql(
         f"""
         SELECT e.paper_id, e.group_no, e.block, array_sort(collect_list(named_struct('o', p.order, 't', p.text))) AS margin
@@ -234,7 +234,7 @@ def _block_rows(placed: DataFrame, limit: int, span: int) -> DataFrame:
         LEFT JOIN {m} m ON b.paper_id = m.paper_id AND b.group_no = m.group_no AND b.block = m.block
         LEFT JOIN {e} e ON b.paper_id = e.paper_id AND b.group_no = e.group_no AND b.block = e.block
         """,
-        b=stored,
+        b=own,
         m=margin,
         e=ends,
     )

@@ -90,3 +90,18 @@ def test_windows_of_several_elements(spark):
     got = [(r.no, r.content, [(x.first, x.last) for x in r.ranges]) for r in packing.cut_windows(df, 10, 2).orderBy("no").collect()]
     words = [f"w{i}.{j}" for i in range(6) for j in range(4)]
     assert got == [(n, " ".join(words[a:a + 10]), [(a // 4, min(a + 9, 23) // 4)]) for n, a in enumerate((0, 8, 16))]
+
+
+def test_blocks_of_packed_groups_deal_their_texts_once(spark, tmp_path):
+    rows = [("p", g, i, f"a{i} b c", 3, 3, 3 * i) for g in (1, 2) for i in range(30 if g == 1 else 3)]
+    spark.createDataFrame(rows, "paper_id string, group_no long, order long, text string, n long, w long, c long").write.parquet(str(tmp_path / "g"))
+    before = plain_settings(spark)
+    try:
+        blocks = packing._block_rows(spark.read.parquet(str(tmp_path / "g")), 10, 2)
+        # The aggregate's rows were stored and dealt again to meet what belongs to their block.
+        assert exchanges_of(blocks, "own") == 0 and exchanges_of(blocks, "buf") <= 2
+        got = {(r.group_no, r.block): (len(r.own), r.many) for r in blocks.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {(1, 0): (7, True), (1, 1): (7, True), (1, 2): (6, True), (1, 3): (7, True), (1, 4): (3, True), (2, 0): (3, False)}
