@@ -144,3 +144,18 @@ def test_index_of_repeated_and_empty_chunks(spark, tmp_path):
     got = {r.chunk_id: dict(zip(r.terms, r.gains)) for r in index.table(spark, "forward").collect()}
     gain = lambda tf, dl: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl))
     assert got == {"a": {"one": gain(2, 2), "two": gain(2, 2)}, "b": {"one": gain(1, 1)}}
+
+
+@pytest.mark.parametrize("scope", [[], ["paper_id"]])
+def test_texts_are_dealt_once_with_and_without_scope(spark, tmp_path, monkeypatch, scope):
+    plans = {}
+    write = lx.write_bucketed
+
+    def watched(df, path, *rest):
+        plans[path.rsplit("/", 1)[1]] = df._jdf.queryExecution().executedPlan().toString()
+        write(df, path, *rest)
+
+    monkeypatch.setattr(lx, "write_bucketed", watched)
+    corpus = spark.createDataFrame(corpus_of(random.Random(5), 50, ["a", "b"]), "chunk_id string, paper_id string, content string")
+    lx.build_index(corpus, f"{tmp_path}/index", scope=scope)
+    assert {name: plan.count("Exchange hashpartitioning") for name, plan in plans.items()} == {"forward": 1, "blocks": 0, "terms": 0}
