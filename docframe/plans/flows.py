@@ -17,7 +17,7 @@ from docframe.plans.tables import HTML_SQL, request_columns
 from docframe.schemas import CLEANED
 from docframe.session import scratch_path
 from docframe.sources import readers, writers
-from docframe.sources.listing import write_files
+from docframe.sources.listing import read_folders, write_files
 from docframe.sources.versioned import DocumentStore
 from docframe.streaming import jobs as st
 from docframe.streaming import quota_state
@@ -34,7 +34,7 @@ def source_stream(spark, d, name):
 def _(spark, d):
     path = scratch_path(spark, "jsonl")
     writers.write_cleaned_jsonl(kept(spark, d), path)
-    return readers.read_jsonl(spark, path, CLEANED).selectExpr("paper_id", "element_id", "page", "array_join(section, ' > ') AS section", "text")
+    return readers.read_jsonl(spark, path, CLEANED, folders="paper_id").selectExpr("paper_id", "element_id", "page", "array_join(section, ' > ') AS section", "text")
 
 
 @query("audit_csv", """
@@ -45,8 +45,7 @@ def _(spark, d):
     path = scratch_path(spark, "csv")
     writers.write_audit_csv(audit(spark, d), path)
     schema = ", ".join(f"`{c}` {'bigint' if c == 'order' else 'boolean' if c == 'keep_for_text' else 'string'}" for c in cl.AUDIT_COLUMNS)
-    with readers.many_folders(spark):
-        back = spark.read.schema(schema + ", paper_id string").csv(path, header=True, quote='"', escape='"')
+    back = readers.read_audit_csv(spark, path, schema + ", paper_id string")
     return back.select("paper_id", "element_id", "order", "section_path", "text", "keep_for_text", "exclusion_reason")
 
 
@@ -69,8 +68,7 @@ def _(spark, d):
     path = scratch_path(spark, "markdown")
     writers.write_markdown(cl.render_markdown(kept(spark, d), cl.infer_title(elements(spark, d))), path)
     # Body lines only: headings start with a hash, blank lines separate the pieces.
-    with readers.many_folders(spark):
-        written = spark.read.text(path)
+    written = read_folders(spark, path).withColumnRenamed("line", "value")
     return written.filter("value <> '' AND NOT value RLIKE '^#{1,6} '").agg(F.expr("count(*) AS lines"))
 
 

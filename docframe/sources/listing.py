@@ -7,6 +7,7 @@ Paths are of any file system pyarrow opens (local or mounted folders, HDFS, obje
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
@@ -112,12 +113,18 @@ def folder_name(column: str, value: str | None) -> str:
     return f"{column}={_ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', value) if value else _MISSING}"
 
 
+def _notes(root: str) -> str:
+    """Table of the files (key, path) that ``write_folders`` wrote below ``root``, beside it."""
+    return f"{root.rstrip('/')}.files"
+
+
 def write_folders(lines: DataFrame, root: str, suffix: str, header: str = "") -> None:
     """Write (key, line) as text files, a folder per value of the first column, from the tasks
     that hold the rows; rows of a key must stand together in their partition.
 
     Files are made without Spark's commit, whose cost grows with their number. A file gets its name once it
-    is whole, the same in every attempt of a task. ``root`` must be new.
+    is whole, the same in every attempt of a task, and is noted with its key beside ``root``, where ``read_folders``
+    finds it: no list of files goes through the driver. ``root`` must be new.
     """
     column = lines.columns[0]
     system, folder = _opened(root)
@@ -130,9 +137,10 @@ def write_folders(lines: DataFrame, root: str, suffix: str, header: str = "") ->
         task = TaskContext.get()
         name = f"part-{task.partitionId():05d}{suffix}"
         hidden = f"_{task.taskAttemptId()}-{name}"  # readers skip it, if a task is cut off
-        before, target, out, files = (), None, None, 0  # no key equals the first ``before``
+        before, target, out = (), None, None  # no key equals the first ``before``
 
         for batch in batches:
+            keys, paths = [], []
             for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if key != before:
                     before, last = key, target
@@ -144,13 +152,40 @@ def write_folders(lines: DataFrame, root: str, suffix: str, header: str = "") ->
                         system.create_dir(target, recursive=True)
                         out = system.open_output_stream(f"{target}/{hidden}")
                         out.write(header.encode())
-                        files += 1
+                        keys.append(key or None)
+                        paths.append(f"{folder_name(column, key)}/{name}")
                 out.write(f"{line}\n".encode())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(paths, pa.string())], ["key", "path"])
         if out is not None:
             out.close()
             system.move(f"{target}/{hidden}", f"{target}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
 
-    lines.mapInArrow(put, "files long").agg({"files": "sum"}).collect()
+    lines.mapInArrow(put, "key string, path string").write.parquet(_notes(root))
     with system.open_output_stream(f"{folder}/_SUCCESS"):
         pass
+
+
+def read_folders(spark: SparkSession, root: str, skip: int = 0) -> DataFrame:
+    """Lines (key, line) of the files that ``write_folders`` wrote below ``root``, without the first ``skip``
+    of each file. Tasks open the noted files; nothing is listed. Lines end as in Spark's readers."""
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = _opened(root)
+        keys, lines, size = [], [], 0
+        names = ["key", "line"]
+        for batch in batches:
+            for key, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with system.open_input_stream(f"{folder}/{path}") as f, io.TextIOWrapper(f, "utf-8", "replace", newline=None) as text:
+                    for i, line in enumerate(text):
+                        if i < skip:
+                            continue
+                        keys.append(key)
+                        lines.append(line[:-1] if line.endswith("\n") else line)
+                        size += len(line)
+                        if size > BATCH_BYTES >> 3 or len(lines) >= 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(lines, pa.string())], names)
+                            keys, lines, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(lines, pa.string())], names)
+
+    tasks = max(GROUPS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.read.schema("key string, path string").parquet(_notes(root)).repartition(tasks).mapInArrow(get, "key string, line string")

@@ -3,6 +3,7 @@
 import pytest
 
 from docframe.operators import records as rc
+from docframe.operators.cleaning import AUDIT_COLUMNS
 from docframe.session import scratch_path
 from docframe.sources import listing, readers, writers
 
@@ -60,6 +61,31 @@ def test_folder_per_paper(spark, tmp_path):
         writers.write_cleaned_jsonl(elements, root)
 
 
+def test_noted_files_are_read_without_a_listing(spark, tmp_path):
+    papers = [None, "", "1", "a/b=c%*", "Ü", *(f"p{i}" for i in range(40))]
+    text = ["x", None, "", 'q"u,o', "a\\b, 'c' ", "line\u2028sep", " ", "# x"]
+    rows = [(p, i, t) for p in papers for i, t in enumerate(text)]
+    audit = spark.createDataFrame(rows, "paper_id string, order long, text string").selectExpr(
+        "*", "concat('e', order) AS element_id", "'s' AS self_ref", "'b' AS parent_ref", "1 AS page", "1 AS tree_level", "'t' AS element_type", "'l' AS label",
+        "'body' AS content_layer", "array('A', 'B') AS section_path", "3 AS text_length", "named_struct('l', 1D) AS bounding_box", "'o' AS coordinate_origin",
+        "false AS inside_picture", "true AS keep_for_text", "CAST(NULL AS STRING) AS exclusion_reason")
+    writers.write_audit_csv(audit, f"{tmp_path}/csv")
+    schema = ", ".join(f"`{c}` {'bigint' if c == 'order' else 'string'}" for c in AUDIT_COLUMNS) + ", paper_id string"
+    listed = spark.read.schema(schema).csv(f"{tmp_path}/csv", header=True, quote='"', escape='"')
+    noted = readers.read_audit_csv(spark, f"{tmp_path}/csv", schema)
+    order = lambda df: sorted(map(tuple, df.select(listed.columns).collect()), key=repr)
+    assert order(noted) == order(listed) and noted.count() == len(rows)
+
+    kept = audit.selectExpr("*", "element_type AS type", "self_ref AS source_ref")
+    writers.write_cleaned_jsonl(kept, f"{tmp_path}/json")
+    fields = "paper_id string, element_id string, section array<string>, bounding_box struct<l:double>, text string"
+    listed, noted = readers.read_jsonl(spark, f"{tmp_path}/json", fields), readers.read_jsonl(spark, f"{tmp_path}/json", fields, folders="paper_id")
+    assert noted.schema.simpleString() == listed.schema.simpleString()
+    assert order(noted) == order(listed) and noted.count() == len(rows)
+    # What the driver knows is the table of files, not a file per paper.
+    assert len(listed.inputFiles()) >= len(papers) - 1 and all("json.files" in f for f in noted.inputFiles()) and len(noted.inputFiles()) <= 8
+
+
 def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
     for i in range(100):
         (tmp_path / f"paper_id={i}").mkdir()
