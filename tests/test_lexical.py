@@ -159,3 +159,33 @@ def test_texts_are_dealt_once_with_and_without_scope(spark, tmp_path, monkeypatc
     corpus = spark.createDataFrame(corpus_of(random.Random(5), 50, ["a", "b"]), "chunk_id string, paper_id string, content string")
     lx.build_index(corpus, f"{tmp_path}/index", scope=scope)
     assert {name: plan.count("Exchange hashpartitioning") for name, plan in plans.items()} == {"forward": 1, "blocks": 0, "terms": 0}
+
+
+def test_search_reads_the_index_where_it_lies(spark, monkeypatch):
+    """Also in a session without settings of its own, and when nothing is small."""
+    rows = corpus_of(random.Random(4), 200, ["a", "b", "c"])
+    corpus = spark.createDataFrame(rows, "chunk_id string, paper_id string, content string")
+    index = lx.build_index(corpus, scratch_path(spark, "lexical"), scope=["paper_id"])
+    asked = [(1, "a", "w1 w2 w40"), (2, "b", "w3 w3"), (3, "x", "w1")]
+    queries = spark.createDataFrame(asked, "query_id int, paper_id string, query string")
+    plans = []
+    store = lx.materialize
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(lx, "materialize", watched)
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "true"}
+    before = {key: spark.conf.get(key) for key in own}
+    try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
+        got = found(lx.search(index, queries, 5))
+        assert {key: spark.conf.get(key) for key in own} == own
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    same(got, plain(rows, asked, 5))
+    read = [p for p in plans if "spark_catalog" in p]
+    assert len(read) == 5 and not any("Bucketed: false" in p for p in read)
