@@ -66,7 +66,7 @@ class DocumentStore:
         name = f"{batch_id:09d}"
         papers.select("paper_id").distinct().write.mode("overwrite").parquet(f"{self.root}/renewed/batch={name}")
         for table, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.root}/data/{table}/batch={name}")
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/data/{table}/batch={name}")
         self._switch(Version(now.number + 1, batch_id, (*now.batches, name), tuple(sorted({*now.tables, *tables}))))
         return True
 
@@ -103,7 +103,7 @@ class DocumentStore:
         name = f"base-{now.number + 1:09d}"
         self._paths("renewed", now).select("paper_id").distinct().write.mode("overwrite").parquet(f"{self.root}/renewed/batch={name}")
         for table in now.tables:
-            self.read(table).write.mode("overwrite").parquet(f"{self.root}/data/{table}/batch={name}")
+            self.read(table).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/data/{table}/batch={name}")
         self._switch(Version(now.number + 1, now.last, (name,), now.tables))
 
 

@@ -29,7 +29,7 @@ def ingested(
     audit = materialize(cl.audit_elements(elements))
     kept = cl.kept_elements(audit)
     visuals = materialize(vs.describe_visuals(elements))
-    chunks = ck.link_parents(materialize(ck.chunk(kept, visuals, config)))
+    chunks = ck.link_parents(ck.chunk(kept, visuals, config))
     outcome = cl.cleaning_statistics(audit).selectExpr(
         "paper_id", "IF(kept_for_text = 0, 'failed', 'completed') AS status", "IF(kept_for_text = 0, 'no usable text', NULL) AS error"
     )

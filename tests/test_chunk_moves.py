@@ -105,3 +105,27 @@ def test_blocks_of_packed_groups_deal_their_texts_once(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == {(1, 0): (7, True), (1, 1): (7, True), (1, 2): (6, True), (1, 3): (7, True), (1, 4): (3, True), (2, 0): (3, False)}
+
+
+def test_linking_chunks_moves_no_text(spark):
+    schema = "paper_id string, order bigint, page int, section_path array<string>, text string"
+    rows = [(p, i, 1, [f"s{i // 9}"], " ".join(f"{p}{i}w{j}" for j in range(i % 23))) for p in "ab" for i in range(60)]
+    rows += [("c", 1, 1, None, "x")]
+    visuals = spark.createDataFrame(
+        [("a", "figure", "figure_001", 1, "cap", None, [], [], 0), ("z", "table", "table_001", 2, None, "1 2", [], ["near"], 1)],
+        "paper_id string, type string, element_id string, page int, caption string, docling_text string, section_path array<string>, surrounding_text array<string>, internal_texts long")
+    for splitter in ("fixed", "recursive"):
+        config = ck.ChunkingConfig(parent_max_tokens=40, child_max_tokens=12, overlap_tokens=3, splitter=splitter)
+        chunks = ck.chunk(spark.createDataFrame(rows, schema), visuals, config)
+        linked, looked_up = ck.link_parents(chunks), ck.link_parents(chunks.drop("parent_chunk_id"))
+        assert linked.columns == looked_up.columns
+        wanted = sorted((r.chunk_id, r.parent_chunk_id or "") for r in looked_up.collect())
+        assert sorted((r.chunk_id, r.parent_chunk_id or "") for r in linked.collect()) == wanted
+        assert len({p for _, p in wanted}) > 5
+    before = plain_settings(spark)
+    try:
+        stored = spark.createDataFrame(chunks.collect(), chunks.schema)
+        assert exchanges_of(ck.link_parents(stored), "content") == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
